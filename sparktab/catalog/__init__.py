@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import preparation, shaping  # noqa: F401
+from . import learning, preparation, shaping  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,6 +13,9 @@ from .nulls import NullAction, apply_null_actions, fit_null_actions
 from .outliers import Bounds, fit_bounds, treat_outliers
 
 
+KEEP_NULLS = "keep"  # a null style for columns whose nulls are left alone
+
+
 @dataclass(frozen=True)
 class ColumnPlan:
     """Settings of one column; ``None`` falls back to the run-wide setting."""
@@ -97,7 +100,7 @@ def clean_columns(
 def _clean_batch(result: CleanResult, batch: Sequence[ColumnPlan]) -> None:
     batch = [p for p in batch if p.column in result.data.columns]
     actions: dict[str, NullAction] = {}
-    for style in dict.fromkeys(p.null_style for p in batch):
+    for style in dict.fromkeys(p.null_style for p in batch if p.null_style != KEEP_NULLS):
         same = [p for p in batch if p.null_style == style]
         actions |= fit_null_actions(
             result.data, [p.column for p in same], style, {p.column: p.null_fill for p in same}
