@@ -46,6 +46,34 @@ def line_splits(spark: SparkSession, sf_dir: str, label: str | None = None) -> D
     )
 
 
+LETTERS = ["a", "e", "i", "n", "o", "r", "s", "t", "u", "é", "ñ", "ü"]
+SHARES = [f"share_{i}" for i in range(len(LETTERS))]
+COUNTS = [f"count_{i}" for i in range(len(LETTERS))]
+
+
+def letter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its language code, length, and counts and shares of some letters."""
+    docs = table(spark, sf_dir, "documents")
+    counted = docs.select(
+        "doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"), F.length("text").alias("size"),
+        *[
+            (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double").alias(n)
+            for n, c in zip(COUNTS, LETTERS)
+        ],
+    )
+    shared = counted.withColumns(
+        {s: F.coalesce(100 * F.try_divide(F.col(n), F.col("size")), F.lit(0.0)) for s, n in zip(SHARES, COUNTS)}
+    )
+    return labels.encode_label(shared, "lang", labels.fit_label_codes(docs, "lang"))
+
+
+def letter_splits(spark: SparkSession, sf_dir: str, label: str | None = "lang") -> DataFrame:
+    """Documents split by class, or at random for a continuous label."""
+    return splitting.split_table(
+        letter_rows(spark, sf_dir), label, stratified=label is not None, key=["doc_id"], dedup=False
+    )
+
+
 def scored(parts: DataFrame, problem_type: str, model_type: str, features, label: str, **params) -> DataFrame:
     run = registry.train_and_score(parts, problem_type, model_type, features, label, params)
     return run.metrics.withColumn("model", F.lit(model_type))
@@ -102,19 +130,17 @@ def lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lasso_many_features")
 def lasso_many_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
-    return scored(line_splits(spark, sf_dir), "regression", "lasso", features, "l_extendedprice")
+    return scored(letter_splits(spark, sf_dir, None), "regression", "lasso", COUNTS, "n_chars")
 
 
 @query("linear_regression_scores")
 def linear_regression_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
-    return scored(line_splits(spark, sf_dir), "regression", "LR", features, "l_extendedprice")
+    return scored(letter_splits(spark, sf_dir, None), "regression", "LR", COUNTS, "n_chars")
 
 
 @query("logistic_regression")
 def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(vector_splits(spark, sf_dir), "classification", "logistic_regression", VECTOR_COLUMNS, "label")
+    return scored(letter_splits(spark, sf_dir), "classification", "logistic_regression", SHARES, "lang")
 
 
 # ---------------------------------------------------------------- trees
@@ -122,85 +148,78 @@ def logistic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("random_forest_classifier")
 def random_forest_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(vector_splits(spark, sf_dir), "classification", "random_forest", VECTOR_COLUMNS, "label", max_depth=6)
+    return scored(letter_splits(spark, sf_dir), "classification", "random_forest", SHARES, "lang", max_depth=6)
 
 
 @query("random_forest_regressor")
 def random_forest_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
     return scored(
-        line_splits(spark, sf_dir), "regression", "random_forest", features, "l_extendedprice", n_estimators=20, max_depth=5
+        letter_splits(spark, sf_dir, None), "regression", "random_forest", COUNTS, "n_chars", n_estimators=20, max_depth=5
     )
 
 
 @query("decision_tree_classifier")
 def decision_tree_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(line_splits(spark, sf_dir, "flag"), "classification", "decision_tree", LINE_COLUMNS, "flag")
+    return scored(letter_splits(spark, sf_dir), "classification", "decision_tree", SHARES, "lang")
 
 
 @query("decision_tree_regressor")
 def decision_tree_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
-    return scored(line_splits(spark, sf_dir), "regression", "decision_tree", features, "l_extendedprice", max_depth=6)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "decision_tree", COUNTS, "n_chars", max_depth=6)
 
 
 @query("gradient_boosting_classifier")
 def gradient_boosting_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        line_splits(spark, sf_dir, "flag"), "classification", "gboost", LINE_COLUMNS, "flag", n_estimators=10
+        letter_splits(spark, sf_dir), "classification", "gboost", SHARES, "lang", n_estimators=10
     )
 
 
 @query("gradient_boosting_regressor")
 def gradient_boosting_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
-    return scored(line_splits(spark, sf_dir), "regression", "gboost", features, "l_extendedprice", n_estimators=20)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "gboost", COUNTS, "n_chars", n_estimators=20)
 
 
 @query("xgboost_style_classifier")
 def xgboost_style_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        line_splits(spark, sf_dir, "status"), "classification", "xgboost", LINE_COLUMNS, "status", n_estimators=10, max_depth=3
+        letter_splits(spark, sf_dir), "classification", "xgboost", SHARES, "lang", n_estimators=10, max_depth=3
     )
 
 
 @query("xgboost_style_regressor")
 def xgboost_style_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
-    return scored(line_splits(spark, sf_dir), "regression", "xgboost", features, "l_extendedprice", n_estimators=20)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "xgboost", COUNTS, "n_chars", n_estimators=20)
 
 
 @query("lightgbm_style_classifier")
 def lightgbm_style_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        line_splits(spark, sf_dir, "status"), "classification", "lightgbm", LINE_COLUMNS, "status", n_estimators=10
+        letter_splits(spark, sf_dir), "classification", "lightgbm", SHARES, "lang", n_estimators=10
     )
 
 
 @query("lightgbm_style_regressor")
 def lightgbm_style_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
-    return scored(line_splits(spark, sf_dir), "regression", "lightgbm", features, "l_extendedprice", n_estimators=20)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "lightgbm", COUNTS, "n_chars", n_estimators=20)
 
 
 @query("adaboost_classifier")
 def adaboost_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        vector_splits(spark, sf_dir), "classification", "adaboost", VECTOR_COLUMNS, "label", n_estimators=12
+        letter_splits(spark, sf_dir), "classification", "adaboost", SHARES, "lang", n_estimators=12
     )
 
 
 @query("adaboost_regressor")
 def adaboost_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
-    return scored(line_splits(spark, sf_dir), "regression", "adaboost", features, "l_extendedprice", n_estimators=8)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "adaboost", COUNTS, "n_chars", n_estimators=8)
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = ["l_quantity", "l_discount", "l_tax"]
     model = registry.train(
-        table(spark, sf_dir, "lineitem"), "regression", "decision_tree", features, "l_extendedprice", {"max_depth": 5}
+        letter_rows(spark, sf_dir), "regression", "decision_tree", COUNTS, "n_chars", {"max_depth": 5}
     )
     return registry.importance_table(spark, model)
 
@@ -208,7 +227,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_feature_importance")
 def top_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = registry.train(
-        wide_vectors(spark, sf_dir), "classification", "random_forest", VECTOR_COLUMNS, "label", {"n_estimators": 50}
+        letter_rows(spark, sf_dir), "classification", "random_forest", SHARES, "lang", {"n_estimators": 50}
     )
     return registry.importance_table(spark, model, top=20)
 
@@ -362,32 +381,32 @@ def multinomial_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("svm_linear_classifier")
 def svm_linear_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        line_splits(spark, sf_dir, "status"), "classification", "svm", LINE_COLUMNS[2:], "status", kernel="linear", max_iter=30
+        letter_splits(spark, sf_dir), "classification", "svm", SHARES, "lang", kernel="linear", max_iter=30
     )
 
 
 @query("svm_kernel_classifier")
 def svm_kernel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        vector_splits(spark, sf_dir), "classification", "svm", VECTOR_COLUMNS, "label", landmarks=150, max_iter=30
+        letter_splits(spark, sf_dir), "classification", "svm", SHARES, "lang", landmarks=150, max_iter=30
     )
 
 
 @query("svm_kernel_regressor")
 def svm_kernel_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(vector_splits(spark, sf_dir), "regression", "svm", VECTOR_COLUMNS, "label", landmarks=150)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "svm", SHARES, "share_1", landmarks=100)
 
 
 @query("network_classifier")
 def network_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(vector_splits(spark, sf_dir), "classification", "mlp", VECTOR_COLUMNS, "label", max_iter=40, batch_size=16)
+    return scored(letter_splits(spark, sf_dir), "classification", "mlp", SHARES, "lang", max_iter=40, batch_size=16)
 
 
 @query("network_epoch_history")
 def network_epoch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = vector_splits(spark, sf_dir)
+    parts = letter_splits(spark, sf_dir)
     spec = ModelSpec(
-        "classification", "mlp", VECTOR_COLUMNS, "label",
+        "classification", "mlp", SHARES, "lang",
         {"max_iter": 20, "batch_size": 16, "dropout": 0.2, "decay_every": 10, "decay_factor": 0.9},
     )
     model = network.train_network(parts.where("split = 'train'"), spec, validation=parts.where("split = 'val'"))
@@ -396,7 +415,7 @@ def network_epoch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("network_regressor")
 def network_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(vector_splits(spark, sf_dir), "regression", "mlp", VECTOR_COLUMNS, "label", max_iter=40, batch_size=16)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "mlp", SHARES[:6], "share_6", max_iter=40, batch_size=16)
 
 
 # ---------------------------------------------------------------- clusters
@@ -439,8 +458,8 @@ def silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grid_search")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = search.grid_search(
-        wide_vectors(spark, sf_dir), "classification", "decision_tree", VECTOR_COLUMNS, "label",
-        {"max_depth": [3, 6], "criterion": ["gini", "entropy"]}, folds=3, key=["vec_id"],
+        letter_rows(spark, sf_dir), "classification", "decision_tree", SHARES, "lang",
+        {"max_depth": [3, 6], "criterion": ["gini", "entropy"]}, folds=5, key=["doc_id"],
     )
     return search.top_candidates(result)
 
@@ -496,15 +515,15 @@ def predictions_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("predictions_written")
 def predictions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = vector_splits(spark, sf_dir)
+    parts = letter_splits(spark, sf_dir)
     model = registry.train(
-        parts.where("split = 'train'"), "classification", "random_forest", VECTOR_COLUMNS, "label", {"n_estimators": 20}
+        parts.where("split = 'train'"), "classification", "random_forest", SHARES, "lang", {"n_estimators": 20}
     )
     space = Workspace(spark, scratch(spark))
     done = Scorer(load_model(spark, model.save(spark, f"{space.root}/model"))).score(
-        parts.where("split = 'test'").select("vec_id", *VECTOR_COLUMNS)
+        parts.where("split = 'test'").select("doc_id", *SHARES)
     )
-    path = space.write_predictions(done.select("vec_id", "predict_result", "predict_proba"), "embeddings")
+    path = space.write_predictions(done.select("doc_id", "predict_result", "predict_proba"), "documents")
     return spark.read.csv(path, header=True, escape='"')
 
 

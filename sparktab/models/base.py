@@ -9,7 +9,7 @@ from typing import Any, ClassVar
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import quoted, require_columns
 from ..functions.state import read_state, write_state
@@ -94,41 +94,63 @@ def with_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 class SparkModel(TabularModel):
-    """A model fitted by ``pyspark.ml``."""
+    """A model fitted by ``pyspark.ml``: one stage, or one stage per class against the rest."""
 
     kind = "spark_ml"
 
-    def __init__(self, spec: ModelSpec, stage: Transformer, margin_scale: float | None = None) -> None:
+    def __init__(self, spec: ModelSpec, *stages: Transformer, margin_scale: float | None = None) -> None:
         super().__init__(spec)
-        self.stage = stage
+        self.stages = list(stages)
         self.margin_scale = margin_scale
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        scored = self.stage.transform(with_vector(df, self.spec.features))
-        out = {"prediction": F.col("__prediction")}
-        if "__probability" in scored.columns:
-            out["probability"] = vector_to_array("__probability")
-        elif self.margin_scale is not None and "__raw" in scored.columns:
-            # One-versus-rest margins as normalised logistic scores.
-            odds = F.transform(
-                vector_to_array("__raw"), lambda m: 1 / (1 + F.exp(-m * self.margin_scale))
-            )
+    @property
+    def stage(self) -> Transformer:
+        return self.stages[0]
+
+    def apply(self, data: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """Run the stages on a table with the feature vector; result columns by name.
+
+        Several stages are compared by their margins with array functions, so scoring
+        stays on the JVM (the built-in one-versus-rest model calls a Python function per row).
+        """
+        if len(self.stages) == 1:
+            scored = self.stage.transform(data)
+            out = {"prediction": F.col("__prediction")}
+            if "__probability" in scored.columns:
+                out["probability"] = vector_to_array("__probability")
+            return scored, out
+        for i, stage in enumerate(self.stages):
+            names = {stage.rawPredictionCol: f"__raw{i}", stage.predictionCol: f"__class{i}"}
+            if stage.hasParam("probabilityCol"):
+                names[stage.probabilityCol] = ""
+            data = stage.copy(names).transform(data)
+        margins = F.array(*[F.get(vector_to_array(f"__raw{i}"), 1) for i in range(len(self.stages))])
+        scored = data.withColumn("__margins", margins)
+        best = F.array_position("__margins", F.array_max("__margins")) - 1
+        out = {"prediction": best.cast("double")}
+        if self.margin_scale is not None:
+            # Margins as normalised logistic scores.
+            odds = F.transform("__margins", lambda m: 1 / (1 + F.exp(-m * self.margin_scale)))
             total = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)
             out["probability"] = F.transform(odds, lambda o: o / total)
+        return scored, out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        scored, out = self.apply(with_vector(df, self.spec.features))
         kept = [quoted(c) for c in df.columns if c not in out]
         return scored.select(*kept, *[e.alias(n) for n, e in out.items()])
 
     def importances(self) -> list[float] | None:
-        found = getattr(self.stage, "featureImportances", None)
+        found = getattr(self.stage, "featureImportances", None) if len(self.stages) == 1 else None
         return None if found is None else [float(v) for v in found.toArray()]
 
     def _state(self, spark: SparkSession, path: str) -> Any:
-        PipelineModel([self.stage]).write().overwrite().save(f"{path}/stage")
+        PipelineModel(self.stages).write().overwrite().save(f"{path}/stages")
         return self.margin_scale
 
     @classmethod
     def _restore(cls, spark, path, spec, state):
-        return cls(spec, PipelineModel.load(f"{path}/stage").stages[0], state)
+        return cls(spec, *PipelineModel.load(f"{path}/stages").stages, margin_scale=state)
 
 
 def class_count(df: DataFrame, label: str) -> int:

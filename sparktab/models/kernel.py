@@ -132,9 +132,9 @@ class KernelClassifier(TabularModel):
     def transform(self, df: DataFrame) -> DataFrame:
         require_columns(df, self.spec.features)
         lifted = df.withColumn(VECTOR, array_to_vector(self.lift.column(self.spec.features)))
-        scored = self.linear.stage.transform(lifted)
+        scored, out = self.linear.apply(lifted)
         kept = [quoted(c) for c in df.columns if c != "prediction"]
-        return scored.select(*kept, F.col("__prediction").alias("prediction"))
+        return scored.select(*kept, out["prediction"].alias("prediction"))
 
     def _state(self, spark, path) -> Any:
         self.linear.save(spark, f"{path}/linear")
@@ -159,7 +159,8 @@ def _fit_linear(data: DataFrame, spec: ModelSpec, weight: str | None) -> SparkMo
     )
     if class_count(data, "__label") <= 2:
         return SparkModel(spec, machine.copy({}).setParams(rawPredictionCol="__raw", **columns, **weighted).fit(data))
-    return SparkModel(spec, OneVsRest(classifier=machine, parallelism=4, rawPredictionCol="__raw", **columns, **weighted).fit(data))
+    rest = OneVsRest(classifier=machine, parallelism=4, **columns, **weighted)
+    return SparkModel(spec, *rest.fit(data).models)
 
 
 def train_svm_classifier(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> TabularModel:

@@ -117,12 +117,11 @@ def _train_boosted(
         if class_count(data, "__label") <= 2:
             booster = GBTClassifier(**options, **COLUMNS, **CLASS_COLUMNS, **_weighted(weight))
             return SparkModel(spec, booster.fit(data))
-        booster = GBTClassifier(**options)
         rest = OneVsRest(
-            classifier=booster, rawPredictionCol="__raw", parallelism=int(spec.params.get("n_jobs", 4)),
+            classifier=GBTClassifier(**options), parallelism=int(spec.params.get("n_jobs", 4)),
             **COLUMNS, **_weighted(weight),
         )
-        return SparkModel(spec, rest.fit(data), margin_scale=2.0)
+        return SparkModel(spec, *rest.fit(data).models, margin_scale=2.0)
     finally:
         data.unpersist()
 
