@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .columns import quoted
+
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
 
@@ -52,6 +54,8 @@ def against_all(
         spread = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
         return spread.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
+    # Fresh column identities, so that a table can meet itself.
+    right = right.select(*[quoted(c).alias(c) for c in right.columns])
     lefts = cut(left, left_key, "__l", left_blocks, "__r", right_blocks)
     rights = cut(right, right_key, "__r", right_blocks, "__l", left_blocks)
 
