@@ -381,14 +381,14 @@ def multinomial_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("svm_linear_classifier")
 def svm_linear_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        letter_splits(spark, sf_dir), "classification", "svm", SHARES, "lang", kernel="linear", max_iter=30
+        letter_splits(spark, sf_dir), "classification", "svm", SHARES, "lang", kernel="linear"
     )
 
 
 @query("svm_kernel_classifier")
 def svm_kernel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        letter_splits(spark, sf_dir), "classification", "svm", SHARES, "lang", landmarks=150, max_iter=30
+        letter_splits(spark, sf_dir), "classification", "svm", SHARES, "lang", landmarks=150
     )
 
 

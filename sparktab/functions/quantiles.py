@@ -74,7 +74,13 @@ def exact_quantiles(
     for _ in range(MAX_PASSES):
         if not brackets:
             break
-        brackets, expected = _narrow(df, brackets, expected, found, accuracy, gather_limit)
+        small = {k: r for k, r in brackets.items() if expected[k] <= gather_limit}
+        large = {k: r for k, r in brackets.items() if k not in small}
+        brackets, expected = {}, {}
+        if large:
+            _narrow(df, large, brackets, expected, found, accuracy)
+        if small:
+            _gather(df, small, brackets, expected, found)
     else:
         raise RuntimeError("quantile brackets did not close")
 
@@ -92,10 +98,101 @@ def exact_quantiles(
     return result
 
 
-def _narrow(df, brackets, expected, found, accuracy, gather_limit):
-    """One pass over the data: settle ranks or give them a narrower bracket."""
+def _settle(key, ranks, below, at_low, inner, at_high, inside, brackets, expected, found):
+    """Place every rank: on an edge, inside (``inside`` decides), or outside after all."""
+    c, low, high = key
+
+    def reopen(bracket: Bracket, rank: int, size: float) -> None:
+        brackets.setdefault(bracket, set()).add(rank)
+        expected[bracket] = size
+
+    for rank in ranks:
+        place = rank - below - at_low
+        if rank < below:
+            reopen((c, None, low), rank, math.inf)
+        elif place < 0:
+            found[c, rank] = low
+        elif place < inner:
+            inside(place, rank, reopen)
+        elif place < inner + at_high:
+            found[c, rank] = high
+        else:
+            reopen((c, high, None), rank, math.inf)
+
+
+def _gather(df, small, brackets, expected, found):
+    """Settle narrow brackets from one grouped count.
+
+    Every value becomes (column, segment between cut points); only values inside a bracket
+    keep their value in the key, so the shuffle carries one row per segment and per
+    distinct inner value.
+    """
+    cuts: dict[str, list[float]] = {}
+    for c, low, high in small:
+        cuts.setdefault(c, []).extend(x for x in (low, high))
+    cuts = {c: sorted(set(points)) for c, points in cuts.items()}
+    columns = list(cuts)
+    rows = []
+    for i, c in enumerate(columns):
+        v, points = quoted(c), cuts[c]
+        # Even segments are open intervals, odd ones the cut points themselves.
+        segment = F.when(v.isNull(), -1)
+        for j, point in enumerate(points):
+            segment = segment.when(v < point, 2 * j).when(v == point, 2 * j + 1)
+        segment = segment.otherwise(2 * len(points))
+        wanted = {
+            2 * j
+            for _, low, high in (k for k in small if k[0] == c)
+            for j in range(points.index(low) + 1, points.index(high) + 1)
+        }
+        rows.append(
+            F.struct(
+                F.lit(i).alias("c"), segment.alias("s"), v.alias("v"),
+                (segment.isin(sorted(wanted)) if wanted else F.lit(False)).alias("w"),
+            )
+        )
+    counted = (
+        df.select(F.inline(F.array(*rows)))
+        .groupBy("c", "s", F.when(F.col("w"), F.col("v")).alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+    seen: dict[tuple[str, int], list[tuple[float | None, int]]] = {}
+    for r in counted:
+        seen.setdefault((columns[r.c], r.s), []).append((r.v, r.n))
+
+    def size(c: str, segments) -> int:
+        return sum(n for s in segments for _, n in seen.get((c, s), ()))
+
+    for key, ranks in small.items():
+        c, low, high = key
+        points = cuts[c]
+        first, last = 2 * points.index(low) + 1, 2 * points.index(high) + 1
+        middle = range(first + 1, last)
+        values = []
+        for s in middle:
+            point = None if s % 2 == 0 else points[s // 2]
+            values += [(v if point is None else point, n) for v, n in seen.get((c, s), ())]
+        values.sort()
+
+        def inside(place, rank, reopen, values=values, c=c):
+            for v, n in values:
+                if place < n:
+                    found[c, rank] = v
+                    return
+                place -= n
+
+        _settle(
+            key, ranks, size(c, range(first)), size(c, [first]), size(c, middle),
+            size(c, [last]) if last > first else 0, inside, brackets, expected, found,
+        )
+
+
+def _narrow(df, large, brackets, expected, found, accuracy):
+    """Settle what lies on the edges of wide brackets and narrow the rest by a sketch grid."""
+    grid = [g / GRID for g in range(GRID + 1)]
     exprs = []
-    for i, (c, low, high) in enumerate(brackets):
+    for i, (c, low, high) in enumerate(large):
         v = quoted(c)
         inside = v.isNotNull()
         if low is not None:
@@ -108,45 +205,20 @@ def _narrow(df, brackets, expected, found, accuracy, gather_limit):
             (F.lit(0) if low is None else F.count_if(v == low)).alias(f"low{i}"),
             F.count(inner).alias(f"inner{i}"),
             (F.lit(0) if high is None or high == low else F.count_if(v == high)).alias(f"high{i}"),
+            F.percentile_approx(inner, grid, accuracy).alias(f"grid{i}"),
         ]
-        if expected[c, low, high] <= gather_limit:
-            exprs.append(F.sort_array(F.collect_list(inner)).alias(f"values{i}"))
-        else:
-            grid = [g / GRID for g in range(GRID + 1)]
-            exprs.append(F.percentile_approx(inner, grid, accuracy).alias(f"values{i}"))
     row = df.agg(*exprs).first()
+    for i, (key, ranks) in enumerate(large.items()):
+        c, low, high = key
+        below, at_low, inner, at_high = (row[f"{k}{i}"] for k in ("below", "low", "inner", "high"))
+        points = row[f"grid{i}"]
 
-    open_brackets: dict[Bracket, set[int]] = {}
-    open_expected: dict[Bracket, float] = {}
-
-    def reopen(key: Bracket, rank: int, size: float) -> None:
-        open_brackets.setdefault(key, set()).add(rank)
-        open_expected[key] = size
+        def inside(place, rank, reopen, c=c, low=low, high=high, inner=inner, points=points):
+            step = GRID * place / max(inner - 1, 1)
+            left = math.floor(step - GRID * 2 / accuracy)
+            right = math.ceil(step + GRID * 2 / accuracy)
+            # The sketch holds the smallest and largest value, so both ends are closed.
+            key = (c, points[max(left, 0)], points[min(right, GRID)])
+            reopen(key, rank, inner * (right - left + 2) / GRID)
 
-    for i, ((c, low, high), ranks) in enumerate(brackets.items()):
-        below, at_low, inner, at_high = (row[f"{k}{i}"] for k in ("below", "low", "inner", "high"))
-        values = row[f"values{i}"]
-        gathered = expected[c, low, high] <= gather_limit
-        for rank in ranks:
-            place = rank - below - at_low
-            if rank < below:
-                reopen((c, None, low), rank, math.inf)
-            elif place < 0:
-                found[c, rank] = low
-            elif place < inner and gathered:
-                found[c, rank] = values[place]
-            elif place < inner:
-                step = GRID * place / max(inner - 1, 1)
-                left = math.floor(step - GRID * 2 / accuracy)
-                right = math.ceil(step + GRID * 2 / accuracy)
-                key = (
-                    c,
-                    values[left] if left > 0 else low,
-                    values[right] if right < GRID else high,
-                )
-                reopen(key, rank, inner * (right - left + 2) / GRID)
-            elif place < inner + at_high:
-                found[c, rank] = high
-            else:
-                reopen((c, high, None), rank, math.inf)
-    return open_brackets, open_expected
+        _settle(key, ranks, below, at_low, inner, at_high, inside, brackets, expected, found)

@@ -13,18 +13,16 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.columns import quoted, require_columns
-from .base import VECTOR, ModelSpec, SparkModel, TabularModel, assembled, class_count, reject_unknown
-from .linear import total_weight
-from .network import _summed
+from .base import ModelSpec, TabularModel, class_count, reject_unknown
+from .network import DIRECT_PARTS, _summed
 
 LANDMARKS = 200
 MOST_LANDMARKS = 500
+PAYLOAD_NUMBERS = 2_000_000
 KERNELS = ("linear", "rbf", "poly", "sigmoid")
 PARAMETERS = [
     "kernel", "gamma", "C", "degree", "coef0", "epsilon", "landmarks", "max_iter", "tol",
@@ -58,15 +56,6 @@ class LandmarkMap:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return kernel_values(x, self.points, self.kind, self.gamma, self.degree, self.coef0) @ self.whiten
 
-    def column(self, features: list[str]):
-        lift = self
-
-        @pandas_udf("array<double>")
-        def mapped(*columns: pd.Series) -> pd.Series:
-            return pd.Series(list(lift(np.column_stack([c.to_numpy(dtype=float) for c in columns]))))
-
-        return mapped(*[quoted(c).cast("double") for c in features])
-
     def state(self) -> list[Any]:
         return [self.kind, self.gamma, self.degree, self.coef0, self.points.tolist()]
 
@@ -119,178 +108,193 @@ def fit_landmarks(df: DataFrame, spec: ModelSpec) -> LandmarkMap:
     )
 
 
-class KernelClassifier(TabularModel):
-    """Landmark features followed by a linear machine."""
-
-    kind = "kernel_classifier"
-
-    def __init__(self, spec: ModelSpec, lift: LandmarkMap, linear: SparkModel) -> None:
-        super().__init__(spec)
-        self.lift = lift
-        self.linear = linear
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        require_columns(df, self.spec.features)
-        lifted = df.withColumn(VECTOR, array_to_vector(self.lift.column(self.spec.features)))
-        scored, out = self.linear.apply(lifted)
-        kept = [quoted(c) for c in df.columns if c != "prediction"]
-        return scored.select(*kept, out["prediction"].alias("prediction"))
-
-    def _state(self, spark, path) -> Any:
-        self.linear.save(spark, f"{path}/linear")
-        return self.lift.state()
-
-    @classmethod
-    def _restore(cls, spark, path, spec, state):
-        from .base import load_model
-
-        return cls(spec, LandmarkMap.restore(state), load_model(spark, f"{path}/linear"))
-
-
-def _fit_linear(data: DataFrame, spec: ModelSpec, weight: str | None) -> SparkModel:
-    """Hinge loss with the penalty of a total-loss machine: ``1 / (C * total weight)``."""
-    columns = {"featuresCol": VECTOR, "labelCol": "__label", "predictionCol": "__prediction"}
-    weighted = {} if weight is None else {"weightCol": "__weight"}
-    machine = LinearSVC(
-        maxIter=int(spec.params.get("max_iter", 100)),
-        regParam=1.0 / (float(spec.params.get("C", 1.0)) * total_weight(data, weight)),
-        tol=float(spec.params.get("tol", 1e-6)),
-        standardization=False,
-    )
-    if class_count(data, "__label") <= 2:
-        return SparkModel(spec, machine.copy({}).setParams(rawPredictionCol="__raw", **columns, **weighted).fit(data))
-    rest = OneVsRest(classifier=machine, parallelism=4, **columns, **weighted)
-    return SparkModel(spec, *rest.fit(data).models)
-
-
-def train_svm_classifier(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> TabularModel:
-    """Linear machine, or a kernel machine on landmark features; one against the rest."""
-    reject_unknown(spec.params, PARAMETERS, spec.model_type)
-    kind = spec.params.get("kernel", "rbf")
-    if kind not in KERNELS:
-        raise ValueError(f"unknown kernel {kind!r}; choose one of {KERNELS}")
-    if spec.params.get("probability"):
-        raise ValueError("class probabilities are not available for this model")
-    if kind == "linear":
-        data = assembled(df, spec.features, spec.label, weight).persist()
-        try:
-            return _fit_linear(data, spec, weight)
-        finally:
-            data.unpersist()
-    lift = fit_landmarks(df, spec)
-    extra = [] if weight is None else [quoted(weight).cast("double").alias("__weight")]
-    data = df.select(
-        array_to_vector(lift.column(spec.features)).alias(VECTOR),
-        quoted(spec.label).cast("double").alias("__label"),
-        *extra,
-    ).persist()
-    try:
-        return KernelClassifier(spec, lift, _fit_linear(data, spec, weight))
-    finally:
-        data.unpersist()
-
-
-class KernelRegressor(TabularModel):
-    """Landmark features, a weight each, and an intercept."""
-
-    kind = "kernel_regressor"
-
-    def __init__(self, spec: ModelSpec, lift: LandmarkMap, weights: np.ndarray) -> None:
+class _System:
+    """One margin or one regression: its current weights and the step being tried."""
+
+    def __init__(self, start: np.ndarray) -> None:
+        self.beta = start
+        self.step = np.zeros_like(start)
+        self.share = 1.0
+        self.best = np.inf
+        self.done = False
+
+    @property
+    def candidate(self) -> np.ndarray:
+        return self.beta + self.share * self.step
+
+    def judge(self, value: float, gram: np.ndarray, moment: np.ndarray, ridge: np.ndarray, tol: float) -> None:
+        """Take the candidate if it lowers the objective, else try half the step."""
+        if value >= self.best:
+            self.share /= 2
+            self.done = self.share < 1e-3
+            return
+        gain = self.best - value
+        self.beta, self.best, self.share = self.candidate, value, 1.0
+        self.step = np.linalg.solve(gram + ridge, moment) - self.beta
+        self.done = gain <= tol * max(1.0, abs(value))
+
+
+def _pull(kind: str, y: np.ndarray, f: np.ndarray, tube: float, soft: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights and targets of the least-squares problem around ``f``, and the losses."""
+    if kind == "hinge":
+        over, target = 1.0 - y * f, y
+    else:
+        over, target = np.abs(y - f) - tube, y - np.sign(y - f) * tube
+    out = over > 0
+    weight = np.where(out, 1.0 / np.maximum(over, soft), 0.0)
+    eased = np.where(over < soft, over**2 / (2 * soft), over - soft / 2)
+    return weight, target, np.where(out, eased, 0.0)
+
+
+def fit_machines(
+    data: DataFrame, lift, size: int, kind: str, starts: list[np.ndarray], spec: ModelSpec, soft: float
+) -> list[np.ndarray]:
+    """Reweighted least squares for the hinge or the epsilon-insensitive loss.
+
+    ``data`` holds the features, ``y`` and ``w``. Each round is one job for all machines:
+    partitions add up their share of the weighted normal equations and of the objectives;
+    the driver solves one system of ``size`` unknowns per machine. Some fifteen passes
+    settle what a gradient method with line search needs hundreds for.
+    """
+    cost, tube = float(spec.params.get("C", 1.0)), float(spec.params.get("epsilon", 0.1))
+    tol = float(spec.params.get("tol", 1e-4))
+    ridge = np.eye(size)
+    ridge[-1, -1] = 1e-9
+    systems = [_System(s) for s in starts]
+    width = 1 + size * size + size
+    together = max(1, PAYLOAD_NUMBERS // width)
+
+    def measure(numbers: list[int]) -> np.ndarray:
+        betas = np.array([systems[i].candidate for i in numbers])
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            total, seen = np.zeros((len(numbers), width)), False
+            for pdf in batches:
+                values = pdf.to_numpy(dtype=float)
+                if not len(values):
+                    continue
+                seen = True
+                phi = np.column_stack([lift(values[:, :-2]), np.ones(len(values))])
+                y, w = values[:, -2], values[:, -1]
+                for row, number, beta in zip(total, numbers, betas):
+                    goal = np.where(y == number, 1.0, -1.0) if kind == "hinge" else y
+                    weight, target, losses = _pull(kind, goal, phi @ beta, tube, soft)
+                    weight = cost * w * weight
+                    used = weight > 0
+                    scaled = phi[used] * weight[used, None]
+                    row[0] += float((w * losses).sum())
+                    row[1 : 1 + size * size] += (phi[used].T @ scaled).ravel()
+                    row[1 + size * size :] += scaled.T @ target[used]
+            if seen:
+                part = TaskContext.get().partitionId() % DIRECT_PARTS
+                yield pd.DataFrame({"part": [part], "payload": [total.ravel()]})
+
+        found = _summed(data.mapInPandas(work, "part int, payload array<double>"))
+        return found.reshape(len(numbers), width)
+
+    for _ in range(int(spec.params.get("max_iter", 50))):
+        waiting = [i for i, s in enumerate(systems) if not s.done]
+        if not waiting:
+            break
+        for at in range(0, len(waiting), together):
+            group = waiting[at : at + together]
+            for i, row in zip(group, measure(group)):
+                system = systems[i]
+                penalty = 0.5 * float(system.candidate[:-1] @ system.candidate[:-1])
+                gram = row[1 : 1 + size * size].reshape(size, size)
+                system.judge(penalty + cost * row[0], gram, row[1 + size * size :], ridge, tol)
+    return [s.beta for s in systems]
+
+
+def _identity(x: np.ndarray) -> np.ndarray:
+    return x
+
+
+class MarginModel(TabularModel):
+    """Linear machines on the features or on landmark features."""
+
+    kind = "margins"
+
+    def __init__(self, spec: ModelSpec, lift: LandmarkMap | None, weights: np.ndarray) -> None:
         super().__init__(spec)
         self.lift = lift
         self.weights = weights
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        require_columns(df, self.spec.features)
+    def _margins(self, df: DataFrame) -> Column:
+        inputs = [quoted(c).cast("double") for c in self.spec.features]
+        if self.lift is None:
+            x = F.array(*inputs)
+            scores = []
+            for row in self.weights:
+                terms = F.zip_with(x, F.array(*[F.lit(float(v)) for v in row[:-1]]), lambda v, w: v * w)
+                scores.append(F.aggregate(terms, F.lit(float(row[-1])), lambda a, b: a + b))
+            return F.array(*scores)
         lift, weights = self.lift, self.weights
 
-        @pandas_udf("double")
-        def predicted(*columns: pd.Series) -> pd.Series:
+        @pandas_udf("array<double>")
+        def margins(*columns: pd.Series) -> pd.Series:
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            return pd.Series(lift(x) @ weights[:-1] + weights[-1])
+            return pd.Series(list(lift(x) @ weights[:, :-1].T + weights[:, -1]))
+
+        return margins(*inputs)
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        require_columns(df, self.spec.features)
         kept = [quoted(c) for c in df.columns if c != "prediction"]
-        inputs = [quoted(c).cast("double") for c in self.spec.features]
-        return df.select(*kept, predicted(*inputs).alias("prediction"))
+        scored = df.select(*kept, self._margins(df).alias("__m"))
+        first = F.get("__m", 0)
+        if self.spec.problem_type == "regression":
+            made = first
+        elif len(self.weights) == 1:
+            made = F.when(first > 0, 1.0).otherwise(0.0)
+        else:
+            made = (F.array_position("__m", F.array_max("__m")) - 1).cast("double")
+        return scored.select(*kept, made.alias("prediction"))
 
     def _state(self, spark, path) -> Any:
-        return [self.lift.state(), self.weights.tolist()]
+        return [self.lift.state() if self.lift else None, self.weights.tolist()]
 
     @classmethod
     def _restore(cls, spark, path, spec, state):
-        return cls(spec, LandmarkMap.restore(state[0]), np.asarray(state[1]))
+        return cls(spec, LandmarkMap.restore(state[0]) if state[0] else None, np.asarray(state[1]))
 
 
-def train_svm_regressor(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> KernelRegressor:
-    """Epsilon-insensitive regression by reweighted least squares.
+def train_svm(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> MarginModel:
+    """Support vector machine for classes (one against the rest) or numbers.
 
-    Each round is one job: partitions add up their share of the weighted normal equations
-    and of the objective at the current weights; the driver solves a system of the size
-    of the landmark count. A step that does not lower the objective is halved.
+    The objective is half the squared weights plus ``C`` times the summed losses, the
+    intercept unpenalised. A linear kernel works on the features themselves.
     """
     reject_unknown(spec.params, PARAMETERS, spec.model_type)
-    if spec.params.get("kernel", "rbf") not in KERNELS:
-        raise ValueError(f"choose one of the kernels {KERNELS}")
-    lift = fit_landmarks(df, spec)
-    cost, tube = float(spec.params.get("C", 1.0)), float(spec.params.get("epsilon", 0.1))
-    extra = [F.lit(1.0) if weight is None else quoted(weight).cast("double")]
-    inputs = [quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(spec.features)]
+    kernel = spec.params.get("kernel", "rbf")
+    if kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel!r}; choose one of {KERNELS}")
+    if spec.params.get("probability"):
+        raise ValueError("class probabilities are not available for this model")
+    require_columns(df, [*spec.features, spec.label])
+    lift = None if kernel == "linear" else fit_landmarks(df, spec)
+    size = (len(spec.features) if lift is None else lift.whiten.shape[1]) + 1
+    share = F.lit(1.0) if weight is None else quoted(weight).cast("double")
     data = df.select(
-        *inputs, quoted(spec.label).cast("double").alias("y"), extra[0].alias("w")
+        *[quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(spec.features)],
+        quoted(spec.label).cast("double").alias("y"),
+        share.alias("w"),
     ).where("y IS NOT NULL").persist()
-    size = lift.whiten.shape[1] + 1
-    penalty = np.eye(size)
-    penalty[-1, -1] = 1e-9
     try:
+        if spec.problem_type == "classification":
+            classes = class_count(data, "y")
+            # Two classes need one machine, for class 1; system numbers are class codes.
+            starts = [np.zeros(size) for _ in range(classes)]
+            fitted = fit_machines(data, lift or _identity, size, "hinge", starts, spec, 1e-3)
+            return MarginModel(spec, lift, np.array(fitted if classes > 2 else fitted[1:]))
         middle = data.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
+        start = np.zeros(size)
+        start[-1] = middle.m
         soft = max(1e-3 * (middle.s or 1.0), 1e-9)
-
-        def measure(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-            def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                from pyspark import TaskContext
-
-                gram, moment, loss, seen = np.zeros((size, size)), np.zeros(size), 0.0, False
-                for pdf in batches:
-                    values = pdf.to_numpy(dtype=float)
-                    if not len(values):
-                        continue
-                    seen = True
-                    phi = np.column_stack([lift(values[:, :-2]), np.ones(len(values))])
-                    y, w = values[:, -2], values[:, -1]
-                    error = y - phi @ beta
-                    over = np.abs(error) - tube
-                    out = over > 0
-                    eased = np.where(over < soft, over**2 / (2 * soft), over - soft / 2)
-                    loss += float((w * eased)[out].sum())
-                    pull = np.where(out, cost * w / np.maximum(over, soft), 0.0)
-                    gram += phi.T @ (phi * pull[:, None])
-                    moment += phi.T @ (pull * (y - np.sign(error) * tube))
-                if seen:
-                    payload = np.concatenate([[loss], gram.ravel(), moment])
-                    part = TaskContext.get().partitionId() % 64
-                    yield pd.DataFrame({"part": [part], "payload": [payload]})
-
-            total = _summed(data.mapInPandas(work, "part int, payload array<double>"))
-            objective = 0.5 * float(beta[:-1] @ beta[:-1]) + cost * total[0]
-            return objective, total[1 : 1 + size * size].reshape(size, size), total[1 + size * size :]
-
-        beta = np.zeros(size)
-        beta[-1] = middle.m
-        best, gram, moment = measure(beta)
-        for _ in range(int(spec.params.get("max_iter", 50))):
-            step = np.linalg.solve(gram + penalty, moment) - beta
-            size_of_step = 1.0
-            while True:
-                value, next_gram, next_moment = measure(beta + size_of_step * step)
-                if value < best or size_of_step < 1e-3:
-                    break
-                size_of_step /= 2
-            if value >= best:
-                break
-            gain = best - value
-            beta, best, gram, moment = beta + size_of_step * step, value, next_gram, next_moment
-            if gain <= float(spec.params.get("tol", 1e-5)) * max(1.0, abs(best)):
-                break
-        return KernelRegressor(spec, lift, beta)
+        return MarginModel(
+            spec, lift, np.array(fit_machines(data, lift or _identity, size, "tube", [start], spec, soft))
+        )
     finally:
         data.unpersist()

@@ -29,7 +29,7 @@ CLASSIFICATION: dict[str, Trainer] = {
     "logistic_regression": linear.train_logistic_regression,
     "mlp": network.train_network,
     "random_forest": trees.train_random_forest,
-    "svm": kernel.train_svm_classifier,
+    "svm": kernel.train_svm,
     "xgboost": trees.train_xgboost_style,
 }
 
@@ -43,7 +43,7 @@ REGRESSION: dict[str, Trainer] = {
     "lightgbm": trees.train_lightgbm_style,
     "mlp": network.train_network,
     "random_forest": trees.train_random_forest,
-    "svm": kernel.train_svm_regressor,
+    "svm": kernel.train_svm,
     "xgboost": trees.train_xgboost_style,
 }
 

@@ -66,6 +66,15 @@ def _weighted(weight: str | None) -> dict[str, str]:
     return {} if weight is None else {"weightCol": "__weight"}
 
 
+def _fit(estimator, data: DataFrame):
+    """Fit on a kept copy: trees read the rows once for classes, bins and bagging each."""
+    data = data.persist()
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
+
+
 def train_decision_tree(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> SparkModel:
     reject_unknown(spec.params, TREE_PARAMETERS, spec.model_type)
     data = assembled(df, spec.features, spec.label, weight)
@@ -74,7 +83,7 @@ def train_decision_tree(df: DataFrame, spec: ModelSpec, weight: str | None = Non
         tree = DecisionTreeClassifier(impurity=_impurity(spec.params), **options, **CLASS_COLUMNS)
     else:
         tree = DecisionTreeRegressor(**options)
-    return SparkModel(spec, tree.fit(data))
+    return SparkModel(spec, _fit(tree, data))
 
 
 def train_random_forest(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> SparkModel:
@@ -91,7 +100,7 @@ def train_random_forest(df: DataFrame, spec: ModelSpec, weight: str | None = Non
         )
     else:
         forest = RandomForestRegressor(featureSubsetStrategy=_strategy(wanted, "all"), **options)
-    return SparkModel(spec, forest.fit(data))
+    return SparkModel(spec, _fit(forest, data))
 
 
 def _train_boosted(
@@ -111,7 +120,7 @@ def _train_boosted(
     if spec.params.get("colsample_bytree") == 1.0:
         options["featureSubsetStrategy"] = "all"
     if spec.problem_type == "regression":
-        return SparkModel(spec, GBTRegressor(**options, **COLUMNS, **_weighted(weight)).fit(data))
+        return SparkModel(spec, _fit(GBTRegressor(**options, **COLUMNS, **_weighted(weight)), data))
     data = data.persist()
     try:
         if class_count(data, "__label") <= 2:

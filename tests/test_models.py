@@ -33,7 +33,7 @@ def curve(spark):
 CLASS_PARAMS = {
     "adaboost": {"n_estimators": 8}, "gboost": {"n_estimators": 5}, "xgboost": {"n_estimators": 5, "max_depth": 3},
     "lightgbm": {"n_estimators": 5}, "mlp": {"max_iter": 60, "batch_size": 8, "learning_rate_init": 0.005},
-    "random_forest": {"n_estimators": 20}, "svm": {"landmarks": 60, "max_iter": 20}, "logistic_regression": {"max_iter": 60},
+    "random_forest": {"n_estimators": 20}, "svm": {"landmarks": 60}, "logistic_regression": {"max_iter": 60},
 }
 WITHOUT_PROBABILITY = {"svm"}
 
@@ -169,18 +169,45 @@ def test_scale_gamma(flowers):
     assert kernel.scale_gamma(flowers, FLOWER_FEATURES) == pytest.approx(1 / (4 * x.var()))
 
 
-def test_svr_reaches_a_lower_objective_than_neighbours_of_it(curve):
-    spec = ModelSpec("regression", "svm", ["a", "b"], "y", {"kernel": "linear", "C": 1.0, "epsilon": 0.1, "landmarks": 50})
-    model = kernel.train_svm_regressor(curve, spec)
+@pytest.mark.parametrize("kind", ["linear", "rbf"])
+def test_svr_objective_is_lowest_nearby(curve, kind):
+    spec = ModelSpec("regression", "svm", ["a", "b"], "y", {"kernel": kind, "C": 1.0, "epsilon": 0.1, "landmarks": 50})
+    model = kernel.train_svm(curve, spec)
     pdf = curve.toPandas()
-    phi = np.column_stack([model.lift(pdf[["a", "b"]].to_numpy()), np.ones(len(pdf))])
+    x = pdf[["a", "b"]].to_numpy()
+    phi = np.column_stack([model.lift(x) if model.lift else x, np.ones(len(pdf))])
 
     def objective(beta):
         return 0.5 * beta[:-1] @ beta[:-1] + np.maximum(np.abs(pdf["y"].to_numpy() - phi @ beta) - 0.1, 0).sum()
 
-    best = objective(model.weights)
+    best = objective(model.weights[0])
     rng = np.random.default_rng(0)
-    assert all(best <= objective(model.weights + rng.normal(0, 0.05, len(model.weights))) + 1e-3 * best for _ in range(50))
+    assert all(
+        best <= objective(model.weights[0] + rng.normal(0, size, phi.shape[1])) + 1e-3 * best
+        for size in (0.001, 0.01, 0.1) for _ in range(50)
+    )
+
+
+def test_svm_machines_are_lowest_nearby(parts):
+    train = parts.where("split = 'train'")
+    spec = ModelSpec("classification", "svm", FLOWER_FEATURES, "y", {"kernel": "linear", "C": 0.5})
+    model = kernel.train_svm(train, spec)
+    pdf = train.toPandas()
+    phi = np.column_stack([pdf[FLOWER_FEATURES].to_numpy(), np.ones(len(pdf))])
+    rng = np.random.default_rng(0)
+    for code, beta in enumerate(model.weights):
+        goal = np.where(pdf["y"] == code, 1.0, -1.0)
+
+        def objective(b, goal=goal):
+            return 0.5 * b[:-1] @ b[:-1] + 0.5 * np.maximum(1 - goal * (phi @ b), 0).sum()
+
+        best = objective(beta)
+        assert all(
+            best <= objective(beta + rng.normal(0, size, 5)) + 2e-3 * best for size in (0.001, 0.01, 0.1) for _ in range(50)
+        )
+    two = train.where("y < 2")
+    both = kernel.train_svm(two, spec)
+    assert both.weights.shape == (1, 5) and both.transform(two).where("prediction <> y").count() == 0
 
 
 def test_network_gradient_is_right():
