@@ -16,6 +16,9 @@ from .state import read_state, write_state
 
 INLINE_LIMIT = 256
 BROADCAST_LIMIT = 10_000
+HOT_SHARE = 0.001
+SPREAD = 1000
+JSON_TYPES = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 @dataclass
@@ -34,8 +37,13 @@ class Dictionary:
 
     @classmethod
     def from_values(cls, spark, column: str, type_name: str, values: Sequence[Any]) -> Dictionary:
+        if type_name not in JSON_TYPES and any(isinstance(v, str) for v in values):
+            # Dates and the like come back from saved state as text.
+            texts = local_table(spark, [(str(v), i) for i, v in enumerate(values)], "v string, i bigint")
+            values = [r.v for r in texts.select(F.col("v").cast(type_name), "i").orderBy("i").collect()]
         rows = [(v, i) for i, v in enumerate(values)]
-        return cls(column, type_name, list(values), local_table(spark, rows, f"value {type_name}, code bigint"))
+        table = local_table(spark, rows, f"value {type_name}, code bigint")
+        return cls(column, type_name, list(values), table)
 
     @classmethod
     def fit(cls, df: DataFrame, column: str, limit: int = BROADCAST_LIMIT) -> Dictionary:
@@ -52,14 +60,11 @@ class Dictionary:
             spot = F.array_position(self._literal(), value)
             code = F.when(spot > 0, spot - 1).otherwise(F.lit(unseen).cast("bigint"))
             return df.withColumn(out, F.when(value.isNotNull(), code))
-        table = self.table.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
-        if self.values is not None:
-            table = F.broadcast(table)
-        joined = df.join(table, value == F.col("__value"), "left")
-        code = F.col("__code")
+        joined = self._looked_up(df, value, "value", "code")
+        code = F.col("__found")
         if unseen is not None:
             code = F.when(value.isNotNull(), F.coalesce(code, F.lit(unseen)))
-        return joined.withColumn(out, code).drop("__value", "__code")
+        return joined.withColumn(out, code).drop("__found")
 
     def decode(self, df: DataFrame, code_column: str, out: str) -> DataFrame:
         """Add ``out`` as text: the value behind a code, or the code itself if unknown."""
@@ -69,13 +74,37 @@ class Dictionary:
             found = F.get(self._literal(), code.cast("int")).cast("string")
             whole = code == F.floor(code)
             return df.withColumn(out, F.coalesce(F.when(whole & (code >= 0), found), fallback))
-        table = self.table.select(
-            F.col("code").alias("__code"), F.col("value").cast("string").alias("__value")
-        )
+        joined = self._looked_up(df, code, "code", "value")
+        return joined.withColumn(out, F.coalesce(F.col("__found").cast("string"), fallback)).drop("__found")
+
+    def _looked_up(self, df: DataFrame, key: Column, given: str, wanted: str) -> DataFrame:
+        """Add ``__found``: the ``wanted`` side of the dictionary for each key.
+
+        In an oversized dictionary the values that hold more than a thousandth of the rows
+        (so at most a thousand) are looked up by broadcast; in the shuffle join their rows
+        carry no key and are spread by a hash of the row, so no value fills a task.
+        """
+        pairs = self.table.select(F.col(given).alias("__key"), F.col(wanted).alias("__found"))
         if self.values is not None:
-            table = F.broadcast(table)
-        joined = df.join(table, code == F.col("__code"), "left")
-        return joined.withColumn(out, F.coalesce(F.col("__value"), fallback)).drop("__value", "__code")
+            return df.join(F.broadcast(pairs), key == F.col("__key"), "left").drop("__key")
+        hot = self.table.where(F.col("share") > HOT_SHARE).select(
+            F.col(given).alias("__hot_key"), F.col(wanted).alias("__hot")
+        )
+        spread = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(SPREAD)) + 1
+        marked = df.join(F.broadcast(hot), key == F.col("__hot_key"), "left").withColumns(
+            {
+                "__own": F.when(F.col("__hot").isNull(), key),
+                "__spot": F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread),
+            }
+        )
+        joined = marked.join(
+            pairs.withColumn("__zero", F.lit(0).cast("bigint")),
+            (F.col("__own") == F.col("__key")) & (F.col("__spot") == F.col("__zero")),
+            "left",
+        )
+        return joined.withColumn("__found", F.coalesce("__hot", "__found")).drop(
+            "__hot_key", "__hot", "__own", "__spot", "__key", "__zero"
+        )
 
     def save(self, path: str) -> None:
         spark = self.table.sparkSession

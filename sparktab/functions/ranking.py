@@ -48,6 +48,7 @@ def rank_cuts(
         result[g] = [None] * len(qs)
         pending[g] = {i: (None, q) for i, q in enumerate(qs) if q > 0}
     pending = {g: p for g, p in pending.items() if p}
+    few = max(1, min(GATHER_LIMIT, DRIVER_CELLS // max(1, sum(len(p) for p in pending.values()))))
     shift = 64
     g_col, k1, k2 = quoted(group), quoted(first_key), quoted(second_key)
     spark = df.sparkSession
@@ -84,8 +85,10 @@ def rank_cuts(
                     if low is not None and not low <= p < high:
                         continue
                     if rank <= n:
-                        if n <= GATHER_LIMIT or next_shift == 0:
+                        if n <= few:
                             small.setdefault((g, p), []).append((i, rank))
+                        elif next_shift == 0:
+                            raise ValueError(f"{n} rows share one key; a unique key is needed")
                         else:
                             following.setdefault(g, {})[i] = (p, rank)
                         break
@@ -149,7 +152,18 @@ def running_totals(
 
 
 def ranked_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """``(value, code)`` with codes 0..k-1 in sorted order, for any number of values."""
-    distinct = df.select(quoted(column).alias("value")).where("value IS NOT NULL").distinct()
-    ranked = running_totals(distinct, [F.col("value").asc()], {"code": F.lit(1).cast("bigint")})
-    return ranked.select("value", (F.col("code") - 1).alias("code"))
+    """``(value, code, share)``: codes 0..k-1 in sorted order, for any number of values.
+
+    ``share`` is the part of the non-null rows that hold the value.
+    """
+    counted = (
+        df.select(quoted(column).alias("value"))
+        .where("value IS NOT NULL")
+        .groupBy("value")
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    ranked = running_totals(
+        counted, [F.col("value").asc()], {"code": F.lit(1).cast("bigint"), "__upto": F.col("__n")}
+    )
+    total = ranked.agg(F.max("__upto").alias("n")).first().n or 1
+    return ranked.select("value", (F.col("code") - 1).alias("code"), (F.col("__n") / total).alias("share"))

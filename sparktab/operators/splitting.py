@@ -106,14 +106,17 @@ def _cut(
     names: Sequence[str],
     otherwise: str,
     out: str,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
     """Assign ``names`` to the first rows of each stratum in key order.
 
     Rows are compared with the keys of the cut rows, so no row is moved; only counts are
-    shuffled to find the cuts.
+    shuffled to find the cuts. ``narrow`` holds the stratum and the two keys of the same
+    rows, where these are cheaper to read than the rows themselves.
     """
     group = strata or "__all"
     data = df if strata else df.withColumn("__all", F.lit(0))
+    ranked = data if narrow is None else narrow if strata else narrow.withColumn("__all", F.lit(0))
     cumulative = {}
     for g, q in quotas.items():
         total, ranks = 0, []
@@ -121,7 +124,7 @@ def _cut(
             total += size
             ranks.append(total)
         cumulative[g] = ranks
-    cuts = rank_cuts(data, group, "__k1", "__k2", cumulative)
+    cuts = rank_cuts(ranked, group, "__k1", "__k2", cumulative)
     rows = []
     for g, found in cuts.items():
         flat: list[int | None] = []
@@ -176,26 +179,34 @@ def split_table(
         raise ValueError("without removing repeated rows a unique key is needed")
     if key is not None:
         require_columns(df, key)
-    data = df.dropDuplicates() if dedup else df
+    k1, k2 = order_keys(list(key or df.columns), seed, portable_keys)
+    keyed = df.withColumns({"__k1": k1, "__k2": k2})
     strata = label if stratified and label is not None else None
+    narrow = keyed.select(*([quoted(strata)] if strata else []), "__k1", "__k2")
+    if dedup:
+        # Equal rows have equal keys: counting needs the keys only, and the whole rows go
+        # through one shuffle, in the result.
+        if key is None:
+            narrow = narrow.distinct()
+        else:
+            narrow = df.dropDuplicates().withColumns({"__k1": k1, "__k2": k2}).select(*narrow.columns)
+        keyed = df.dropDuplicates().withColumns({"__k1": k1, "__k2": k2})
     counts: dict[Any, int] = {}
     if strata is not None:
-        rows = class_counts(data, strata).limit(MAX_STRATA + 1).collect()
+        rows = class_counts(narrow, strata).limit(MAX_STRATA + 1).collect()
         if len(rows) > MAX_STRATA:
             raise ValueError(f"label {label} has more than {MAX_STRATA} classes to stratify by")
         counts = {r.label: r.n for r in rows}
         if min((n for c, n in counts.items() if c is not None), default=0) < MIN_CLASS_ROWS:
             strata = None
-    n = sum(counts.values()) if counts else data.count()
+    n = sum(counts.values()) if counts else narrow.count()
     if n == 0:
         raise ValueError("no rows left to split")
     test, val = _sizes(n, test_size, val_size)
     if n - test - val <= 0:
         raise ValueError("the train part would be empty")
-    k1, k2 = order_keys(list(key or df.columns), seed, portable_keys)
-    keyed = data.withColumns({"__k1": k1, "__k2": k2})
     quotas = _quotas(counts, test, val) if strata else {0: (test, val)}
-    done = _cut(keyed, strata, quotas, ["test", "val"], "train", out).drop("__k1", "__k2")
+    done = _cut(keyed, strata, quotas, ["test", "val"], "train", out, narrow).drop("__k1", "__k2")
     if val == 0 and n - test > 5:
         return repair_splits(done, label if strata else None, seed, list(key or df.columns), out)
     return done

@@ -73,6 +73,12 @@ def test_rank_cuts_match_a_sort(spark, rows):
         assert [list(f) for f in found[g][1:]] == [ordered[q - 1] for q in quotas[g][1:]]
 
 
+def test_rank_cuts_refuse_shared_keys(spark):
+    df = spark.range(20_000).selectExpr("0 AS g", "CAST(7 AS BIGINT) AS a", "CAST(7 AS BIGINT) AS b")
+    with pytest.raises(ValueError, match="unique key"):
+        rank_cuts(df, "g", "a", "b", {0: [10]})
+
+
 def test_rank_cuts_refuse_too_large_quota(spark):
     df = spark.range(10).selectExpr("0 AS g", "id AS a", "id AS b")
     with pytest.raises(ValueError):
@@ -117,6 +123,13 @@ def test_dictionary_round_trip(spark, tmp_path):
         assert sorted((r.t, r.c) for r in again.encode(df, "c").collect()) == [("a", 0), ("b", 1)]
 
 
+def test_dictionary_of_dates_round_trip(spark, tmp_path):
+    df = spark.sql("SELECT DATE'2024-01-02' AS d UNION ALL SELECT DATE'2023-05-06'")
+    Dictionary.fit(df, "d").save(str(tmp_path / "d"))
+    again = Dictionary.load(spark, str(tmp_path / "d"))
+    assert [r.c for r in again.encode(df, "c").orderBy("d").collect()] == [0, 1]
+
+
 def test_against_all_meets_every_pair_once(spark):
     import pandas as pd
 
@@ -143,3 +156,13 @@ def test_local_table_types(spark):
     table = local_table(spark, [("a", 1, None), ("b", 2, 0.5)], "t string, n bigint, x double")
     assert [tuple(r) for r in table.collect()] == [("a", 1, None), ("b", 2, 0.5)]
     assert local_table(spark, [], "t string").count() == 0
+
+
+def test_hot_values_of_a_large_dictionary(spark):
+    # One value holds a third of the rows, the others are too many to broadcast.
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id AS STRING) END AS t")
+    codes = Dictionary.fit(df, "t", limit=10)
+    assert [r.value for r in codes.table.where("share > 0.3").collect()] == ["hot"]
+    order = sorted({r.t for r in df.collect()})
+    rows = codes.decode(codes.encode(df, "code"), "code", "back").collect()
+    assert len(rows) == 3000 and all(order[r.code] == r.t == r.back for r in rows)
