@@ -42,7 +42,7 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_splits(spark: SparkSession, sf_dir: str, label: str | None = None) -> DataFrame:
     rows = line_rows(spark, sf_dir)
     return splitting.split_table(
-        rows, label, stratified=label is not None, key=[*LINE_KEY, "l_suppkey"], dedup=False
+        rows, label, stratified=label is not None, key=[*LINE_KEY, "l_suppkey", "l_extendedprice"], dedup=False
     )
 
 
@@ -296,8 +296,8 @@ def knn_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flag_codes_sql(extra: str) -> str:
     return f"""
-    WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
-      dense_rank() OVER (ORDER BY l_returnflag) - 1 AS k FROM lineitem){extra}
+    WITH r AS (SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+      l_discount, l_tax, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS k FROM lineitem){extra}
     """
 
 
@@ -310,8 +310,8 @@ def _gaussian_sql() -> str:
     return _flag_codes_sql(f""",
     f AS (SELECT 1e-9 * {widest} AS w, count(*) AS n FROM r),
     p AS (SELECT k, count(*) AS c, {moments} FROM r GROUP BY k),
-    s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p.k, ln(c / n) {score} AS score FROM r, p, f),
-    b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY score DESC, k) AS spot FROM s)
+    s AS (SELECT rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, p.k, ln(c / n) {score} AS score FROM r, p, f),
+    b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, k) AS spot FROM s)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(k AS DOUBLE) AS prediction FROM b WHERE spot = 1""")
 
 
@@ -332,8 +332,8 @@ def _bernoulli_sql() -> str:
     return _flag_codes_sql(f""",
     x AS (SELECT *, {flags} FROM r),
     p AS (SELECT k, count(*) AS c, {sums} FROM x GROUP BY k),
-    s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p.k, ln(c / (SELECT count(*) FROM r)) {score} AS score FROM x, p),
-    b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY score DESC, k) AS spot FROM s)
+    s AS (SELECT rid, l_orderkey, l_linenumber, l_partkey, l_suppkey, p.k, ln(c / (SELECT count(*) FROM r)) {score} AS score FROM x, p),
+    b AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, k) AS spot FROM s)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(k AS DOUBLE) AS prediction FROM b WHERE spot = 1""")
 
 
@@ -551,7 +551,7 @@ def lineitem_forest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
             "standardise": True,
             "nulls": {"style": "median_cols"},
             "outliers": {"columns": ["l_extendedprice"], "treatment": "fill_outlier"},
-            "split": {"key": [*LINE_KEY, "l_suppkey"], "dedup": False},
+            "split": {"key": [*LINE_KEY, "l_suppkey", "l_extendedprice"], "dedup": False},
             "model": {"type": "random_forest", "params": {"n_estimators": 20}},
         },
         lines,
