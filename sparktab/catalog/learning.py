@@ -110,7 +110,7 @@ def simple_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     model = registry.train(lines, "regression", "LR", ["l_quantity", "l_discount"], "l_extendedprice")
-    return rounded(spark.createDataFrame(linear.coefficients(model), "term string, coefficient double"), 3)
+    return rounded(linear.coefficient_table(spark, model), 3)
 
 
 @query(
@@ -125,7 +125,7 @@ def linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lasso(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = registry.train(table(spark, sf_dir, "lineitem"), "regression", "lasso", ["l_quantity"], "l_extendedprice")
-    return rounded(spark.createDataFrame(linear.coefficients(model), "term string, coefficient double"), 2)
+    return rounded(linear.coefficient_table(spark, model), 2)
 
 
 @query("lasso_many_features")

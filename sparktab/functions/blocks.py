@@ -38,7 +38,7 @@ def against_all(
     """
     right_count = right.count()
     if right_count * len(right.columns) * 8 <= broadcast_bytes:
-        shared = left.sparkSession.sparkContext.broadcast(right.toPandas())
+        shared = left.sparkSession.sparkContext.broadcast(right.toArrow().to_pandas())
 
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

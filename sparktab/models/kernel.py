@@ -100,7 +100,8 @@ def fit_landmarks(df: DataFrame, spec: ModelSpec) -> LandmarkMap:
         .orderBy(F.xxhash64(F.lit(seed), *[F.col(f"f{i}") for i in range(len(x))]))
         .limit(count)
         .drop("__n")
-        .toPandas()
+        .toArrow()
+        .to_pandas()
     )
     return LandmarkMap(
         kind, float(gamma), int(params.get("degree", 3)), float(params.get("coef0", 0.0)),
@@ -108,6 +109,12 @@ def fit_landmarks(df: DataFrame, spec: ModelSpec) -> LandmarkMap:
     )
 
 
+# How far past the margin a loss is rounded off, as shares of the scale of the losses: wide
+# at first, where steps are long, then nearly sharp.
+ROUNDINGS = (1.0, 0.1, 0.01, 0.001)
+ROUGH_TOL = 1e-2
+
+
 class _System:
     """One margin or one regression: its current weights and the step being tried."""
 
@@ -116,6 +123,7 @@ class _System:
         self.step = np.zeros_like(start)
         self.share = 1.0
         self.best = np.inf
+        self.level = 0
         self.done = False
 
     @property
@@ -124,14 +132,20 @@ class _System:
 
     def judge(self, value: float, gram: np.ndarray, moment: np.ndarray, ridge: np.ndarray, tol: float) -> None:
         """Take the candidate if it lowers the objective, else try half the step."""
-        if value >= self.best:
+        if value < self.best:
+            gain = self.best - value
+            self.beta, self.best, self.share = self.candidate, value, 1.0
+            self.step = np.linalg.solve(gram + ridge, moment) - self.beta
+            last = self.level == len(ROUNDINGS) - 1
+            settled = gain <= (tol if last else ROUGH_TOL) * max(1.0, abs(value))
+        else:
             self.share /= 2
-            self.done = self.share < 1e-3
-            return
-        gain = self.best - value
-        self.beta, self.best, self.share = self.candidate, value, 1.0
-        self.step = np.linalg.solve(gram + ridge, moment) - self.beta
-        self.done = gain <= tol * max(1.0, abs(value))
+            settled = self.share < 1e-3
+        if settled and self.level < len(ROUNDINGS) - 1:
+            self.level, self.best, self.share = self.level + 1, np.inf, 1.0
+            self.step = np.zeros_like(self.beta)
+        elif settled:
+            self.done = True
 
 
 def _pull(kind: str, y: np.ndarray, f: np.ndarray, tube: float, soft: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -147,13 +161,13 @@ def _pull(kind: str, y: np.ndarray, f: np.ndarray, tube: float, soft: float) ->
 
 
 def fit_machines(
-    data: DataFrame, lift, size: int, kind: str, starts: list[np.ndarray], spec: ModelSpec, soft: float
+    data: DataFrame, lift, size: int, kind: str, starts: list[np.ndarray], spec: ModelSpec, scale: float
 ) -> list[np.ndarray]:
     """Reweighted least squares for the hinge or the epsilon-insensitive loss.
 
     ``data`` holds the features, ``y`` and ``w``. Each round is one job for all machines:
     partitions add up their share of the weighted normal equations and of the objectives;
-    the driver solves one system of ``size`` unknowns per machine. Some fifteen passes
+    the driver solves one system of ``size`` unknowns per machine. Some thirty passes
     settle what a gradient method with line search needs hundreds for.
     """
     cost, tube = float(spec.params.get("C", 1.0)), float(spec.params.get("epsilon", 0.1))
@@ -165,7 +179,7 @@ def fit_machines(
     together = max(1, PAYLOAD_NUMBERS // width)
 
     def measure(numbers: list[int]) -> np.ndarray:
-        betas = np.array([systems[i].candidate for i in numbers])
+        tried = [(systems[i].candidate, scale * ROUNDINGS[systems[i].level]) for i in numbers]
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
@@ -178,7 +192,7 @@ def fit_machines(
                 seen = True
                 phi = np.column_stack([lift(values[:, :-2]), np.ones(len(values))])
                 y, w = values[:, -2], values[:, -1]
-                for row, number, beta in zip(total, numbers, betas):
+                for row, number, (beta, soft) in zip(total, numbers, tried):
                     goal = np.where(y == number, 1.0, -1.0) if kind == "hinge" else y
                     weight, target, losses = _pull(kind, goal, phi @ beta, tube, soft)
                     weight = cost * w * weight
@@ -194,7 +208,7 @@ def fit_machines(
         found = _summed(data.mapInPandas(work, "part int, payload array<double>"))
         return found.reshape(len(numbers), width)
 
-    for _ in range(int(spec.params.get("max_iter", 50))):
+    for _ in range(int(spec.params.get("max_iter", 100))):
         waiting = [i for i, s in enumerate(systems) if not s.done]
         if not waiting:
             break
@@ -287,14 +301,13 @@ def train_svm(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> Marg
             classes = class_count(data, "y")
             # Two classes need one machine, for class 1; system numbers are class codes.
             starts = [np.zeros(size) for _ in range(classes)]
-            fitted = fit_machines(data, lift or _identity, size, "hinge", starts, spec, 1e-3)
+            fitted = fit_machines(data, lift or _identity, size, "hinge", starts, spec, 1.0)
             return MarginModel(spec, lift, np.array(fitted if classes > 2 else fitted[1:]))
         middle = data.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
         start = np.zeros(size)
         start[-1] = middle.m
-        soft = max(1e-3 * (middle.s or 1.0), 1e-9)
         return MarginModel(
-            spec, lift, np.array(fit_machines(data, lift or _identity, size, "tube", [start], spec, soft))
+            spec, lift, np.array(fit_machines(data, lift or _identity, size, "tube", [start], spec, middle.s or 1.0))
         )
     finally:
         data.unpersist()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import quoted
+from ..session import local_table
 from .base import VECTOR, ModelSpec, SparkModel, assembled, reject_unknown
 
 COLUMNS = {"featuresCol": VECTOR, "labelCol": "__label", "predictionCol": "__prediction"}
@@ -82,6 +83,11 @@ def coefficients(model: SparkModel) -> list[tuple[str, float]]:
     return [*pairs, ("(intercept)", float(model.stage.intercept))]
 
 
+def coefficient_table(spark: SparkSession, model: SparkModel) -> DataFrame:
+    """The same pairs as a table ``(term, coefficient)``."""
+    return local_table(spark, coefficients(model), "term string, coefficient double")
+
+
 def simple_regression(df: DataFrame, feature: str, label: str) -> DataFrame:
     """Slope, intercept and R2 of one feature, as one aggregate."""
     x, y = quoted(feature).cast("double"), quoted(label).cast("double")
