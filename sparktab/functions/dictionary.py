@@ -124,10 +124,13 @@ class Dictionary:
 
 
 def fit_dictionaries(
-    df: DataFrame, columns: Sequence[str], limit: int = BROADCAST_LIMIT
+    df: DataFrame, columns: Sequence[str], limit: int = BROADCAST_LIMIT, lists: dict | None = None
 ) -> dict[str, Dictionary]:
-    """Dictionaries of several columns from one scan (plus one per oversized column)."""
-    lists = distinct_lists(df, columns, limit)
+    """Dictionaries of several columns from one scan (plus one per oversized column).
+
+    ``lists`` reuses distinct lists already found.
+    """
+    lists = distinct_lists(df, columns, limit) if lists is None else lists
     out = {}
     for c in columns:
         type_name = data_type(df, c).simpleString()

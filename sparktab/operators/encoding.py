@@ -36,15 +36,29 @@ def classify_columns(
 
     Encode lists are restricted to feature columns, and ordinal wins over one-hot.
     """
+    return _roles_and_scaling(df, features, onehot, ordinal, False)[0]
+
+
+def _roles_and_scaling(df, features, onehot, ordinal, standardise):
+    """Roles, and mean and population deviation of the numbers, from one aggregate."""
     require_columns(df, features)
     ordinal = [c for c in ordinal if c in features]
     onehot = [c for c in onehot if c in features and c not in ordinal]
     rest = [c for c in features if c not in ordinal and c not in onehot]
     numbers = [c for c in rest if is_numeric(df, c)]
+    scaling: dict[str, tuple[float, float]] = {}
     if numbers:
-        filled = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(numbers)]).first()
-        numbers = [c for i, c in enumerate(numbers) if filled[f"n{i}"] > 0]
-    return ColumnRoles(onehot, ordinal, numbers, [c for c in rest if c not in numbers])
+        wanted = {"n": F.count}
+        if standardise:
+            wanted |= {"m": F.avg, "s": F.stddev_pop}
+        row = df.agg(
+            *[f(quoted(c)).alias(f"{k}{i}") for i, c in enumerate(numbers) for k, f in wanted.items()]
+        ).first()
+        filled = [(i, c) for i, c in enumerate(numbers) if row[f"n{i}"] > 0]
+        if standardise:
+            scaling = {c: (float(row[f"m{i}"]), float(row[f"s{i}"]) or 1.0) for i, c in filled}
+        numbers = [c for _, c in filled]
+    return ColumnRoles(onehot, ordinal, numbers, [c for c in rest if c not in numbers]), scaling
 
 
 def _name(value: Any) -> str:
@@ -79,28 +93,22 @@ class FeatureTransformer:
         """Learn categories, codes, means and deviations from ``df`` (usually the train part)."""
         if remainder not in ("passthrough", "drop"):
             raise ValueError("remainder must be 'passthrough' or 'drop'")
-        roles = classify_columns(df, features, onehot, ordinal)
+        roles, scaling = _roles_and_scaling(df, features, onehot, ordinal, standardise)
         keep_numeric = standardise or remainder == "passthrough"
         if not (roles.onehot or roles.ordinal or (roles.numeric and keep_numeric)):
             raise ValueError("no usable feature column is left")
+        lists = distinct_lists(df, [*roles.onehot, *roles.ordinal], MAX_ONEHOT)
         categories: dict[str, list[Any]] = {}
-        for c, found in distinct_lists(df, roles.onehot, MAX_ONEHOT).items():
-            if found is None:
+        for c in roles.onehot:
+            if lists[c] is None:
                 raise ValueError(
                     f"{c} has more than {MAX_ONEHOT} categories, one column each; use ordinal codes"
                 )
-            categories[c] = found[0] + ([None] if found[1] else [])
-        scaling: dict[str, tuple[float, float]] = {}
-        if standardise and roles.numeric:
-            row = df.agg(
-                *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(roles.numeric)],
-                *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(roles.numeric)],
-            ).first()
-            for i, c in enumerate(roles.numeric):
-                scaling[c] = (float(row[f"m{i}"]), float(row[f"s{i}"]) or 1.0)
+            values, has_nulls = lists[c]
+            categories[c] = values + ([None] if has_nulls else [])
         return cls(
             roles, standardise, keep_numeric, categories,
-            fit_dictionaries(df, roles.ordinal), scaling,
+            fit_dictionaries(df, roles.ordinal, MAX_ONEHOT, lists), scaling,
         )
 
     @property
