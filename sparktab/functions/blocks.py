@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .columns import quoted
 
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 50_000
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 

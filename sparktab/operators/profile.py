@@ -48,7 +48,7 @@ def column_profile(
     """One row per column: type, counts, distinct values, numeric summary, outliers.
 
     Text columns carry ``unique_ratio``; numeric columns mean, median, min, max and the
-    outlier count and range. Four passes over the data for all columns together.
+    outlier count and range. Five passes over the data for all columns together.
     """
     columns = list(columns or df.columns)
     require_columns(df, columns)
@@ -65,6 +65,8 @@ def column_profile(
             for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max))
         ],
     ).first()
+    # A scan of its own: together, every distinct value would carry all other buffers
+    # through the shuffle.
     distinct = data.agg(
         *[F.count_distinct(quoted(c)).alias(f"d{i}") for c, i in spot.items()]
     ).first()
