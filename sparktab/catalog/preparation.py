@@ -99,12 +99,12 @@ def _numeric_profile_sql(name: str, expr: str, source: str, dtype: str) -> str:
     SELECT '{name}' AS "column", '{dtype}' AS dtype, count({expr}) AS non_null_count,
            count(*) - count({expr}) AS null_count, count(DISTINCT {expr}) AS unique_values,
            CAST(NULL AS DOUBLE) AS unique_ratio, round(avg({expr}), 4) AS mean,
-           round(quantile_cont({expr}, 0.5), 4) AS median, round(CAST(min({expr}) AS DOUBLE), 4) AS min,
-           round(CAST(max({expr}) AS DOUBLE), 4) AS max,
+           round(quantile_cont({expr}, 0.5), 6) AS median, round(CAST(min({expr}) AS DOUBLE), 6) AS min,
+           round(CAST(max({expr}) AS DOUBLE), 6) AS max,
            (SELECT count(*) FROM {source} s2, (SELECT quantile_cont({expr}, 0.25) q1, quantile_cont({expr}, 0.75) q3 FROM {source}) q
              WHERE {expr} < q1 - 1.5 * (q3 - q1) OR {expr} > q3 + 1.5 * (q3 - q1)) AS outliers_count,
-           round(quantile_cont({expr}, 0.25) - 1.5 * (quantile_cont({expr}, 0.75) - quantile_cont({expr}, 0.25)), 4) AS outlier_lower,
-           round(quantile_cont({expr}, 0.75) + 1.5 * (quantile_cont({expr}, 0.75) - quantile_cont({expr}, 0.25)), 4) AS outlier_upper
+           round(quantile_cont({expr}, 0.25) - 1.5 * (quantile_cont({expr}, 0.75) - quantile_cont({expr}, 0.25)), 6) AS outlier_lower,
+           round(quantile_cont({expr}, 0.75) + 1.5 * (quantile_cont({expr}, 0.75) - quantile_cont({expr}, 0.25)), 6) AS outlier_upper
     FROM {source}
     """
 
@@ -113,12 +113,18 @@ def _text_profile_sql(name: str, source: str) -> str:
     return f"""
     SELECT '{name}' AS "column", 'string' AS dtype, count({name}) AS non_null_count,
            count(*) - count({name}) AS null_count, count(DISTINCT {name}) AS unique_values,
-           round(count(DISTINCT {name}) / count({name}), 4) AS unique_ratio, NULL AS mean, NULL AS median,
+           round(count(DISTINCT {name}) / count({name}), 6) AS unique_ratio, NULL AS mean, NULL AS median,
            NULL AS min, NULL AS max, 0 AS outliers_count, NULL AS outlier_lower, NULL AS outlier_upper
     FROM {source}
     """
 
 
+def _shown(df: DataFrame) -> DataFrame:
+    """Six digits, so that quartile bounds never fall on a rounding tie; four for the mean."""
+    doubles = [c for c, t in df.dtypes if t == "double"]
+    return df.withColumns({c: F.round(c, 4 if c == "mean" else 6) for c in doubles})
+
+
 @query(
     "column_profile_numeric",
     " UNION ALL ".join(
@@ -128,7 +134,7 @@ def _text_profile_sql(name: str, source: str) -> str:
 )
 def column_profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return rounded(profile.column_profile(table(spark, sf_dir, "lineitem"), columns=columns))
+    return _shown(profile.column_profile(table(spark, sf_dir, "lineitem"), columns=columns))
 
 
 @query(
@@ -140,7 +146,7 @@ def column_profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def column_profile_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["value", "user_id", "event_type", "props"]
-    return rounded(profile.column_profile(table(spark, sf_dir, "events"), columns=columns))
+    return _shown(profile.column_profile(table(spark, sf_dir, "events"), columns=columns))
 
 
 @query("sample_values", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 5")
