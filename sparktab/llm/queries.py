@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .contamination import find_benchmark
 from .exact import decide_copies
+from .pieces import encode_texts
+from .simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +91,31 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide_copies(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op8_simhash_near_dedup")
+def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, distance=3)
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+@query("op3_sentencepiece")
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", piece_model()))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
