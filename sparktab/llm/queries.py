@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .contamination import find_benchmark
 from .exact import decide_copies
+from .licenses import find_licenses
 from .pieces import encode_texts
+from .secrets import find_secrets
 from .simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +121,45 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
         sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query("op2_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        words = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(words, ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        number("assign"),
+        number("access"),
+        number("hex"),
+        sha256(joined(F.filter("spans", lambda s: s["kind"] != "random"))).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op4_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("places", lambda p: p["phrase"])
+    starts = F.transform(base, lambda p: p["begin"])
+
+    def labels(places: Column | str) -> Column:
+        return F.array_join(F.sort_array(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels("places").alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
+    )
