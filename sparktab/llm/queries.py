@@ -10,6 +10,7 @@ from .contamination import find_benchmark
 from .exact import decide_copies
 from .licenses import find_licenses
 from .pieces import encode_texts
+from .resampling import resample
 from .secrets import find_secrets
 from .simhash import near_duplicates
 
@@ -163,3 +164,16 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels("places").alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p["share"])), F.lit(0.0)).alias("score"),
     )
+
+
+@query("op10_quality_resampling")
+def quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resample(docs, table(spark, sf_dir, "labels"))
+    return found.select(
+        F.col("row.c0").alias("doc_id"),
+        "n_grams",
+        F.round("log_weight", 6).alias("log_weight"),
+        F.round("sample_key", 6).alias("sample_key"),
+        "kept",
+    )
