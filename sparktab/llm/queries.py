@@ -11,7 +11,7 @@ from .exact import decide_copies
 from .licenses import find_licenses
 from .pieces import encode_texts
 from .resampling import resample
-from .secrets import find_secrets
+from .secret_spans import find_secrets
 from .simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
