@@ -32,8 +32,8 @@ MARKER = "▁"
 MARKED_WORD = re.compile(f"{MARKER}+[^{MARKER}]*")
 #: Marked words that a task remembers between blocks; the table is begun anew beyond that.
 TABLE_WORDS = 300_000
-#: Bytes of text encoded at a time.
-TEXT_BLOCK = 1_000_000
+#: Bytes of text encoded at a time, and chunks handed to the library at a time.
+TEXT_BLOCK, CALL_CHUNKS = 2_000_000, 10_000
 
 _CROSSING = re.compile(f"[^{MARKER}]{MARKER}")
 
@@ -68,7 +68,13 @@ class ChunkEncoder:
         self.processor = _processor(model_path)
         self.end = [self.processor.eos_id()] if end else []
         self.split = splits_at_markers(self.processor)
-        self.table: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin the table anew, with the end ids as its row 0."""
+        self.table: dict[str, int] = {}
+        self.ids = np.array(self.end, np.int32)
+        self.sizes = np.array([len(self.end)], np.int64)
 
     def chunks(self, text: str) -> list[str]:
         if not text:
@@ -77,11 +83,18 @@ class ChunkEncoder:
 
     def segment(self, chunks: list[str]) -> None:
         """Add the ids of chunks that the table lacks. The library puts the first marker back."""
-        plain = [chunk[1:] for chunk in chunks] if self.split else chunks
-        ids = self.processor.encode(plain, num_threads=1, add_bos=False, add_eos=False)
         alone = [self.processor.piece_to_id(MARKER)]
-        for chunk, found in zip(chunks, ids):
-            self.table[chunk] = np.array(alone if self.split and chunk == MARKER else found, np.int32)
+        all_ids, all_sizes = [self.ids], [self.sizes]
+        for at in range(0, len(chunks), CALL_CHUNKS):
+            part = chunks[at : at + CALL_CHUNKS]
+            plain = [chunk[1:] for chunk in part] if self.split else part
+            found = self.processor.encode(plain, num_threads=1, add_bos=False, add_eos=False)
+            if self.split:
+                found = [alone if chunk == MARKER else ids for chunk, ids in zip(part, found)]
+            all_sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            all_ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(all_sizes[-1].sum())))
+        self.table.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks))))
+        self.ids, self.sizes = np.concatenate(all_ids), np.concatenate(all_sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
@@ -90,20 +103,18 @@ class ChunkEncoder:
         flat = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
         distinct = flat.dictionary.to_pylist()
         if len(self.table) > TABLE_WORDS:
-            self.table = {}
+            self.forget()
         if missing := [chunk for chunk in distinct if chunk not in self.table]:
             self.segment(missing)
-        rows = [self.table[chunk] for chunk in distinct]
-        # Position join: every chunk's run of ids, an end row after each text's last chunk.
-        rows.append(np.array(self.end, np.int32))
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        begins = np.cumsum(sizes) - sizes
-        order = np.insert(flat.indices.to_numpy().astype(np.int64), np.cumsum(counts), len(rows) - 1)
-        lengths = sizes[order]
+        rows = np.fromiter(map(self.table.__getitem__, distinct), np.int64, len(distinct))
+        # Position join: every chunk's run of ids, the end row after each text's last chunk.
+        order = np.insert(rows[flat.indices.to_numpy()], np.cumsum(counts), 0)
+        begins = np.cumsum(self.sizes) - self.sizes
+        lengths = self.sizes[order]
         before = np.cumsum(lengths) - lengths
         spots = np.arange(int(lengths.sum())) + np.repeat(begins[order] - before, lengths)
         owner = np.repeat(np.arange(len(texts)), counts + 1)
-        return np.concatenate(rows)[spots], np.bincount(owner, lengths, len(texts)).astype(np.int64)
+        return self.ids[spots], np.bincount(owner, lengths, len(texts)).astype(np.int64)
 
 
 def encoder(model_path: str, end: bool = True):

@@ -11,6 +11,7 @@ from .exact import decide_copies
 from .licenses import find_licenses
 from .pieces import encode_texts
 from .resampling import resample
+from .scoring import score_texts
 from .secret_spans import find_secrets
 from .simhash import near_duplicates
 
@@ -177,3 +178,8 @@ def quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("sample_key", 6).alias("sample_key"),
         "kept",
     )
+
+
+@query("op7_attention_lm")
+def attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), piece_model())
