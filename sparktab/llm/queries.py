@@ -14,6 +14,7 @@ from .resampling import resample
 from .scoring import score_texts
 from .secret_spans import find_secrets
 from .simhash import near_duplicates
+from .units import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,3 +184,17 @@ def quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_attention_lm")
 def attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), piece_model())
+
+
+@query("op5_unit_dedup")
+def unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", s["begin"].cast("string"), s["end"].cast("string")))
+    sizes = F.transform("removed", lambda s: s["end"] - s["begin"])
+    return found.select(
+        "doc_id",
+        F.size("removed").cast("bigint").alias("n_removed"),
+        F.aggregate(sizes, F.lit(0), lambda total, size: total + size).cast("bigint").alias("removed_chars"),
+        F.array_join(spans, ",").alias("removed_spans"),
+        "text",
+    )
