@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .contamination import find_benchmark
 from .exact import decide_copies
+from .extraction import extract_text
 from .licenses import find_licenses
 from .pieces import encode_texts
 from .resampling import resample
@@ -198,3 +199,9 @@ def unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(spans, ",").alias("removed_spans"),
         "text",
     )
+
+
+@query("op1_html_text")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "main_blocks", "all_blocks")
