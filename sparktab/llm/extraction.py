@@ -8,7 +8,7 @@ by line ends, are the text.
 
 The labeller is trained from a bounded sample of pages. Their blocks are labelled by where
 they stand: inside an article or main element, but not in what an article carries along
-(menus, forms, comments and so on). Each sample page is used as it is and once with its
+(menus, forms, comments and so on). Each sample page is used as it is and twice with its
 paragraphs and boilerplate put into containers that the sample may lack. Pages without such
 elements are read but do not train. A few pages of fixed sentences in all known containers
 train along, alone if the sample has no labelled page.
@@ -32,11 +32,13 @@ from .common import blocks, text_of
 from .tags import Block, leaf_blocks
 
 #: Pages of the training sample, and blocks of each that are used for training.
-SAMPLE_PAGES, SAMPLE_BLOCKS = 1_000, 60
+SAMPLE_PAGES, SAMPLE_BLOCKS = 500, 60
 #: Hash buckets of path parts and of words; numbers beside them.
-PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 96, 48, 6
+PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 256, 32, 6
 INPUTS = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
-EPOCHS, RATE = 4, 0.01
+EPOCHS, RATE = 6, 0.01
+#: Pages of fixed sentences that train along.
+FIXED_PAGES = 400
 #: Bytes of pages parsed and labelled together.
 PAGE_BLOCK = 1_000_000
 
@@ -57,6 +59,10 @@ OTHER_PATHS = (
     ("section", ".comments"), ("div", ".comment"), ("ul", ".comments", "li"), ("div", ".share"), ("div", ".related"),
     ("div", ".newsletter"), ("div", ".banner"), ("div", ".footer"), ("div", ".header"), ("div", ".popup"),
 )
+LEAVES = (
+    ("p",), ("p",), ("p",), ("h1",), ("h2",), ("h3",), ("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"),
+    ("table", "tr", "td"), ("pre",), ("dl", "dd"), ("figure", "figcaption"), ("div",), ("div", "p"), ("section", "p"),
+)
 FIXED_SENTENCES = (
     "The council met on Monday and agreed to repair the old bridge before winter.",
     "Nobody had expected the river to rise so quickly, the mayor said after the meeting.",
@@ -130,43 +136,44 @@ class Vectors:
         return rows
 
 
+def _some(rng: np.random.Generator, paths: tuple) -> tuple[str, ...]:
+    return paths[rng.integers(len(paths))]
+
+
+def _other_path(rng: np.random.Generator, main: tuple[str, ...]) -> tuple[str, ...]:
+    """A boilerplate container, sometimes within the main one, with or without an element below it."""
+    inside = main if rng.random() < 0.4 else ()
+    return (*inside, *_some(rng, OTHER_PATHS), *(_some(rng, LEAVES) if rng.random() < 0.6 else ()))
+
+
 def varied(page: list[Block], labels: np.ndarray, seed: int) -> list[Block]:
     """The page with its main blocks in one main container and every run of others in some other one."""
     rng = np.random.default_rng(seed)
-    main = MAIN_PATHS[rng.integers(len(MAIN_PATHS))]
-    out, other = [], OTHER_PATHS[rng.integers(len(OTHER_PATHS))]
-    for i, block in enumerate(page):
-        if labels[i]:
-            within = next(k for k, part in enumerate(block.path) if part in MAIN_PARTS)
-            rest = tuple(part for part in block.path[within + 1 :] if part not in MAIN_PARTS)
-            out.append(block._replace(path=("html", "body", *main, *rest)))
+    main = _some(rng, MAIN_PATHS)
+    out, other = [], _other_path(rng, main)
+    for block, wanted in zip(page, labels):
+        if wanted:
+            path = (*main, *_some(rng, LEAVES))
+        elif rng.random() < 0.5:
+            path = other = _other_path(rng, main)
         else:
-            if rng.random() < 0.5:
-                other = OTHER_PATHS[rng.integers(len(OTHER_PATHS))]
-            inside = main if rng.random() < 0.3 else ()
-            out.append(block._replace(path=("html", "body", *inside, *other)))
+            path = other
+        out.append(block._replace(path=("html", "body", *path)))
     return out
 
 
-def fixed_pages() -> list[list[Block]]:
-    """Small pages of fixed sentences, for the containers that a sample may lack."""
-    pages = []
-    for n, main in enumerate(MAIN_PATHS * 12):
-        page = [Block(("html", "body", *OTHER_PATHS[n % len(OTHER_PATHS)]), "Home", 4)]
-        page += [Block(("html", "body", *main, "h1"), FIXED_SENTENCES[n % 3][:30], 0)]
-        page += [Block(("html", "body", *main, "p"), sentence, 0) for sentence in FIXED_SENTENCES]
-        page += [
-            Block(("html", "body", *(main if (n + k) % 2 else ()), *path), FIXED_SENTENCES[k % 3], 0)
-            for k, path in enumerate(OTHER_PATHS[n % 5 :: 5])
-        ]
-        pages.append(page)
-    return pages
-
-
-def _fixed_labels(page: list[Block]) -> np.ndarray:
-    last = [block.path[2:] for block in page]
-    mains = {(*main, leaf) for main in MAIN_PATHS for leaf in ("h1", "p")}
-    return np.array([path in mains for path in last], np.int8)
+def fixed_pages(number: int) -> Iterator[tuple[list[Block], np.ndarray]]:
+    """Small labelled pages of fixed sentences, for the containers that a sample may lack."""
+    for seed in range(number):
+        rng = np.random.default_rng(seed)
+        kinds = [0] * rng.integers(0, 5) + [1] * rng.integers(1, 6)
+        for _ in range(rng.integers(0, 4)):
+            kinds.insert(rng.integers(len(kinds) + 1), 0)
+        kinds += [1] * rng.integers(0, 4) + [0] * rng.integers(0, 6)
+        labels = np.array(kinds, np.int8)
+        texts = [_some(rng, FIXED_SENTENCES)[: rng.integers(10, 90)] for _ in kinds]
+        page = [Block((), text, len(text) if not kind and rng.random() < 0.4 else 0) for text, kind in zip(texts, kinds)]
+        yield varied(page, labels, seed), labels
 
 
 def train_labeller(samples: list[list[Block]]) -> lstm.Parameters:
@@ -174,17 +181,17 @@ def train_labeller(samples: list[list[Block]]) -> lstm.Parameters:
     vectors, sequences, targets = Vectors(), [], []
 
     def add(page: list[Block], labels: np.ndarray) -> None:
-        for at in range(0, len(page), SAMPLE_BLOCKS):
-            sequences.append(vectors.page(page)[at : at + SAMPLE_BLOCKS])
-            targets.append(labels[at : at + SAMPLE_BLOCKS])
+        sequences.append(vectors.page(page))
+        targets.append(labels)
 
-    for page in fixed_pages():
-        add(page, _fixed_labels(page))
+    for page, labels in fixed_pages(FIXED_PAGES):
+        add(page, labels)
     for n, page in enumerate(samples):
         labels = rule_labels(page)
         if labels is not None:
             add(page, labels)
-            add(varied(page, labels, n), labels)
+            add(varied(page, labels, 2 * n), labels)
+            add(varied(page, labels, 2 * n + 1), labels)
     return lstm.train(lstm.first_parameters(INPUTS), sequences, targets, EPOCHS, RATE)
 
 
