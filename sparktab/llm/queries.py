@@ -118,12 +118,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def piece_digests(encoded: DataFrame) -> DataFrame:
+def piece_digests(encoded: DataFrame, *more: Column) -> DataFrame:
     return encoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
         sha256(F.col("decoded")).alias("decoded_sha256"),
+        *more,
     )
 
 
