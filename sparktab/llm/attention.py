@@ -138,7 +138,7 @@ def gradient(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.nda
     return loss, grads
 
 
-def train(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.ndarray, rate: float, batch: int = 64) -> Parameters:
+def train(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.ndarray, rate: float, batch: int = 32) -> Parameters:
     """One pass of Adam over the windows in their order."""
     p = {name: value.copy() for name, value in p.items()}
     first = {name: np.zeros_like(value) for name, value in p.items()}

@@ -52,7 +52,7 @@ FREQUENT_WORDS = 300_000
 WINDOW_EVERY = 256
 #: Windows of a training shard, rounds of training and their step sizes.
 SHARD_WINDOWS = 8192
-RATES = (0.02, 0.01, 0.005)
+RATES = (0.03, 0.015, 0.005)
 
 
 def is_held_out(id_column: Column) -> Column:

@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models for everything they miss.
 
 Patterns give the base spans. They also label the training samples: the values they match
-are samples of random strings, all other runs of identifier characters are samples of
-ordinary text. Two first-order character models are counted over the whole table from those
+are samples of random strings; other runs of identifier characters are samples of ordinary
+text, but for long ones that mix letters and digits, which are not labelled. Two first-order character models are counted over the whole table from those
 samples. A run of 16 or more identifier characters outside the base spans is a secret too if
 its log-likelihood ratio, random over ordinary, is above the threshold in total and per
 character. Counting and scanning each read a text once where it lies; only model counts are
@@ -37,12 +37,15 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SIZE = len(ALPHABET) + 1
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIXED = re.compile(r"[A-Za-z][^A-Za-z0-9]*[0-9]|[0-9][^A-Za-z0-9]*[A-Za-z]")
 #: Code of every byte: its place in the alphabet, or the border for all others.
 CODES = np.full(256, SIZE - 1, np.int64)
 CODES[np.frombuffer(ALPHABET, np.uint8)] = np.arange(len(ALPHABET))
 
 #: A run is random from this log-likelihood ratio on, in nats: in total, and per character.
-TOTAL_RATIO, MEAN_RATIO = 12.0, 0.5
+TOTAL_RATIO, MEAN_RATIO = 12.0, 0.4
+#: Pairs that a character's share among all characters counts for.
+MIXING = 10.0
 
 Span = tuple[int, int, int]
 
@@ -85,9 +88,10 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                 values = base_spans(text)[1]
                 totals[0] += _pairs(text.encode())
                 if values:
-                    found = _pairs(" ".join(values).encode())
-                    totals[1] += found
-                    totals[0] = np.maximum(totals[0] - found, 0)
+                    totals[1] += _pairs(" ".join(values).encode())
+                if unsure := values + [run for run in RUN.findall(text) if MIXED.search(run)]:
+                    totals[0] -= _pairs(" ".join(unsure).encode())
+        totals = np.maximum(totals, 0)
         kind, pair = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays(
             [pa.array(kind.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(totals[kind, pair])],
@@ -98,13 +102,20 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("random", "pair").agg(F.sum("n").alias("n"))
 
 
-def ratio_table(texts: DataFrame, smoothing: float = 1.0) -> np.ndarray:
-    """Log-likelihood ratio, random over ordinary, of every character after every other."""
+def ratio_table(texts: DataFrame) -> np.ndarray:
+    """Log-likelihood ratio, random over ordinary, of every character after every other.
+
+    A pair's chance is its share among the pairs with the same first character, mixed with
+    the second character's share among all, which decides where little has been seen.
+    """
     totals = np.zeros((2, SIZE * SIZE))
     for row in pair_counts(texts).collect():  # at most two numbers per pair of characters
         totals[row.random, row.pair] = row.n
-    shaped = totals.reshape(2, SIZE, SIZE)[:, :, :-1] + smoothing
-    chance = np.log(shaped / shaped.sum(axis=2, keepdims=True))
+    pairs = totals.reshape(2, SIZE, SIZE)[:, :, :-1]
+    single = pairs.sum(axis=1) + 0.5
+    single /= single.sum(axis=1, keepdims=True)
+    chance = pairs + MIXING * single[:, None, :]
+    chance = np.log(chance / chance.sum(axis=2, keepdims=True))
     return chance[1] - chance[0]
 
 
