@@ -26,7 +26,9 @@ SHAPES = {
     "top": (WIDTH, CLASSES),
     "bias": (CLASSES,),
 }
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+#: Attention logits are held below this, so that their exponentials need no shift.
+TOP_LOGIT = np.float32(60)
+_PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 _SCALE = np.float32(WIDTH**-0.5)
 
 Parameters = dict[str, np.ndarray]
@@ -78,36 +80,44 @@ def first_parameters(vocabulary: Vocabulary, seed: int = 7) -> Parameters:
     return parameters
 
 
-def _forward(p: Parameters, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden states of (n, WINDOW) embedding rows, and what the gradient needs."""
-    n = len(rows)
-    x = p["embed"][rows] + p["place"]
-    mixed = (x.reshape(-1, WIDTH) @ p["mix"]).reshape(n, WINDOW, 3 * WIDTH)
-    q, k, v = (np.ascontiguousarray(mixed[:, :, i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
+def _hidden(x: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hidden states from scaled queries, keys and values, and what the gradient needs."""
     weights = np.matmul(q, k.transpose(0, 2, 1))
-    weights *= _SCALE
-    weights += _MASK
-    weights -= weights.max(axis=2, keepdims=True)
+    np.minimum(weights, TOP_LOGIT, out=weights)
     np.exp(weights, out=weights)
-    weights /= weights.sum(axis=2, keepdims=True)
+    weights *= _PAST
+    mass = weights.sum(axis=2, keepdims=True)
     seen = np.matmul(weights, v)
-    hidden = x + (seen.reshape(-1, WIDTH) @ p["out"]).reshape(n, WINDOW, WIDTH)
-    return hidden, x, q, k, v, weights, seen
+    seen /= mass
+    return x + (seen.reshape(-1, WIDTH) @ out).reshape(x.shape), weights, mass, seen
+
+
+def _project(p: Parameters, x: np.ndarray) -> list[np.ndarray]:
+    flat = x.reshape(-1, WIDTH)
+    q, k, v = (np.ascontiguousarray(p["mix"][:, i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
+    return [(flat @ part).reshape(x.shape) for part in (q * _SCALE, k, v)]
 
 
 def class_scores(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.ndarray) -> np.ndarray:
     """log P(class) of the wanted classes where ``scored``, in row order."""
-    hidden = _forward(p, rows)[0][scored]
-    logits = hidden @ p["top"] + p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
+    x = p["embed"][rows] + p["place"]
+    hidden = _hidden(x, *_project(p, x), p["out"])[0]
+    logits = hidden[scored] @ p["top"]
+    logits += p["bias"]
     chosen = logits[np.arange(len(logits)), wanted[scored]]
-    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
+    shift = np.float32(0)
+    if len(logits) and max(logits.max(), -logits.min()) > TOP_LOGIT:
+        shift = logits.max(axis=1)
+        logits -= shift[:, None]
+    return chosen - shift - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
 def gradient(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.ndarray) -> tuple[float, Parameters]:
     """Mean loss over the scored places of a batch, and its gradient."""
-    hidden, x, q, k, v, weights, seen = _forward(p, rows)
-    n = len(rows)
+    n, x = len(rows), p["embed"][rows] + p["place"]
+    q, k, v = _project(p, x)
+    hidden, weights, mass, seen = _hidden(x, q, k, v, p["out"])
+    weights /= mass
     flat = hidden.reshape(-1, WIDTH)
     logits = flat @ p["top"] + p["bias"]
     logits -= logits.max(axis=1, keepdims=True)
@@ -126,8 +136,8 @@ def gradient(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.nda
     d_v = np.matmul(weights.transpose(0, 2, 1), d_seen)
     d_weights -= (d_weights * weights).sum(axis=2, keepdims=True)
     d_weights *= weights
-    d_weights *= _SCALE
-    d_mixed = np.concatenate([np.matmul(d_weights, k), np.matmul(d_weights.transpose(0, 2, 1), q), d_v], axis=2)
+    d_q = np.matmul(d_weights, k) * _SCALE
+    d_mixed = np.concatenate([d_q, np.matmul(d_weights.transpose(0, 2, 1), q), d_v], axis=2)
     d_mixed = d_mixed.reshape(-1, 3 * WIDTH)
     grads["mix"] = x.reshape(-1, WIDTH).T @ d_mixed
     d_x = d_hidden + d_mixed @ p["mix"].T

@@ -101,20 +101,23 @@ class ChunkEncoder:
         parts = [self.chunks(text) for text in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         flat = pa.array(list(chain.from_iterable(parts)), pa.large_string()).dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
+        return self.encode_chunks(flat.dictionary.to_pylist(), flat.indices.to_numpy(), counts)
+
+    def encode_chunks(self, distinct: list[str], codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts given as numbers of distinct chunks and their counts of chunks."""
         if len(self.table) > TABLE_WORDS:
             self.forget()
         if missing := [chunk for chunk in distinct if chunk not in self.table]:
             self.segment(missing)
         rows = np.fromiter(map(self.table.__getitem__, distinct), np.int64, len(distinct))
         # Position join: every chunk's run of ids, the end row after each text's last chunk.
-        order = np.insert(rows[flat.indices.to_numpy()], np.cumsum(counts), 0)
+        order = np.insert(rows[codes], np.cumsum(counts), 0)
         begins = np.cumsum(self.sizes) - self.sizes
         lengths = self.sizes[order]
         before = np.cumsum(lengths) - lengths
         spots = np.arange(int(lengths.sum())) + np.repeat(begins[order] - before, lengths)
-        owner = np.repeat(np.arange(len(texts)), counts + 1)
-        return self.ids[spots], np.bincount(owner, lengths, len(texts)).astype(np.int64)
+        owner = np.repeat(np.arange(len(counts)), counts + 1)
+        return self.ids[spots], np.bincount(owner, lengths, len(counts)).astype(np.int64)
 
 
 def encoder(model_path: str, end: bool = True):

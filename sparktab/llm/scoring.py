@@ -42,7 +42,7 @@ from .attention import (
     unflatten,
 )
 from .common import SPACED_WORDS, text_of, text_pair, word_blocks
-from .pieces import ChunkEncoder
+from .pieces import MARKER, ChunkEncoder
 
 #: Remainder modulo FOLDS of crc32(id as text) that is held out.
 FOLDS, HELD_OUT = 7, 2
@@ -191,6 +191,18 @@ def _frequent(counts: DataFrame) -> dict[bytes, int]:
     return dict(zip(rows["word"].cast(pa.binary()).to_pylist(), rows["n"].to_pylist()))
 
 
+RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+
+
+def _rare_lists(names: pa.Array, owner: np.ndarray, codes: np.ndarray, texts: int) -> pa.Array:
+    """Per text its distinct words among the given ones, with how often each stands in it."""
+    pairs, times = np.unique(owner * max(1, len(names)) + codes, return_counts=True)
+    words = names.take(pa.array(pairs % max(1, len(names)))).cast(pa.string())
+    rows = pa.StructArray.from_arrays([words, pa.array(times, pa.int64())], names=["word", "n"])
+    offsets = np.searchsorted(pairs, np.arange(texts + 1) * max(1, len(names)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+
 def score_texts(
     docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -221,34 +233,27 @@ def score_texts(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(model_path, end=True)
         start, parameters, known = encoder.processor.bos_id(), unflatten(flat), frequent.value
-        rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
         for batch in batches:
             tokens, found, base, scores, rare = [], [], [], [], []
             for lengths, words in word_blocks(batch.column("text"), SPACED_WORDS):
-                ends = np.cumsum(lengths)
-                spans = list(zip((ends - lengths).tolist(), ends.tolist()))
                 table = pa.array(words, pa.binary()).dictionary_encode()
-                names = table.dictionary.to_pylist()
+                names, codes = table.dictionary.to_pylist(), table.indices.to_numpy().astype(np.int64)
                 n = np.fromiter((known.get(name, 0) for name in names), np.int64, len(names))
-                codes = table.indices.to_numpy()
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 hit = n[codes] > 0
-                base.append(np.bincount(owner, np.where(hit, np.log10(n[codes] + 1.0) - norm, 0.0), len(lengths)))
+                base.append(np.bincount(owner, np.where(hit, (np.log10(n + 1.0) - norm)[codes], 0.0), len(lengths)))
                 found.append(np.bincount(owner, hit, len(lengths)).astype(np.int64))
                 tokens.append(lengths + 1)
-                pairs, repeats = np.unique(owner[~hit] * max(1, len(names)) + codes[~hit], return_counts=True)
-                parts: list[list[dict]] = [[] for _ in spans]
-                for pair, times in zip(pairs.tolist(), repeats.tolist()):
-                    parts[pair // len(names)].append({"word": names[pair % len(names)].decode(), "n": times})
-                rare += parts
-                ids, sizes = encoder.encode([plain_text(words[b:e]) for b, e in spans])
+                rare.append(_rare_lists(table.dictionary, owner[~hit], codes[~hit], len(lengths)))
+                marked = [MARKER + name.decode() for name in names]
+                ids, sizes = encoder.encode_chunks(marked, codes, lengths)
                 scores.append(log_probabilities(parameters, vocabulary, ids, sizes, start) / np.log(10.0))
             columns = [np.concatenate([np.zeros(0), *part]) for part in (base, scores)]
             numbers = [np.concatenate([np.zeros(0, np.int64), *part]) for part in (tokens, found)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("id", "k1", "k2", "held_out")]
                 + [pa.array(c) for c in (*numbers, *columns)]
-                + [pa.array(rare, rare_type)],
+                + [pa.concat_arrays(rare) if rare else pa.array([], RARE)],
                 names=["id", "k1", "k2", "held_out", "n_tokens", "found", "base", "score", "rare"],
             )
 
