@@ -14,7 +14,7 @@ import numpy as np
 #: Model width, inputs a window holds, classes of outputs, ids with an embedding of their own.
 WIDTH, WINDOW, CLASSES, EMBEDDED = 16, 32, 64, 2048
 #: Inputs by which one window follows another; the rest of a window is context.
-STRIDE = 24
+STRIDE = 28
 #: Windows computed at a time.
 BATCH = 256
 
@@ -142,9 +142,10 @@ def gradient(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.nda
     grads["mix"] = x.reshape(-1, WIDTH).T @ d_mixed
     d_x = d_hidden + d_mixed @ p["mix"].T
     grads["place"] = d_x.reshape(n, WINDOW, WIDTH).sum(axis=0)
-    embed = np.zeros_like(p["embed"])
-    np.add.at(embed, rows.ravel(), d_x)
-    grads["embed"] = embed
+    order = np.argsort(rows.ravel(), kind="stable")
+    used, begins = np.unique(rows.ravel()[order], return_index=True)
+    grads["embed"] = np.zeros_like(p["embed"])
+    grads["embed"][used] = np.add.reduceat(d_x[order], begins, axis=0)
     return loss, grads
 
 

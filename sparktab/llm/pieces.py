@@ -120,24 +120,6 @@ class ChunkEncoder:
         return self.ids[spots], np.bincount(owner, lengths, len(counts)).astype(np.int64)
 
 
-def encoder(model_path: str, end: bool = True):
-    """Arrow function: text to its list of ids."""
-
-    def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = ChunkEncoder(model_path, end).encode  # one table per task
-        for texts in batches:
-            rows = texts.to_pylist()
-            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for begin, stop in blocks(rows, TEXT_BLOCK):
-                found, lengths = encode(rows[begin:stop])
-                ids.append(found)
-                counts.append(lengths)
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
-
-    return F.arrow_udf(column, "array<int>")
-
-
 def decoder(model_path: str):
     """Arrow function: list of ids to the library's text."""
 
@@ -153,6 +135,31 @@ def decoder(model_path: str):
 
 
 def encode_texts(docs: DataFrame, id_column: str, text_column: str, model_path: str, end: bool = True) -> DataFrame:
-    """One row per input row: its id, ``ids`` and the ``decoded`` text of those ids."""
-    encoded = docs.select(quoted(id_column).alias(id_column), encoder(model_path, end)(text_of(text_column)).alias("ids"))
-    return encoded.withColumn("decoded", decoder(model_path)("ids"))
+    """One row per input row: its id, ``ids`` and the library's ``decoded`` text of those ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(model_path, end)  # one table per task
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for begin, stop in blocks(texts, TEXT_BLOCK):
+                ids, counts = encoder.encode(texts[begin:stop])
+                ends = np.cumsum(counts)
+                decoded = []
+                for low, high in zip((ends - counts).tolist(), ends.tolist()):
+                    decoded.append(encoder.processor.decode(ids[low:high].tolist()))
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(begin, stop - begin), pa.ListArray.from_arrays(offsets, pa.array(ids)),
+                     pa.array(decoded, pa.string())],
+                    names=["id", "ids", "decoded"],
+                )
+
+    rows = docs.select(quoted(id_column).alias("id"), text_of(text_column).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.mapInArrow(encode, f"id {kind}, ids array<int>, decoded string")
+    return found.select(F.col("id").alias(id_column), "ids", "decoded")
+
+
+def decode_ids(rows: DataFrame, ids_column: str, model_path: str, into: str = "decoded") -> DataFrame:
+    """The rows with the library's text of a column of id lists; a null list has the empty text."""
+    return rows.withColumn(into, decoder(model_path)(quoted(ids_column)))

@@ -48,8 +48,8 @@ from .pieces import MARKER, ChunkEncoder
 FOLDS, HELD_OUT = 7, 2
 #: Words in the table that goes along with the scoring tasks.
 FREQUENT_WORDS = 300_000
-#: Words for which a training document gives one window.
-WINDOW_EVERY = 256
+#: Words for which a training document gives one window, and words that a window is cut from.
+WINDOW_EVERY, WINDOW_WORDS = 256, 32
 #: Windows of a training shard, rounds of training and their step sizes.
 SHARD_WINDOWS = 8192
 RATES = (0.03, 0.015, 0.005)
@@ -110,28 +110,29 @@ def training_windows(texts: DataFrame, model_path: str) -> DataFrame:
     """(shard_key, ids): windows of up to WINDOW + 1 ids; one at a text's begin opens with the start id."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(model_path, end=True)
-        start = encoder.processor.bos_id()
+        encoder = ChunkEncoder(model_path, end=False)
+        start, stop_id = encoder.processor.bos_id(), encoder.processor.eos_id()
         for batch in batches:
             given, spot, keys, rows = batch.column("shard_key").to_pylist(), 0, [], []
             for counts, words in word_blocks(batch.column("text"), SPACED_WORDS):
                 ends = np.cumsum(counts)
-                parts, opens = [], []
+                parts, opens, closes = [], [], []
                 for begin, end in zip((ends - counts).tolist(), ends.tolist()):
                     key = given[spot]
                     for nth, least in enumerate(range(begin, max(end, begin + 1), WINDOW_EVERY)):
-                        room = min(WINDOW_EVERY, max(1, end - least - WINDOW // 2))
+                        room = min(WINDOW_EVERY, max(1, end - least - WINDOW_WORDS // 2))
                         own = (key + nth * 0x9E3779B97F4A7C15) % (1 << 63)
                         at = least + own % room
-                        parts.append(plain_text(words[at : min(end, at + WINDOW)]))
+                        parts.append(plain_text(words[at : min(end, at + WINDOW_WORDS)]))
                         opens.append(at == begin)
+                        closes.append(at + WINDOW_WORDS >= end)
                         keys.append(own)
                     spot += 1
                 ids, sizes = encoder.encode(parts)
                 stops = np.cumsum(sizes)
-                for begin, stop, first in zip((stops - sizes).tolist(), stops.tolist(), opens):
-                    chosen = np.concatenate([[start], ids[begin:stop]]) if first else ids[begin:stop]
-                    rows.append(chosen[: WINDOW + 1])
+                for begin, stop, first, last in zip((stops - sizes).tolist(), stops.tolist(), opens, closes):
+                    chosen = [[start] * first, ids[begin:stop], [stop_id] * last]
+                    rows.append(np.concatenate(chosen).astype(np.int32)[: WINDOW + 1])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["shard_key", "ids"]
             )
@@ -191,9 +192,6 @@ def _frequent(counts: DataFrame) -> dict[bytes, int]:
     return dict(zip(rows["word"].cast(pa.binary()).to_pylist(), rows["n"].to_pylist()))
 
 
-RARE = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
-
-
 def _rare_lists(names: pa.Array, owner: np.ndarray, codes: np.ndarray, texts: int) -> pa.Array:
     """Per text its distinct words among the given ones, with how often each stands in it."""
     pairs, times = np.unique(owner * max(1, len(names)) + codes, return_counts=True)
@@ -234,28 +232,27 @@ def score_texts(
         encoder = ChunkEncoder(model_path, end=True)
         start, parameters, known = encoder.processor.bos_id(), unflatten(flat), frequent.value
         for batch in batches:
-            tokens, found, base, scores, rare = [], [], [], [], []
+            done = 0
             for lengths, words in word_blocks(batch.column("text"), SPACED_WORDS):
                 table = pa.array(words, pa.binary()).dictionary_encode()
                 names, codes = table.dictionary.to_pylist(), table.indices.to_numpy().astype(np.int64)
                 n = np.fromiter((known.get(name, 0) for name in names), np.int64, len(names))
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 hit = n[codes] > 0
-                base.append(np.bincount(owner, np.where(hit, (np.log10(n + 1.0) - norm)[codes], 0.0), len(lengths)))
-                found.append(np.bincount(owner, hit, len(lengths)).astype(np.int64))
-                tokens.append(lengths + 1)
-                rare.append(_rare_lists(table.dictionary, owner[~hit], codes[~hit], len(lengths)))
+                base = np.bincount(owner, np.where(hit, (np.log10(n + 1.0) - norm)[codes], 0.0), len(lengths))
+                found = np.bincount(owner, hit, len(lengths)).astype(np.int64)
+                rare = _rare_lists(table.dictionary, owner[~hit], codes[~hit], len(lengths))
                 marked = [MARKER + name.decode() for name in names]
                 ids, sizes = encoder.encode_chunks(marked, codes, lengths)
-                scores.append(log_probabilities(parameters, vocabulary, ids, sizes, start) / np.log(10.0))
-            columns = [np.concatenate([np.zeros(0), *part]) for part in (base, scores)]
-            numbers = [np.concatenate([np.zeros(0, np.int64), *part]) for part in (tokens, found)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("id", "k1", "k2", "held_out")]
-                + [pa.array(c) for c in (*numbers, *columns)]
-                + [pa.concat_arrays(rare) if rare else pa.array([], RARE)],
-                names=["id", "k1", "k2", "held_out", "n_tokens", "found", "base", "score", "rare"],
-            )
+                scores = log_probabilities(parameters, vocabulary, ids, sizes, start) / np.log(10.0)
+                part = batch.slice(done, len(lengths))
+                done += len(lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in ("id", "k1", "k2", "held_out")]
+                    + [pa.array(c) for c in (lengths + 1, found, base, scores)]
+                    + [rare],
+                    names=["id", "k1", "k2", "held_out", "n_tokens", "found", "base", "score", "rare"],
+                )
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = (

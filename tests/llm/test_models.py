@@ -116,6 +116,12 @@ def test_pieces_small_table(monkeypatch):
         assert [list(p) for p in np.split(ids, np.cumsum(counts)[:-1])] == encoder.processor.encode(texts, add_eos=True)
 
 
+def test_decoding_of_given_ids(spark):
+    rows = spark.createDataFrame([(1, [1867, 28713, 2]), (2, []), (3, None)], "n int, ids array<int>")
+    found = {r.n: r.decoded for r in pieces.decode_ids(rows, "ids", MODEL).collect()}
+    assert found == {1: "</s", 2: "", 3: ""}
+
+
 def test_pieces_empty(none):
     assert pieces.encode_texts(none, "doc_id", "text", MODEL).count() == 0
 
