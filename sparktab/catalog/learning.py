@@ -154,7 +154,7 @@ def random_forest_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("random_forest_regressor")
 def random_forest_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        letter_splits(spark, sf_dir, None), "regression", "random_forest", COUNTS, "n_chars", n_estimators=20, max_depth=5
+        letter_splits(spark, sf_dir, None), "regression", "random_forest", COUNTS, "n_chars"
     )
 
 
@@ -165,55 +165,55 @@ def decision_tree_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decision_tree_regressor")
 def decision_tree_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(letter_splits(spark, sf_dir, None), "regression", "decision_tree", COUNTS, "n_chars", max_depth=6)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "decision_tree", COUNTS, "n_chars")
 
 
 @query("gradient_boosting_classifier")
 def gradient_boosting_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        letter_splits(spark, sf_dir), "classification", "gboost", SHARES, "lang", n_estimators=10
+        letter_splits(spark, sf_dir), "classification", "gboost", SHARES, "lang"
     )
 
 
 @query("gradient_boosting_regressor")
 def gradient_boosting_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(letter_splits(spark, sf_dir, None), "regression", "gboost", COUNTS, "n_chars", n_estimators=20)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "gboost", COUNTS, "n_chars")
 
 
 @query("xgboost_style_classifier")
 def xgboost_style_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        letter_splits(spark, sf_dir), "classification", "xgboost", SHARES, "lang", n_estimators=10, max_depth=3
+        letter_splits(spark, sf_dir), "classification", "xgboost", SHARES, "lang"
     )
 
 
 @query("xgboost_style_regressor")
 def xgboost_style_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(letter_splits(spark, sf_dir, None), "regression", "xgboost", COUNTS, "n_chars", n_estimators=20)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "xgboost", COUNTS, "n_chars")
 
 
 @query("lightgbm_style_classifier")
 def lightgbm_style_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        letter_splits(spark, sf_dir), "classification", "lightgbm", SHARES, "lang", n_estimators=10
+        letter_splits(spark, sf_dir), "classification", "lightgbm", SHARES, "lang"
     )
 
 
 @query("lightgbm_style_regressor")
 def lightgbm_style_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(letter_splits(spark, sf_dir, None), "regression", "lightgbm", COUNTS, "n_chars", n_estimators=20)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "lightgbm", COUNTS, "n_chars")
 
 
 @query("adaboost_classifier")
 def adaboost_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        letter_splits(spark, sf_dir), "classification", "adaboost", SHARES, "lang", n_estimators=12
+        letter_splits(spark, sf_dir), "classification", "adaboost", SHARES, "lang"
     )
 
 
 @query("adaboost_regressor")
 def adaboost_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(letter_splits(spark, sf_dir, None), "regression", "adaboost", COUNTS, "n_chars", n_estimators=8)
+    return scored(letter_splits(spark, sf_dir, None), "regression", "adaboost", COUNTS, "n_chars")
 
 
 @query("feature_importance")
@@ -227,7 +227,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_feature_importance")
 def top_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = registry.train(
-        letter_rows(spark, sf_dir), "classification", "random_forest", SHARES, "lang", {"n_estimators": 50}
+        letter_rows(spark, sf_dir), "classification", "random_forest", SHARES, "lang", {}
     )
     return registry.importance_table(spark, model, top=20)
 
@@ -346,7 +346,7 @@ def bernoulli_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(rows).select(*LINE_KEY, "l_suppkey", "prediction")
 
 
-_LETTERS = ["a", "e", "n", "o", "s", "u"]
+_LETTERS = LETTERS
 
 
 def _multinomial_sql() -> str:
@@ -388,18 +388,21 @@ def svm_linear_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("svm_kernel_classifier")
 def svm_kernel_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(
-        letter_splits(spark, sf_dir), "classification", "svm", SHARES, "lang", landmarks=150
+        letter_splits(spark, sf_dir), "classification", "svm", SHARES, "lang"
     )
 
 
 @query("svm_kernel_regressor")
 def svm_kernel_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(letter_splits(spark, sf_dir, None), "regression", "svm", SHARES, "share_1", landmarks=100)
+    others = [c for c in SHARES if c != "share_1"]
+    parts = letter_splits(spark, sf_dir, None)
+    encoder = FeatureTransformer.fit(parts.where("split = 'train'"), others, standardise=True)
+    return scored(encoder.transform(parts), "regression", "svm", encoder.output_columns, "share_1")
 
 
 @query("network_classifier")
 def network_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(letter_splits(spark, sf_dir), "classification", "mlp", SHARES, "lang", max_iter=40, batch_size=16)
+    return scored(letter_splits(spark, sf_dir), "classification", "mlp", SHARES, "lang", batch_size=16)
 
 
 @query("network_epoch_history")
@@ -407,7 +410,7 @@ def network_epoch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = letter_splits(spark, sf_dir)
     spec = ModelSpec(
         "classification", "mlp", SHARES, "lang",
-        {"max_iter": 20, "batch_size": 16, "dropout": 0.2, "decay_every": 10, "decay_factor": 0.9},
+        {"max_iter": 300, "batch_size": 16, "dropout": 0.2, "decay_every": 10, "decay_factor": 0.9},
     )
     model = network.train_network(parts.where("split = 'train'"), spec, validation=parts.where("split = 'val'"))
     return model.history_table(spark)
@@ -415,7 +418,8 @@ def network_epoch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("network_regressor")
 def network_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(letter_splits(spark, sf_dir, None), "regression", "mlp", SHARES[:6], "share_6", max_iter=40, batch_size=16)
+    others = [c for c in SHARES if c != "share_6"]
+    return scored(letter_splits(spark, sf_dir, None), "regression", "mlp", others, "share_6", batch_size=16)
 
 
 # ---------------------------------------------------------------- clusters
@@ -424,7 +428,7 @@ def network_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("kmeans_clusters")
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = wide_vectors(spark, sf_dir)
-    model = clustering.fit_kmeans(vectors, VECTOR_COLUMNS, 10, starts=3)
+    model = clustering.fit_kmeans(vectors, VECTOR_COLUMNS, 10)
     found = model.transform(vectors).groupBy("cluster").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("label").alias("labels")
     )
@@ -433,7 +437,7 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("elbow")
 def elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.elbow_table(wide_vectors(spark, sf_dir), VECTOR_COLUMNS, largest=12)
+    return clustering.elbow_table(wide_vectors(spark, sf_dir), VECTOR_COLUMNS)
 
 
 @query(
@@ -517,7 +521,7 @@ def predictions_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = letter_splits(spark, sf_dir)
     model = registry.train(
-        parts.where("split = 'train'"), "classification", "random_forest", SHARES, "lang", {"n_estimators": 20}
+        parts.where("split = 'train'"), "classification", "random_forest", SHARES, "lang"
     )
     space = Workspace(spark, scratch(spark))
     done = Scorer(load_model(spark, model.save(spark, f"{space.root}/model"))).score(
@@ -552,7 +556,7 @@ def lineitem_forest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
             "nulls": {"style": "median_cols"},
             "outliers": {"columns": ["l_extendedprice"], "treatment": "fill_outlier"},
             "split": {"key": [*LINE_KEY, "l_suppkey", "l_extendedprice"], "dedup": False},
-            "model": {"type": "random_forest", "params": {"n_estimators": 20}},
+            "model": {"type": "random_forest", "params": {}},
         },
         lines,
     )

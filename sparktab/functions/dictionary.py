@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import local_table
+from ..session import cut_lineage, local_table
 from .columns import data_type, quoted
 from .frequencies import distinct_lists
 from .ranking import ranked_dictionary
@@ -82,7 +82,9 @@ class Dictionary:
 
         In an oversized dictionary the values that hold more than a thousandth of the rows
         (so at most a thousand) are looked up by broadcast; in the shuffle join their rows
-        carry no key and are spread by a hash of the row, so no value fills a task.
+        carry no key and are spread by a hash of the row, so no value fills a task; so are the
+        rows without a value. Frequent values that the dictionary lacks are found in the table
+        itself and spread as well.
         """
         pairs = self.table.select(F.col(given).alias("__key"), F.col(wanted).alias("__found"))
         if self.values is not None:
@@ -90,12 +92,15 @@ class Dictionary:
         hot = self.table.where(F.col("share") > HOT_SHARE).select(
             F.col(given).alias("__hot_key"), F.col(wanted).alias("__hot")
         )
+        unseen = _frequent(df, key).join(pairs.select("__key"), F.col("__often") == F.col("__key"), "left_anti")
+        unseen = cut_lineage(unseen.withColumn("__lacking", F.lit(True)))  # at most 1 / HOT_SHARE rows
         spread = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(SPREAD)) + 1
-        marked = df.join(F.broadcast(hot), key == F.col("__hot_key"), "left").withColumns(
-            {
-                "__own": F.when(F.col("__hot").isNull(), key),
-                "__spot": F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread),
-            }
+        marked = df.join(F.broadcast(hot), key == F.col("__hot_key"), "left").join(
+            F.broadcast(unseen), key == F.col("__often"), "left"
+        )
+        looked_up = F.col("__hot").isNull() & F.col("__lacking").isNull() & key.isNotNull()
+        marked = marked.withColumns(
+            {"__own": F.when(looked_up, key), "__spot": F.when(looked_up, F.lit(0)).otherwise(spread)}
         )
         joined = marked.join(
             pairs.withColumn("__zero", F.lit(0).cast("bigint")),
@@ -103,7 +108,7 @@ class Dictionary:
             "left",
         )
         return joined.withColumn("__found", F.coalesce("__hot", "__found")).drop(
-            "__hot_key", "__hot", "__own", "__spot", "__key", "__zero"
+            "__hot_key", "__hot", "__own", "__spot", "__key", "__zero", "__often", "__lacking"
         )
 
     def save(self, path: str) -> None:
@@ -123,6 +128,12 @@ class Dictionary:
         return F.array(*[F.lit(v) for v in self.values]).cast(f"array<{self.type_name}>")
 
 
+def _frequent(df: DataFrame, key: Column) -> DataFrame:
+    """``__often``: a superset of the keys that hold more than HOT_SHARE of the rows."""
+    keys = df.select(key.alias("__often")).where("__often IS NOT NULL")
+    return keys.freqItems(["__often"], HOT_SHARE).select(F.explode("__often_freqItems").alias("__often"))
+
+
 def fit_dictionaries(
     df: DataFrame, columns: Sequence[str], limit: int = BROADCAST_LIMIT, lists: dict | None = None
 ) -> dict[str, Dictionary]:

@@ -12,6 +12,7 @@ from .columns import quoted
 
 GATHER_LIMIT = 10_000
 DRIVER_CELLS = 1_000_000
+SHARED_KEYS = "rows that agree in every column share a cut; remove repeated rows or name a unique key"
 
 
 def order_keys(columns: Sequence[str], seed: int, portable: bool = False) -> tuple[Column, Column]:
@@ -38,6 +39,10 @@ def rank_cuts(
     Radix selection: count rows per group and leading key bits, keep the one bucket
     that holds the cut, repeat on the next bits until a bucket is small enough to look
     at. Only counts are shuffled, however large a single group is. ``None`` for q = 0.
+
+    Where more rows than that share the first key, the second is searched in the same way.
+    Each cut pair must belong to one row, else no comparison could take exactly q rows: a
+    row that shares both keys with the next one after the cut is an error.
     """
     bits = 12
     while bits > 4 and (1 << bits) * max(len(quotas), 1) > DRIVER_CELLS:
@@ -88,7 +93,8 @@ def rank_cuts(
                         if n <= few:
                             small.setdefault((g, p), []).append((i, rank))
                         elif next_shift == 0:
-                            raise ValueError(f"{n} rows share one key; a unique key is needed")
+                            same = df.where(g_col.eqNullSafe(F.lit(g)) & (k1 == p))
+                            result[g][i] = _second_cut(same, group, first_key, second_key, g, p, rank)
                         else:
                             following.setdefault(g, {})[i] = (p, rank)
                         break
@@ -111,10 +117,22 @@ def rank_cuts(
                 ordered_rows = sorted(members[g, p])
                 for i, rank in wanted:
                     result[g][i] = ordered_rows[rank - 1]
+                    if ordered_rows[rank - 1 : rank] == ordered_rows[rank : rank + 1]:
+                        raise ValueError(SHARED_KEYS)
         pending, shift = following, next_shift
     return result
 
 
+def _second_cut(
+    rows: DataFrame, group: str, first_key: str, second_key: str, g: Any, first: int, rank: int
+) -> tuple[int, int]:
+    """The cut among rows of one first key, searched by the second."""
+    spread = rows.agg(F.min(quoted(second_key)).alias("a"), F.max(quoted(second_key)).alias("b")).first()
+    if spread.a == spread.b:
+        raise ValueError(SHARED_KEYS)
+    return first, rank_cuts(rows, group, second_key, first_key, {g: [rank]})[g][0][0]
+
+
 def running_totals(
     df: DataFrame, order: Sequence[Column], totals: Mapping[str, Column]
 ) -> DataFrame:

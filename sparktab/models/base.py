@@ -153,6 +153,26 @@ class SparkModel(TabularModel):
         return cls(spec, *PipelineModel.load(f"{path}/stages").stages, margin_scale=state)
 
 
+def any_null(columns: Sequence[Column]) -> Column:
+    """Whether any of the numeric columns is null or NaN."""
+    found = F.lit(False)
+    for column in columns:
+        found |= column.isNull() | F.isnan(column)
+    return found
+
+
+def refuse_nulls(df: DataFrame, features: Sequence[str], model: str) -> None:
+    """Raise if a feature is null or NaN in any row, naming how many rows and which columns."""
+    values = {c: quoted(c).cast("double") for c in features}
+    row = df.agg(
+        F.count_if(any_null(list(values.values()))).alias("rows"),
+        *[F.count_if(v.isNull() | F.isnan(v)).alias(f"n{i}") for i, v in enumerate(values.values())],
+    ).first()
+    if row["rows"]:
+        named = [c for i, c in enumerate(values) if row[f"n{i}"]]
+        raise ValueError(f"{model} cannot train on nulls: {row['rows']} rows lack {named[:10]}; fill or drop them first")
+
+
 def class_count(df: DataFrame, label: str) -> int:
     """Number of classes of a label coded 0..k-1."""
     top = df.agg(F.max(quoted(label)).alias("m")).first().m

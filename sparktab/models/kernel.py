@@ -8,7 +8,9 @@ grows with the rows and not with their square.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from itertools import count
 from typing import Any
 
 import numpy as np
@@ -17,11 +19,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.columns import quoted, require_columns
-from .base import ModelSpec, TabularModel, class_count, reject_unknown
-from .network import DIRECT_PARTS, _summed
+from .base import ModelSpec, TabularModel, any_null, class_count, refuse_nulls, reject_unknown
+from .network import _summed
 
 LANDMARKS = 200
-MOST_LANDMARKS = 500
+MOST_LANDMARKS = 2000
 PAYLOAD_NUMBERS = 2_000_000
 KERNELS = ("linear", "rbf", "poly", "sigmoid")
 PARAMETERS = [
@@ -168,7 +170,9 @@ def fit_machines(
     ``data`` holds the features, ``y`` and ``w``. Each round is one job for all machines:
     partitions add up their share of the weighted normal equations and of the objectives;
     the driver solves one system of ``size`` unknowns per machine. Some thirty passes
-    settle what a gradient method with line search needs hundreds for.
+    settle what a gradient method with line search needs hundreds for. ``max_iter`` of -1
+    sets no limit; if a limit ends the rounds before all machines are settled, a warning
+    says so.
     """
     cost, tube = float(spec.params.get("C", 1.0)), float(spec.params.get("epsilon", 0.1))
     tol = float(spec.params.get("tol", 1e-4))
@@ -202,13 +206,16 @@ def fit_machines(
                     row[1 : 1 + size * size] += (phi[used].T @ scaled).ravel()
                     row[1 + size * size :] += scaled.T @ target[used]
             if seen:
-                part = TaskContext.get().partitionId() % DIRECT_PARTS
+                part = TaskContext.get().partitionId()
                 yield pd.DataFrame({"part": [part], "payload": [total.ravel()]})
 
         found = _summed(data.mapInPandas(work, "part int, payload array<double>"))
         return found.reshape(len(numbers), width)
 
-    for _ in range(int(spec.params.get("max_iter", 100))):
+    limit = int(spec.params.get("max_iter", 100))
+    if limit < -1 or limit == 0:
+        raise ValueError("max_iter must be positive, or -1 for no limit")
+    for _ in count() if limit == -1 else range(limit):
         waiting = [i for i, s in enumerate(systems) if not s.done]
         if not waiting:
             break
@@ -219,6 +226,8 @@ def fit_machines(
                 penalty = 0.5 * float(system.candidate[:-1] @ system.candidate[:-1])
                 gram = row[1 : 1 + size * size].reshape(size, size)
                 system.judge(penalty + cost * row[0], gram, row[1 + size * size :], ridge, tol)
+    if unsettled := sum(not s.done for s in systems):
+        warnings.warn(f"{unsettled} of {len(systems)} machines are not settled after {limit} rounds", RuntimeWarning, stacklevel=2)
     return [s.beta for s in systems]
 
 
@@ -265,7 +274,8 @@ class MarginModel(TabularModel):
             made = F.when(first > 0, 1.0).otherwise(0.0)
         else:
             made = (F.array_position("__m", F.array_max("__m")) - 1).cast("double")
-        return scored.select(*kept, made.alias("prediction"))
+        missing = any_null([quoted(c).cast("double") for c in self.spec.features])
+        return scored.select(*kept, F.when(~missing, made).alias("prediction"))
 
     def _state(self, spark, path) -> Any:
         return [self.lift.state() if self.lift else None, self.weights.tolist()]
@@ -279,7 +289,8 @@ def train_svm(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> Marg
     """Support vector machine for classes (one against the rest) or numbers.
 
     The objective is half the squared weights plus ``C`` times the summed losses, the
-    intercept unpenalised. A linear kernel works on the features themselves.
+    intercept unpenalised. A linear kernel works on the features themselves. Nulls in the
+    features are refused here and give a null prediction later.
     """
     reject_unknown(spec.params, PARAMETERS, spec.model_type)
     kernel = spec.params.get("kernel", "rbf")
@@ -288,6 +299,7 @@ def train_svm(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> Marg
     if spec.params.get("probability"):
         raise ValueError("class probabilities are not available for this model")
     require_columns(df, [*spec.features, spec.label])
+    refuse_nulls(df.where(quoted(spec.label).isNotNull()), spec.features, spec.model_type)
     lift = None if kernel == "linear" else fit_landmarks(df, spec)
     size = (len(spec.features) if lift is None else lift.whiten.shape[1]) + 1
     share = F.lit(1.0) if weight is None else quoted(weight).cast("double")

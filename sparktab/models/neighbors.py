@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import blocks
 from ..functions.columns import quoted, require_columns
 from ..session import cut_lineage
-from .base import ModelSpec, TabularModel, reject_unknown
+from .base import ModelSpec, TabularModel, any_null, refuse_nulls, reject_unknown
 
 CELLS = 1_000_000
+MERGED_SHARES = 64
 NEIGHBORS = "array<struct<distance:double,id:bigint,label:double>>"
 
 
@@ -88,8 +89,10 @@ def nearest_neighbors(
     )
     if not several:
         return found
-    merged = F.sort_array(F.flatten(F.collect_list("neighbors")))
-    return found.groupBy("__q").agg(F.slice(merged, 1, k).alias("neighbors"))
+    # In two steps, so that no row gathers the lists of all blocks of a large table.
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("neighbors"))), 1, k).alias("neighbors")
+    share = F.pmod(F.xxhash64("neighbors"), F.lit(MERGED_SHARES)).alias("__share")
+    return found.groupBy("__q", share).agg(merged).groupBy("__q").agg(merged)
 
 
 def _weights(neighbors: Column, weighting: str) -> Column:
@@ -126,7 +129,7 @@ class NeighborsModel(TabularModel):
         """Add ``prediction``; ``key`` names a unique bigint column.
 
         Without a key the rows are numbered and written to the checkpoint folder, so that
-        a lost executor cannot renumber them.
+        a lost executor cannot renumber them. A row with a null feature has a null prediction.
         """
         require_columns(df, self.spec.features)
         params = self.spec.params
@@ -134,15 +137,16 @@ class NeighborsModel(TabularModel):
             keyed = cut_lineage(df.withColumn("__q", F.monotonically_increasing_id()))
         else:
             keyed = df.withColumn("__q", quoted(key).cast("bigint"))
+        whole = ~any_null([quoted(c).cast("double") for c in self.spec.features])
         found = nearest_neighbors(
-            keyed, self.points, self.spec.features,
+            keyed.where(whole), self.points, self.spec.features,
             int(params.get("n_neighbors", 5)), float(params.get("p", 2)), **limits,
         )
         votes = found.select("__q", _weights(F.col("neighbors"), params.get("weights", "uniform")).alias("__v"))
         out = self._regress(votes) if self.classes is None else self._vote(votes)
         names = [c for c in out.columns if c != "__q"]
         kept = [quoted(c) for c in df.columns if c not in names]
-        return keyed.join(out, "__q").select(*kept, *names)
+        return keyed.join(out, "__q", "left").select(*kept, *names)
 
     def _regress(self, votes: DataFrame) -> DataFrame:
         total = _sum(F.transform("__v", lambda n: n["w"]))
@@ -184,6 +188,8 @@ def train_neighbors(df: DataFrame, spec: ModelSpec, weight: str | None = None) -
         spec.params, ["n_neighbors", "weights", "p", "metric", "id_column", "algorithm", "leaf_size", "n_jobs"],
         spec.model_type,
     )
+    if weight is not None:
+        raise ValueError("neighbours take no row weights")
     if spec.params.get("weights", "uniform") not in ("uniform", "distance"):
         raise ValueError("weights must be 'uniform' or 'distance'")
     metrics = {"minkowski": spec.params.get("p", 2), "euclidean": 2, "manhattan": 1}
@@ -192,6 +198,7 @@ def train_neighbors(df: DataFrame, spec: ModelSpec, weight: str | None = None) -
         raise ValueError(f"unknown metric {metric!r}")
     spec.params["p"] = metrics[metric]
     require_columns(df, [*spec.features, spec.label])
+    refuse_nulls(df.where(quoted(spec.label).isNotNull()), spec.features, spec.model_type)
     given = spec.params.get("id_column")
     number = quoted(given).cast("bigint") if given else F.monotonically_increasing_id()
     points = df.select(

@@ -18,11 +18,11 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.columns import quoted, require_columns
 from ..session import local_table
-from .base import ModelSpec, TabularModel, class_count, reject_unknown
+from .base import ModelSpec, TabularModel, any_null, class_count, refuse_nulls, reject_unknown
 
 # Adam's usual decay rates and guard.
 BETA1, BETA2, GUARD = 0.9, 0.999, 1e-8
-DIRECT_PARTS = 64
+FAN_IN = 16
 
 
 @dataclass(frozen=True)
@@ -140,19 +140,26 @@ class AdamState:
         self.weights = self.weights - scale * self.first / (np.sqrt(self.second) + GUARD)
 
 
-def _summed(parts: DataFrame) -> np.ndarray:
-    """Element-wise sum of the ``payload`` arrays, at most a few dozen reach the driver."""
-    if parts.rdd.getNumPartitions() > DIRECT_PARTS:
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.sum(np.stack(pdf["payload"].to_numpy()), axis=0)
+    return pd.DataFrame({"part": pdf["part"].iloc[:1], "payload": [total]})
+
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.sum(np.stack(pdf["payload"].to_numpy()), axis=0)
-            return pd.DataFrame({"part": pdf["part"].iloc[:1], "payload": [total]})
+def _summed(parts: DataFrame) -> np.ndarray:
+    """Element-wise sum of the ``payload`` arrays of numbered parts.
 
-        parts = parts.groupBy("part").applyInPandas(add, "part int, payload array<double>")
-    rows = parts.select("payload").collect()
-    if not rows:
+    A tree: at most FAN_IN payloads meet in a group, level after level, until so few are
+    left that the driver adds them, taken over as Arrow buffers.
+    """
+    left = parts.rdd.getNumPartitions()
+    while left > FAN_IN:
+        dealt = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        parts = dealt.groupBy("part").applyInPandas(_added, "part int, payload array<double>")
+        left = -(-left // FAN_IN)
+    found = parts.select("payload").toArrow().column("payload").combine_chunks()
+    if not len(found):
         raise ValueError("no rows to train on")
-    return np.sum([np.asarray(r.payload) for r in rows], axis=0)
+    return found.flatten().to_numpy().reshape(len(found), -1).sum(axis=0)
 
 
 def run_epoch(
@@ -182,7 +189,7 @@ def run_epoch(
             payload = np.concatenate(
                 [[rows, loss, hits, rows * own.steps], rows * own.weights, rows * own.first, rows * own.second]
             )
-            yield pd.DataFrame({"part": [part % DIRECT_PARTS], "payload": [payload]})
+            yield pd.DataFrame({"part": [part], "payload": [payload]})
 
     total = _summed(data.mapInPandas(work, "part int, payload array<double>"))
     shared.unpersist()
@@ -231,12 +238,15 @@ class NetworkModel(TabularModel):
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             return pd.Series(list(forward(shape, weights, x)))
 
+        whole = ~any_null([quoted(c).cast("double") for c in self.spec.features])
         kept = [quoted(c) for c in df.columns if c not in ("prediction", "probability")]
         scored = df.select(*kept, outputs(*[quoted(c).cast("double") for c in self.spec.features]).alias("__out"))
         if shape.classes is None:
-            return scored.select(*kept, F.get("__out", 0).alias("prediction"))
+            return scored.select(*kept, F.when(whole, F.get("__out", 0)).alias("prediction"))
         best = F.array_position("__out", F.array_max("__out")) - 1
-        return scored.select(*kept, best.cast("double").alias("prediction"), F.col("__out").alias("probability"))
+        return scored.select(
+            *kept, F.when(whole, best.cast("double")).alias("prediction"), F.when(whole, F.col("__out")).alias("probability")
+        )
 
     def history_table(self, spark) -> DataFrame:
         """Per epoch: learning rate, train and validation loss and accuracy."""
@@ -285,6 +295,7 @@ def train_network(
     require_columns(df, [*spec.features, spec.label])
     columns = [*[quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(spec.features)],
                quoted(spec.label).cast("double").alias("y")]
+    refuse_nulls(df.where(quoted(spec.label).isNotNull()), spec.features, spec.model_type)
     data = df.where(quoted(spec.label).isNotNull()).select(*columns)
     seed = int(params.get("random_state", 42))
     stopping = bool(params.get("early_stopping", False))

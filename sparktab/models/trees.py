@@ -19,11 +19,12 @@ from .base import VECTOR, ModelSpec, SparkModel, assembled, class_count, reject_
 
 DEEPEST = 30  # the deepest tree Spark grows; stands for "no limit"
 BINS = 128
+PARALLEL = 4
 COLUMNS = {"featuresCol": VECTOR, "labelCol": "__label", "predictionCol": "__prediction"}
 CLASS_COLUMNS = {"rawPredictionCol": "__raw", "probabilityCol": "__probability"}
 
 # Parameters that select an engine's internals or name the only choice there
-# is; accepted and without effect.
+# is; accepted and without effect, but for n_jobs with more than two boosted classes.
 ENGINE_PARAMETERS = ["splitter", "loss", "objective", "metric", "n_jobs", "verbose"]
 
 
@@ -66,6 +67,11 @@ def _weighted(weight: str | None) -> dict[str, str]:
     return {} if weight is None else {"weightCol": "__weight"}
 
 
+def _jobs(value: Any) -> int:
+    """Boosters trained side by side; anything below 1 stands for the default."""
+    return int(value) if value is not None and int(value) >= 1 else PARALLEL
+
+
 def _fit(estimator, data: DataFrame):
     """Fit on a kept copy: trees read the rows once for classes, bins and bagging each."""
     data = data.persist()
@@ -127,7 +133,7 @@ def _train_boosted(
             booster = GBTClassifier(**options, **COLUMNS, **CLASS_COLUMNS, **_weighted(weight))
             return SparkModel(spec, booster.fit(data))
         rest = OneVsRest(
-            classifier=GBTClassifier(**options), parallelism=int(spec.params.get("n_jobs", 4)),
+            classifier=GBTClassifier(**options), parallelism=_jobs(spec.params.get("n_jobs")),
             **COLUMNS, **_weighted(weight),
         )
         return SparkModel(spec, *rest.fit(data).models, margin_scale=2.0)

@@ -6,11 +6,11 @@ import math
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import quoted, require_columns
 from ..functions.ranking import order_keys, rank_cuts
-from ..session import local_table
+from ..session import cut_lineage, local_table
 from .labels import split_label_kind
 
 # Accepted ratio ranges (test, validation) per caller.
@@ -153,6 +153,14 @@ def _cut(
     return data.withColumn(out, assigned.otherwise(otherwise)).select(*df.columns, out)
 
 
+def _row_keys(df: DataFrame, key: Sequence[str] | None, seed: int, portable: bool = False) -> tuple[Column, Column]:
+    """Order keys; rows that share a named key are told apart by all their columns."""
+    k1, k2 = order_keys(list(key or df.columns), seed, portable)
+    if key is not None:
+        k2 = order_keys(list(df.columns), seed)[1]
+    return k1, k2
+
+
 def split_table(
     df: DataFrame,
     label: str | None = None,
@@ -171,25 +179,26 @@ def split_table(
     The test part has ``ceil(n * test_size)`` rows; the validation share is taken from
     the rest, rescaled by ``1 / (1 - test_size)``. A stratified split shares both sizes
     over the classes by largest remainder and falls back to a random one if a class has
-    under five rows. Rows are ordered by a seeded hash of ``key`` (which must be unique;
-    by default the whole row, after removing repeated rows).
+    under five rows. Rows are ordered by a seeded hash of ``key`` (by default the whole
+    row); rows that share it by a hash of the whole row, so sizes are exact for any key as
+    long as rows differ. Equal rows are removed first, or refused where a cut meets them.
     """
     check_ratios(test_size, val_size, limits)
     if key is None and not dedup:
         raise ValueError("without removing repeated rows a unique key is needed")
     if key is not None:
         require_columns(df, key)
-    k1, k2 = order_keys(list(key or df.columns), seed, portable_keys)
+    if dedup and key is not None:
+        df = cut_lineage(df.dropDuplicates())  # once, for the counts, the cuts and the result
+        dedup = False
+    k1, k2 = _row_keys(df, key, seed, portable_keys)
     keyed = df.withColumns({"__k1": k1, "__k2": k2})
     strata = label if stratified and label is not None else None
     narrow = keyed.select(*([quoted(strata)] if strata else []), "__k1", "__k2")
     if dedup:
         # Equal rows have equal keys: counting needs the keys only, and the whole rows go
         # through one shuffle, in the result.
-        if key is None:
-            narrow = narrow.distinct()
-        else:
-            narrow = df.dropDuplicates().withColumns({"__k1": k1, "__k2": k2}).select(*narrow.columns)
+        narrow = narrow.distinct()
         keyed = df.dropDuplicates().withColumns({"__k1": k1, "__k2": k2})
     counts: dict[Any, int] = {}
     if strata is not None:
@@ -208,7 +217,7 @@ def split_table(
     quotas = _quotas(counts, test, val) if strata else {0: (test, val)}
     done = _cut(keyed, strata, quotas, ["test", "val"], "train", out, narrow).drop("__k1", "__k2")
     if val == 0 and n - test > 5:
-        return repair_splits(done, label if strata else None, seed, list(key or df.columns), out)
+        return repair_splits(done, label if strata else None, seed, key, out)
     return done
 
 
@@ -222,7 +231,6 @@ def repair_splits(
     validation. An empty validation part: 10 % of more than five train rows. An empty
     train part is an error.
     """
-    key = list(key or [c for c in df.columns if c != out])
     sizes = {r[out]: r["n"] for r in df.groupBy(out).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes.get("train"):
         raise ValueError("the train part is empty")
@@ -246,7 +254,7 @@ def _carve(df, pool, parts, label, seed, key, out):
         taken.append({c: left[c] - kept[c] for c in left})
         left = kept
     quotas = {c: [t[c] for t in taken] for c in counts}
-    k1, k2 = order_keys(key, seed)
+    k1, k2 = _row_keys(pooled, key, seed)
     keyed = pooled.withColumns({"__k1": k1, "__k2": k2})
     strata = label if label and len(counts) > 1 and sum(counts.values()) > 10 else None
     if strata is None:

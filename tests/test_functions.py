@@ -166,3 +166,23 @@ def test_hot_values_of_a_large_dictionary(spark):
     order = sorted({r.t for r in df.collect()})
     rows = codes.decode(codes.encode(df, "code"), "code", "back").collect()
     assert len(rows) == 3000 and all(order[r.code] == r.t == r.back for r in rows)
+
+
+def test_mostly_null_column_is_spread(spark):
+    """The shuffled lookup: neither nulls nor a frequent value that the dictionary lacks fill a task."""
+    values = spark.range(20_000).selectExpr("concat('v', id) AS value", "id AS code", "0.00005D AS share")
+    table = Dictionary("value", "string", None, cut_lineage(values))
+    rows = spark.range(40_000).selectExpr(
+        "id", "CASE WHEN id % 10 < 6 THEN NULL WHEN id % 10 < 9 THEN 'unseen' ELSE concat('v', id % 20000) END AS value"
+    )
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = table.encode(rows, "code").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sizes = np.unique([r.part for r in done], return_counts=True)[1]
+    assert len(done) == 40_000 and sizes.max() <= 2 * sizes.mean()
+    assert all((r.code is None) if not (r.value or "").startswith("v") else r.code == int(r.value[1:]) for r in done)

@@ -363,9 +363,8 @@ def test_configured_run(spark, flowers, tmp_path):
     config = from_flat({
         "IRIS_FEATURE_COLS": FLOWER_FEATURES, "IRIS_LABEL_COL": "species", "TEST_SIZE": 0.2, "VAL_SIZE": 0.2,
         "USE_STRATIFIED": True, "RANDOM_SEED": 42, "N_ESTIMATORS": 20, "MAX_DEPTH": 3, "FILL_PROCESS": "None",
-        "ISNULL_PROCESS": "mean_cols", "METHOD": "iqr", "THRESHOLD": 3, "PROCESE_OUTLIERS_METHOD": "fill_outlier", "UNRELATED": 1,
-    })
-    config["model"]["type"] = "random_forest"
+        "ISNULL_PROCESS": "mean_cols", "METHOD": "iqr", "THRESHOLD": 3, "PROCESE_OUTLIERS_METHOD": "fill_outlier",
+    }, "random_forest")
     config |= {"standardise": True, "class_weight": "balanced", "output": str(tmp_path / "out"), "dataset_id": "flowers"}
     result = run_config(spark, config, flowers)
     scores = {r.split: (r.accuracy, r.rows) for r in result.training.metrics.collect()}
@@ -384,3 +383,81 @@ def test_configured_regression(spark, curve):
     )
     assert {r.split for r in result.training.metrics.where("r2 > 0.8").collect()} == {"train", "val", "test"}
     assert result.scorer.codes is None
+
+
+def test_unknown_settings_are_refused():
+    with pytest.raises(ValueError, match="UNRELATED"):
+        from_flat({"UNRELATED": 1, "C": 2})
+
+
+def test_flat_model_names():
+    config = from_flat({"MODEL": "BernoulliNB", "ALPHA": 1, "FIT_PRIOR": False, "CLASS_PRIOR": None, "BINARIZE": None})
+    assert config["model"] == {"type": "Be_naive_bayes", "params": {"alpha": 1, "fit_prior": False}}
+    assert from_flat({"MODEL": "GaussianNB", "ALPHA": 1})["model"]["params"] == {}
+    assert from_flat({"IRIS_FEATURE_COL": "a", "IRIS_LABEL_COL": "b"}, "LR")["features"] == ["a"]
+
+
+def test_configured_clustering(spark, flowers):
+    config = from_flat({"IRIS_FEATURE_COLS": FLOWER_FEATURES, "FINAL_K": 3, "INIT": "k-means++", "N_INIT": 3, "RANDOM_STATE": 42})
+    result = run_config(spark, config, flowers)
+    assert sorted(r.n for r in result.summary.collect())[0] > 30 and result.splits is None
+    assert result.data.count() == 150 and result.clusters.cost > 0
+
+
+def test_configuration_without_model_type_or_label(spark, curve):
+    with pytest.raises(ValueError, match="model type"):
+        run_config(spark, {"label": "y", "features": ["a"], "model": {"params": {}}}, curve)
+    with pytest.raises(ValueError, match="label"):
+        run_config(spark, {"features": ["a"]}, curve)
+
+
+def test_subset_without_an_order(spark, curve):
+    twice = curve.drop("split").union(curve.drop("split").withColumn("id", F.col("id") + 1000))
+    result = run_config(
+        spark, {"label": "y", "features": ["a", "b"], "duplicates": {"subset": ["a", "b"], "keep": "first"}, "model": {"type": "LR"}}, twice
+    )
+    assert result.data.count() == 240 and result.data.agg(F.max("id")).first()[0] < 1000
+
+
+@pytest.mark.parametrize("limit", [-1, 100])
+def test_svm_without_round_limit(parts, limit):
+    model = registry.train(
+        parts.where("split = 'train'"), "classification", "svm", FLOWER_FEATURES, "species", {"kernel": "linear", "max_iter": limit}
+    )
+    right = model.transform(parts).where("prediction = species").count()
+    assert right >= 140 and abs(model.weights).max() > 0
+
+
+def test_svm_says_when_rounds_end_too_soon(parts):
+    with pytest.warns(RuntimeWarning, match="not settled"):
+        registry.train(parts, "classification", "svm", FLOWER_FEATURES, "species", {"kernel": "linear", "max_iter": 2})
+    with pytest.raises(ValueError, match="max_iter"):
+        registry.train(parts, "classification", "svm", FLOWER_FEATURES, "species", {"max_iter": 0})
+
+
+@pytest.mark.parametrize("name", ["svm", "mlp", "knn"])
+def test_null_features(parts, name):
+    """Refused in training with one clear message, a null prediction in scoring."""
+    params = {"mlp": {"max_iter": 3}, "svm": {"kernel": "linear", "max_iter": 3}}.get(name, {})
+    holes = parts.withColumn("petal_width", F.when(F.col("petal_width") > 1.8, F.lit(None)).otherwise(F.col("petal_width")))
+    with pytest.raises(ValueError, match="cannot train on nulls.*petal_width"):
+        registry.train(holes, "classification", name, FLOWER_FEATURES, "species", params)
+    model = registry.train(parts, "classification", name, FLOWER_FEATURES, "species", params)
+    scored = model.transform(holes)
+    assert scored.count() == parts.count()
+    assert scored.where("(prediction IS NULL) <> (petal_width IS NULL)").count() == 0
+
+
+def test_boosting_with_any_number_of_jobs(parts):
+    model = registry.train(parts, "classification", "gboost", FLOWER_FEATURES, "species", {"n_estimators": 2, "n_jobs": -1})
+    assert model.transform(parts).where("prediction = species").count() > 130
+
+
+def test_neighbours_take_no_weights(parts):
+    with pytest.raises(ValueError, match="weights"):
+        registry.train(parts, "classification", "knn", FLOWER_FEATURES, "species", weight="sepal_length")
+
+
+def test_many_payloads_are_summed(spark):
+    rows = spark.range(5000, numPartitions=700).selectExpr("spark_partition_id() AS part", "array(1.0D, double(id)) AS payload")
+    assert list(network._summed(rows)) == [5000.0, 5000 * 4999 / 2]

@@ -299,3 +299,25 @@ def test_actual_vs_predicted(spark):
     assert metrics.actual_vs_predicted(df, ["id"], "y", "p").count() == 300
     first = metrics.actual_vs_predicted(df, ["id"], "y", "p", 200).collect()
     assert len(first) == 200 and first[0].residual == -1.0
+
+
+@pytest.mark.parametrize("stratified", [True, False])
+def test_sizes_are_exact_on_a_repeated_key(spark, stratified):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS key", "id % 2 AS kind")
+    parts = splitting.split_table(rows, "kind", 0.2, 0.2, stratified, key=["key"])
+    sizes = {r.split: r["count"] for r in parts.groupBy("split").count().collect()}
+    assert sizes == {"train": 600, "val": 200, "test": 200}
+
+
+def test_sizes_are_exact_on_one_key(spark):
+    """More rows on one key than are gathered: the cut is searched by the second key."""
+    rows = spark.range(30_000).selectExpr("id", "1 AS key")
+    parts = splitting.split_table(rows, None, 0.2, 0.2, key=["key"], dedup=False)
+    sizes = {r.split: r["count"] for r in parts.groupBy("split").count().collect()}
+    assert sizes == {"train": 18_000, "val": 6_000, "test": 6_000}
+
+
+def test_equal_rows_at_a_cut_are_refused(spark):
+    rows = spark.range(100).selectExpr("1 AS key", "2 AS value")
+    with pytest.raises(ValueError, match="agree in every column"):
+        splitting.split_table(rows, None, 0.2, 0.2, key=["key"], dedup=False)
