@@ -531,7 +531,15 @@ def predictions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, header=True, escape='"')
 
 
-@query("training_summary")
+@query(
+    "training_summary",
+    """
+    WITH z AS (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS t FROM lineitem),
+    v AS (SELECT n, t, CAST(ceil((n - t) * (0.2 / (1 - 0.2))) AS BIGINT) AS v FROM z)
+    SELECT 'Ga_naive_bayes' AS model_type, 'classification' AS problem_type, 4 AS features, n - t - v AS train_rows,
+           v AS val_rows, t AS test_rows, '[]' AS params FROM v
+    """,
+)
 def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = registry.train_and_score(
         line_splits(spark, sf_dir, "flag"), "classification", "Ga_naive_bayes", LINE_COLUMNS, "flag"

@@ -9,7 +9,7 @@ import pytest
 from sparktab.catalog import ORACLES, QUERIES
 
 DATA = os.environ.get("SPARKTAB_TESTDATA", "/root/testdata/sf0.001")
-TABLES = ["customer", "documents", "embeddings", "events", "labels", "lineitem", "orders", "part", "supplier"]
+TABLES = ["benchmark", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "part", "supplier"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
