@@ -12,6 +12,7 @@ from .columns import quoted
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 50_000
+BLOCK_BYTES = 64 << 20
 
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
@@ -30,8 +31,8 @@ def against_all(
 
     If ``right`` is measured to be small it is broadcast and ``left`` is streamed past it
     without a shuffle; the kernel then sees the whole right side at once. Otherwise both
-    sides are cut by a hash of their keys into blocks of about ``block_rows`` rows and
-    every pair of blocks is one group of bounded size, however skewed the values are.
+    sides are cut by a hash of their keys into blocks of about ``block_rows`` rows, fewer
+    for wide rows (a block holds at most about BLOCK_BYTES of numbers), and every pair of blocks is one group of bounded size, however skewed the values are.
     Returns the result and whether a left row may occur several times (once per right
     block) and has to be merged; kernels reduce inside a block, so only reduced rows
     are shuffled again.
@@ -47,6 +48,8 @@ def against_all(
 
         return left.mapInPandas(stream, schema), False
 
+    widest = max(len(left.columns), len(right.columns))
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * widest)))
     left_blocks = max(1, math.ceil(left.count() / block_rows))
     right_blocks = max(1, math.ceil(right_count / block_rows))
 

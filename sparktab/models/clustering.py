@@ -131,10 +131,18 @@ def _distance_sums(a: np.ndarray, b: np.ndarray, labels: np.ndarray, k: int) ->
     member = np.zeros((len(b), k))
     member[np.arange(len(b)), labels] = 1.0
     out = np.empty((len(a), k))
-    step = max(1, CELLS // max(1, len(b) * a.shape[1]))
+    step = max(1, CELLS // max(1, len(b)))
+    middle = b.mean(axis=0)
+    a, b = a - middle, b - middle
+    squares = (b**2).sum(axis=1)
     for at in range(0, len(a), step):
-        gap = a[at : at + step, None, :] - b[None, :, :]
-        out[at : at + step] = np.sqrt((gap**2).sum(axis=2)) @ member
+        part = a[at : at + step]
+        own = (part**2).sum(axis=1)[:, None]
+        gap = own + squares[None, :] - 2.0 * part @ b.T
+        # Where the product has cancelled, the distance is computed directly.
+        rows, cols = np.nonzero(gap < 1e-6 * (own + squares[None, :]))
+        gap[rows, cols] = ((part[rows] - b[cols]) ** 2).sum(axis=1)
+        out[at : at + step] = np.sqrt(gap) @ member
     return out
 
 

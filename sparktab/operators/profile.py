@@ -39,6 +39,23 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _distinct_counts(data: DataFrame, spot: dict[str, int]) -> dict[int, int]:
+    """Distinct non-null values per column number.
+
+    One job with a branch per column: each reads its own column only and counts distinct
+    values. A single aggregate over all columns would copy every row once per column.
+    """
+    branches = [
+        data.select(quoted(c).alias("value")).where("value IS NOT NULL").distinct()
+        .agg(F.lit(i).alias("spot"), F.count(F.lit(1)).alias("n"))
+        for c, i in spot.items()
+    ]
+    found = branches[0]
+    for branch in branches[1:]:
+        found = found.unionAll(branch)
+    return {r.spot: r.n for r in found.collect()}
+
+
 def column_profile(
     df: DataFrame,
     outliers_method: str = "iqr",
@@ -65,11 +82,7 @@ def column_profile(
             for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max))
         ],
     ).first()
-    # A scan of its own: together, every distinct value would carry all other buffers
-    # through the shuffle.
-    distinct = data.agg(
-        *[F.count_distinct(quoted(c)).alias(f"d{i}") for c, i in spot.items()]
-    ).first()
+    distinct = _distinct_counts(data, spot)
     probs = [0.25, 0.5, 0.75] if outliers_method == "iqr" else [0.5]
     quantiles = exact_quantiles(data, {c: probs for c in numeric})
     bounds = fit_bounds(
@@ -80,7 +93,7 @@ def column_profile(
     rows = []
     for c, i in spot.items():
         non_null = basics[f"n{i}"]
-        common = (c, dtypes[c], non_null, basics["rows"] - non_null, distinct[f"d{i}"])
+        common = (c, dtypes[c], non_null, basics["rows"] - non_null, distinct[i])
         if c in numeric:
             q = quantiles[c]
             b = bounds.get(c)
@@ -89,7 +102,7 @@ def column_profile(
                 outside.get(c, 0), b and b.lower, b and b.upper,
             ))
         else:
-            ratio = distinct[f"d{i}"] / non_null if non_null else 0.0
+            ratio = distinct[i] / non_null if non_null else 0.0
             rows.append(common + (ratio, None, None, None, None, 0, None, None))
     return local_table(df.sparkSession, rows, COLUMN_PROFILE_SCHEMA)
 
