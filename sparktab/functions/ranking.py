@@ -12,7 +12,13 @@ from .columns import quoted
 
 GATHER_LIMIT = 10_000
 DRIVER_CELLS = 1_000_000
-SHARED_KEYS = "rows that agree in every column share a cut; remove repeated rows or name a unique key"
+
+
+SHARED_KEYS = "rows that agree in every column of the key share a cut; remove repeated rows or name a unique key"
+
+
+class SharedKeysError(ValueError):
+    """Rows that share both keys lie on either side of a cut."""
 
 
 def order_keys(columns: Sequence[str], seed: int, portable: bool = False) -> tuple[Column, Column]:
@@ -118,7 +124,7 @@ def rank_cuts(
                 for i, rank in wanted:
                     result[g][i] = ordered_rows[rank - 1]
                     if ordered_rows[rank - 1 : rank] == ordered_rows[rank : rank + 1]:
-                        raise ValueError(SHARED_KEYS)
+                        raise SharedKeysError(SHARED_KEYS)
         pending, shift = following, next_shift
     return result
 
@@ -129,7 +135,7 @@ def _second_cut(
     """The cut among rows of one first key, searched by the second."""
     spread = rows.agg(F.min(quoted(second_key)).alias("a"), F.max(quoted(second_key)).alias("b")).first()
     if spread.a == spread.b:
-        raise ValueError(SHARED_KEYS)
+        raise SharedKeysError(SHARED_KEYS)
     return first, rank_cuts(rows, group, second_key, first_key, {g: [rank]})[g][0][0]
 
 

@@ -155,10 +155,9 @@ class SparkModel(TabularModel):
 
 def any_null(columns: Sequence[Column]) -> Column:
     """Whether any of the numeric columns is null or NaN."""
-    found = F.lit(False)
-    for column in columns:
-        found |= column.isNull() | F.isnan(column)
-    return found
+    # One predicate over an array: a chain of tests per column would be taken apart by the
+    # optimizer into constraints on every one of them.
+    return F.exists(F.array(*columns), lambda v: v.isNull() | F.isnan(v))
 
 
 def refuse_nulls(df: DataFrame, features: Sequence[str], model: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import blocks
 from ..functions.columns import quoted, require_columns
 from ..session import cut_lineage
-from .base import ModelSpec, TabularModel, any_null, refuse_nulls, reject_unknown
+from .base import ModelSpec, TabularModel, refuse_nulls, reject_unknown
 
 CELLS = 1_000_000
 MERGED_SHARES = 64
@@ -72,6 +72,13 @@ def nearest_neighbors(
     names = [f"f{i}" for i in range(len(features))]
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        # Rows with nulls find nothing. (A filter on all columns would have the optimizer
+        # derive constraints for every renamed column.)
+        lacking = np.isnan(a[names].to_numpy(dtype=float)).any(axis=1)
+        none = pd.DataFrame({"__q": a["__q"][lacking].to_numpy(), "neighbors": [[] for _ in range(int(lacking.sum()))]})
+        a = a[~lacking]
+        if not len(a):
+            return none
         ids = b["__id"].to_numpy()
         rows, cols, dist = nearest_in_block(
             a[names].to_numpy(dtype=float), b[names].to_numpy(dtype=float), ids, k, p
@@ -82,7 +89,8 @@ def nearest_neighbors(
             [{"distance": d, "id": i, "label": y} for d, i, y in zip(ds, js, ys)]
             for ds, js, ys in zip(np.split(dist, cuts), np.split(ids[cols], cuts), np.split(labels[cols], cuts))
         ]
-        return pd.DataFrame({"__q": a["__q"].to_numpy(), "neighbors": lists})
+        done = pd.DataFrame({"__q": a["__q"].to_numpy(), "neighbors": lists})
+        return pd.concat([done, none]) if len(none) else done
 
     found, several = blocks.against_all(
         left, right, "__q", "__id", kernel, f"__q bigint, neighbors {NEIGHBORS}", **limits
@@ -137,20 +145,19 @@ class NeighborsModel(TabularModel):
             keyed = cut_lineage(df.withColumn("__q", F.monotonically_increasing_id()))
         else:
             keyed = df.withColumn("__q", quoted(key).cast("bigint"))
-        whole = ~any_null([quoted(c).cast("double") for c in self.spec.features])
         found = nearest_neighbors(
-            keyed.where(whole), self.points, self.spec.features,
+            keyed, self.points, self.spec.features,
             int(params.get("n_neighbors", 5)), float(params.get("p", 2)), **limits,
         )
         votes = found.select("__q", _weights(F.col("neighbors"), params.get("weights", "uniform")).alias("__v"))
         out = self._regress(votes) if self.classes is None else self._vote(votes)
         names = [c for c in out.columns if c != "__q"]
         kept = [quoted(c) for c in df.columns if c not in names]
-        return keyed.join(out, "__q", "left").select(*kept, *names)
+        return keyed.join(out, "__q").select(*kept, *names)
 
     def _regress(self, votes: DataFrame) -> DataFrame:
         total = _sum(F.transform("__v", lambda n: n["w"]))
-        mean = _sum(F.transform("__v", lambda n: n["w"] * n["label"])) / total
+        mean = F.try_divide(_sum(F.transform("__v", lambda n: n["w"] * n["label"])), total)
         return votes.select("__q", mean.alias("prediction"))
 
     def _vote(self, votes: DataFrame) -> DataFrame:
@@ -161,7 +168,7 @@ class NeighborsModel(TabularModel):
                 F.transform(F.filter("__v", lambda n: n["label"] == c.cast("double")), lambda n: n["w"])
             ),
         )
-        counted = votes.select("__q", shares.alias("__s"))
+        counted = votes.select("__q", F.when(F.size("__v") > 0, shares).alias("__s"))
         total = _sum(F.col("__s"))
         return counted.select(
             "__q",

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import quoted, require_columns
-from ..functions.ranking import order_keys, rank_cuts
+from ..functions.ranking import SharedKeysError, order_keys, rank_cuts
 from ..session import cut_lineage, local_table
 from .labels import split_label_kind
 
@@ -153,12 +153,19 @@ def _cut(
     return data.withColumn(out, assigned.otherwise(otherwise)).select(*df.columns, out)
 
 
-def _row_keys(df: DataFrame, key: Sequence[str] | None, seed: int, portable: bool = False) -> tuple[Column, Column]:
-    """Order keys; rows that share a named key are told apart by all their columns."""
-    k1, k2 = order_keys(list(key or df.columns), seed, portable)
-    if key is not None:
-        k2 = order_keys(list(df.columns), seed)[1]
-    return k1, k2
+def _cut_or_tell_apart(
+    df: DataFrame, keyed: DataFrame, strata: str | None, quotas: Mapping[Any, Sequence[int]], names: Sequence[str],
+    otherwise: str, out: str, seed: int, narrow: DataFrame | None = None,
+) -> DataFrame:
+    """Cut by the keys given; if rows that share one lie across a cut, by a hash of their whole rows too.
+
+    The second form is written, since its comparisons read every column.
+    """
+    try:
+        return _cut(keyed, strata, quotas, names, otherwise, out, narrow).drop("__k1", "__k2")
+    except SharedKeysError:
+        apart = keyed.withColumn("__k2", order_keys(list(df.columns), seed)[1])
+        return cut_lineage(_cut(apart, strata, quotas, names, otherwise, out).drop("__k1", "__k2"))
 
 
 def split_table(
@@ -191,7 +198,7 @@ def split_table(
     if dedup and key is not None:
         df = cut_lineage(df.dropDuplicates())  # once, for the counts, the cuts and the result
         dedup = False
-    k1, k2 = _row_keys(df, key, seed, portable_keys)
+    k1, k2 = order_keys(list(key or df.columns), seed, portable_keys)
     keyed = df.withColumns({"__k1": k1, "__k2": k2})
     strata = label if stratified and label is not None else None
     narrow = keyed.select(*([quoted(strata)] if strata else []), "__k1", "__k2")
@@ -215,7 +222,7 @@ def split_table(
     if n - test - val <= 0:
         raise ValueError("the train part would be empty")
     quotas = _quotas(counts, test, val) if strata else {0: (test, val)}
-    done = _cut(keyed, strata, quotas, ["test", "val"], "train", out, narrow).drop("__k1", "__k2")
+    done = _cut_or_tell_apart(df, keyed, strata, quotas, ["test", "val"], "train", out, seed, narrow)
     if val == 0 and n - test > 5:
         return repair_splits(done, label if strata else None, seed, key, out)
     return done
@@ -254,12 +261,12 @@ def _carve(df, pool, parts, label, seed, key, out):
         taken.append({c: left[c] - kept[c] for c in left})
         left = kept
     quotas = {c: [t[c] for t in taken] for c in counts}
-    k1, k2 = _row_keys(pooled, key, seed)
+    k1, k2 = order_keys(list(key or pooled.columns), seed)
     keyed = pooled.withColumns({"__k1": k1, "__k2": k2})
     strata = label if label and len(counts) > 1 and sum(counts.values()) > 10 else None
     if strata is None:
         quotas = {0: [sum(t.values()) for t in taken]}
-    again = _cut(keyed, strata, quotas, [name for name, _ in parts], "train", out).drop("__k1", "__k2")
+    again = _cut_or_tell_apart(pooled, keyed, strata, quotas, [name for name, _ in parts], "train", out, seed)
     return again.unionByName(df.where(~inside))
 
 
