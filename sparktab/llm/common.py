@@ -15,6 +15,8 @@ from ..session import cut_lineage
 
 #: Bytes of text that a task turns into Python words at a time; a longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
+#: Rows of an Arrow batch whose texts a task holds as Python objects at a time.
+SLICE_ROWS = 1_000
 #: Rows up to which a measured side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -67,10 +69,11 @@ def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
 
 def word_blocks(column: pa.Array, table: bytes) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Per block: the number of words of each text, and all words in order."""
-    texts = column.cast(pa.binary()).to_pylist()
-    for begin, end in blocks(texts):
-        parts = [text.translate(table).split() for text in texts[begin:end]]
-        yield np.fromiter(map(len, parts), np.int64, len(parts)), list(chain.from_iterable(parts))
+    for at in range(0, len(column), SLICE_ROWS):
+        texts = column.slice(at, SLICE_ROWS).cast(pa.binary()).to_pylist()
+        for begin, end in blocks(texts):
+            parts = [text.translate(table).split() for text in texts[begin:end]]
+            yield np.fromiter(map(len, parts), np.int64, len(parts)), list(chain.from_iterable(parts))
 
 
 def hashed_words(words: list[bytes]) -> np.ndarray:
@@ -110,28 +113,26 @@ def shingles(words: list[bytes], counts: np.ndarray, widths: tuple[int, ...]) ->
     return values, inside
 
 
-def shingle_lists(widths: tuple[int, ...], table: bytes = PLAIN_WORDS):
-    """Arrow function: per text a list with, for each word and each width, a run's hash (null if cut off)."""
-
-    def lists(column: pa.Array) -> pa.Array:
-        values, inside, counts = [], [], []
-        for lengths, words in word_blocks(column, table):
-            hashes, whole = shingles(words, lengths, widths)
-            values.append(hashes.ravel())
-            inside.append(whole.ravel())
-            counts.append(lengths)
-        flat = np.concatenate([np.zeros(0, np.uint64), *values]).view(np.int64)
-        missing = ~np.concatenate([np.zeros(0, bool), *inside])
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]) * len(widths))])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64(), mask=missing))
-
-    return F.arrow_udf(lists, "array<bigint>")
-
-
 def shingle_rows(texts: DataFrame, widths: tuple[int, ...]) -> DataFrame:
     """One row (k1, k2, pos, hash) for every run of words of the given widths."""
-    lists = texts.select("k1", "k2", shingle_lists(widths)("text").alias("hashes"))
-    rows = lists.select("k1", "k2", F.posexplode("hashes").alias("spot", "hash")).where("hash IS NOT NULL")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per text a list with, for each word and each width, the run's hash (null if cut off)."""
+        for batch in batches:
+            done = 0
+            for lengths, words in word_blocks(batch.column("text"), PLAIN_WORDS):
+                values, inside = shingles(words, lengths, widths)
+                offsets = np.concatenate([[0], np.cumsum(lengths * len(widths))])
+                hashes = pa.array(values.ravel().view(np.int64), pa.int64(), mask=~inside.ravel())
+                part = batch.slice(done, len(lengths))
+                done += len(lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("k1"), part.column("k2"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), hashes)],
+                    names=["k1", "k2", "hashes"],
+                )
+
+    found = texts.select("k1", "k2", "text").mapInArrow(lists, "k1 bigint, k2 bigint, hashes array<bigint>")
+    rows = found.select("k1", "k2", F.posexplode("hashes").alias("spot", "hash")).where("hash IS NOT NULL")
     return rows.select("k1", "k2", F.floor(F.col("spot") / len(widths)).cast("int").alias("pos"), "hash")
 
 
@@ -146,7 +147,7 @@ def marked_texts(texts: DataFrame, hashes: DataFrame, widths: tuple[int, ...]) -
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, kept = [], []
+            done = 0
             for lengths, words in word_blocks(batch.column("text"), PLAIN_WORDS):
                 if wanted is None:
                     hit = np.ones(len(words), bool)
@@ -155,13 +156,15 @@ def marked_texts(texts: DataFrame, hashes: DataFrame, widths: tuple[int, ...]) -
                     hit = (np.isin(values.view(np.int64), wanted) & inside).any(axis=1)
                 ends = np.cumsum(lengths)
                 found = np.concatenate([[0], np.cumsum(hit)])
-                for begin, end in zip(ends - lengths, ends):
-                    kept.append(b" ".join(words[begin:end]) if found[end] > found[begin] else None)
-                counts.append(lengths)
-            n_words = pa.array(np.concatenate([np.zeros(0, np.int64), *counts]))
-            words = pa.array(kept, pa.binary()).cast(pa.string())
-            columns = [batch.column("id"), batch.column("k1"), batch.column("k2"), n_words, words]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "n_words", "words"])
+                kept = [
+                    b" ".join(words[begin:end]) if found[end] > found[begin] else None
+                    for begin, end in zip(ends - lengths, ends)
+                ]
+                part = batch.slice(done, len(lengths))
+                done += len(lengths)
+                columns = [part.column(c) for c in ("id", "k1", "k2")]
+                columns += [pa.array(lengths), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "n_words", "words"])
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(mark, f"id {kind}, k1 bigint, k2 bigint, n_words bigint, words string")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import quoted
 from ..functions.ranking import rank_cuts
 from ..session import cut_lineage
-from .common import blocks, small_side, text_of
+from .common import SLICE_ROWS, blocks, small_side, text_of
 
 #: Hash buckets of the n-gram models.
 BUCKETS = 1 << 16
@@ -65,9 +65,11 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray]]:
-    texts, good = batch.column("text").to_pylist(), batch.column("good").to_numpy(zero_copy_only=False)
-    for begin, end in blocks(texts, 1_000_000):
-        yield texts[begin:end], good[begin:end]
+    for at in range(0, len(batch), SLICE_ROWS):
+        part = batch.slice(at, SLICE_ROWS)
+        texts, good = part.column("text").to_pylist(), part.column("good").to_numpy(zero_copy_only=False)
+        for begin, end in blocks(texts, 1_000_000):
+            yield texts[begin:end], good[begin:end]
 
 
 def label_kinds(labels: DataFrame, id_column: str, quality_column: str, toxic_column: str | None) -> DataFrame:
