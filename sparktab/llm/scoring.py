@@ -5,10 +5,11 @@ Learning, from the training documents only:
 1. All their words are counted (distinct per block of texts, then one grouped sum).
 2. Each distinct word is cut into subword ids once, weighted by its count; the id counts
    give the model's vocabulary, output classes and P(id | class).
-3. Windows of subword ids, one for every WINDOW_EVERY words of each training document begun,
-   at places chosen by hash, are written. Rounds of training group the windows into shards of bounded size by hash; each shard runs
-   one pass of Adam from the current parameters, and the shards' results are averaged. Shards
-   do not depend on partitions, and their number grows with the documents.
+3. Every training document is cut into the windows of subword ids that scoring cuts it into, so
+   that each of its ids and its end id is predicted once. Runs of windows are grouped by hash
+   into shards of bounded size, which are written once. In each round of training each shard runs one pass of Adam from
+   the current parameters, and the shards' results are averaged. Shards do not depend on
+   partitions, and their number grows with the documents.
 
 Scoring reads every text once: causal attention over overlapping windows scores each id once.
 The same pass looks words up in a table of the most frequent ones, which is bounded; the
@@ -25,13 +26,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import quoted
 from ..session import cut_lineage
 from .attention import (
+    STRIDE,
     WINDOW,
     Parameters,
     Vocabulary,
@@ -48,10 +49,12 @@ from .pieces import MARKER, ChunkEncoder
 FOLDS, HELD_OUT = 7, 2
 #: Words in the table that goes along with the scoring tasks.
 FREQUENT_WORDS = 300_000
-#: Words for which a training document gives one window, and words that a window is cut from.
-WINDOW_EVERY, WINDOW_WORDS = 256, 32
 #: Windows of a training shard, rounds of training and their step sizes.
 SHARD_WINDOWS = 8192
+#: Windows of a text that go to a shard together.
+RUN_WINDOWS = 64
+#: Tasks that shards are dealt to while they are few, and shards of a task when they are many.
+FEW_TASKS, TASK_SHARDS = 200, 16
 RATES = (0.03, 0.015, 0.005)
 
 
@@ -102,79 +105,114 @@ def piece_counts(counts: DataFrame, model_path: str) -> np.ndarray:
     return totals
 
 
-def plain_text(words: list[bytes]) -> str:
-    return b" ".join(words).decode()
+def id_type(pieces: int) -> type:
+    return np.uint16 if pieces <= 1 << 16 else np.int32
 
 
-def training_windows(texts: DataFrame, model_path: str) -> DataFrame:
-    """(shard_key, ids): windows of up to WINDOW + 1 ids; one at a text's begin opens with the start id."""
+def window_runs(ids: np.ndarray, sizes: np.ndarray, start: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, nth, ids) of runs of up to RUN_WINDOWS windows: the id before the first target, then the targets.
+
+    Runs overlap by the context that windows share.
+    """
+    step = RUN_WINDOWS * STRIDE
+    ends = np.cumsum(sizes)
+    for text, (begin, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
+        windows = 1 + max(0, -(-(end - begin - WINDOW) // STRIDE))
+        for nth in range(-(-windows // RUN_WINDOWS)):
+            first = begin + nth * step - 1
+            part = ids[max(first, begin) : min(first + step + WINDOW - STRIDE + 1, end)]
+            yield text, nth, part if nth else np.concatenate([[start], part])
+
+
+def run_windows(ids: np.ndarray, sizes: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(WINDOW + 1 ids, whether each of the last WINDOW is a target) of all windows of runs, as scoring cuts them.
+
+    Only the very first window of a text has no context that the window before has as targets.
+    """
+    number = 1 + np.maximum(0, -(-(sizes - 1 - WINDOW) // STRIDE))
+    owner = np.repeat(np.arange(len(sizes)), number)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
+    local = nth[:, None] * STRIDE + np.arange(WINDOW + 1)
+    inside = local < sizes[owner][:, None]
+    place = np.where(inside, (np.cumsum(sizes) - sizes)[owner][:, None] + local, 0)
+    opening = (nth == 0) & ~later[owner]
+    fresh = opening[:, None] | (np.arange(WINDOW) >= WINDOW - STRIDE)
+    return ids[place], inside[:, 1:] & fresh
+
+
+def training_runs(texts: DataFrame, model_path: str, shards: int) -> DataFrame:
+    """(shard, shard_key, later, ids): all windows of the texts, as runs of packed ids; ``later`` but for a text's first."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(model_path, end=False)
-        start, stop_id = encoder.processor.bos_id(), encoder.processor.eos_id()
+        encoder = ChunkEncoder(model_path, end=True)
+        start, kind = encoder.processor.bos_id(), id_type(encoder.processor.get_piece_size())
+        for batch in batches:
+            given, done = batch.column("shard_key").to_pylist(), 0
+            for lengths, words in word_blocks(batch.column("text"), SPACED_WORDS):
+                table = pa.array(words, pa.binary()).dictionary_encode()
+                marked = [MARKER + name.decode() for name in table.dictionary.to_pylist()]
+                ids, sizes = encoder.encode_chunks(marked, table.indices.to_numpy().astype(np.int64), lengths)
+                keys, later, rows = [], [], []
+                for text, nth, part in window_runs(ids, sizes, start):
+                    keys.append((given[done + text] + nth * 0x9E3779B97F4A7C15) % (1 << 63))
+                    later.append(nth > 0)
+                    rows.append(part.astype(kind).tobytes())
+                done += len(lengths)
+                dealt = pa.array([key % shards for key in keys], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [dealt, pa.array(keys, pa.int64()), pa.array(later, pa.bool_()), pa.array(rows, pa.binary())],
+                    names=["shard", "shard_key", "later", "ids"],
+                )
+
+    return texts.select("shard_key", "text").mapInArrow(cut, "shard int, shard_key bigint, later boolean, ids binary")
+
+
+PACKED = pa.schema([("sizes", pa.binary()), ("later", pa.binary()), ("ids", pa.binary())])
+
+
+def _packed(shard: pa.Table) -> pa.Table:
+    """A shard's runs as one row, in the order of their keys; sizes are in bytes."""
+    shard = shard.sort_by("shard_key")
+    rows = shard.column("ids").to_pylist()
+    sizes = np.fromiter(map(len, rows), np.int32, len(rows))
+    later = shard.column("later").to_numpy().astype(np.uint8)
+    return pa.table(dict(zip(PACKED.names, [[sizes.tobytes()], [later.tobytes()], [b"".join(rows)]])), PACKED)
+
+
+def _round(held: np.ndarray, vocabulary: Vocabulary, rate: float):
+    """Arrow function: packed shards to (at, move), their summed weighted changes; at -1 is their number of windows."""
+    kind = id_type(len(vocabulary.row))
+
+    def one_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        move, number = np.zeros(len(held)), 0
         for batch in batches:
-            given, spot, keys, rows = batch.column("shard_key").to_pylist(), 0, [], []
-            for counts, words in word_blocks(batch.column("text"), SPACED_WORDS):
-                ends = np.cumsum(counts)
-                parts, opens, closes = [], [], []
-                for begin, end in zip((ends - counts).tolist(), ends.tolist()):
-                    key = given[spot]
-                    for nth, least in enumerate(range(begin, max(end, begin + 1), WINDOW_EVERY)):
-                        room = min(WINDOW_EVERY, max(1, end - least - WINDOW_WORDS // 2))
-                        own = (key + nth * 0x9E3779B97F4A7C15) % (1 << 63)
-                        at = least + own % room
-                        parts.append(plain_text(words[at : min(end, at + WINDOW_WORDS)]))
-                        opens.append(at == begin)
-                        closes.append(at + WINDOW_WORDS >= end)
-                        keys.append(own)
-                    spot += 1
-                ids, sizes = encoder.encode(parts)
-                stops = np.cumsum(sizes)
-                for begin, stop, first, last in zip((stops - sizes).tolist(), stops.tolist(), opens, closes):
-                    chosen = [[start] * first, ids[begin:stop], [stop_id] * last]
-                    rows.append(np.concatenate(chosen).astype(np.int32)[: WINDOW + 1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], names=["shard_key", "ids"]
-            )
-
-    return texts.select("shard_key", "text").mapInArrow(cut, "shard_key bigint, ids array<int>")
-
-
-def _shard_pass(held: np.ndarray, vocabulary: Vocabulary, rate: float):
-    """Pandas function: a shard's windows to its weighted change of every parameter."""
-
-    def one_pass(shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("shard_key", kind="stable")
-        ids = np.zeros((len(shard), WINDOW + 1), np.int64)
-        sizes = np.zeros(len(shard), np.int64)
-        for i, row in enumerate(shard["ids"]):
-            ids[i, : len(row)] = row
-            sizes[i] = len(row)
-        scored = np.arange(1, WINDOW + 1) < sizes[:, None]
-        found = train(unflatten(held), vocabulary.row[ids[:, :-1]], vocabulary.group[ids[:, 1:]], scored, rate)
-        move = (flatten(found) - held).astype(np.float64) * len(shard)
-        return pd.DataFrame({"at": np.arange(len(move), dtype=np.int32), "move": move})
-
-    return one_pass
-
-
-def learn(windows: DataFrame, vocabulary: Vocabulary, rates: tuple[float, ...] = RATES) -> Parameters:
+            for row in range(len(batch)):
+                sizes, later, flat = (batch.column(name)[row].as_py() for name in PACKED.names)
+                sizes = np.frombuffer(sizes, np.int32).astype(np.int64) // np.dtype(kind).itemsize
+                ids, scored = run_windows(np.frombuffer(flat, kind), sizes, np.frombuffer(later, np.uint8) > 0)
+                order = np.random.default_rng(len(ids)).permutation(len(ids))  # neighbours of a text apart
+                ids, scored = ids[order], scored[order]
+                found = train(unflatten(held), vocabulary.row[ids[:, :-1]], vocabulary.group[ids[:, 1:]], scored, rate)
+                move += (flatten(found) - held).astype(np.float64) * len(ids)
+                number += len(ids)
+        at = np.arange(-1, len(move), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([[number], move]))], names=["at", "move"])
+
+    return one_round
+
+
+def learn(runs: DataFrame, vocabulary: Vocabulary, rates: tuple[float, ...] = RATES) -> Parameters:
     """Rounds of local passes over shards of the windows, averaged after each round."""
     parameters = first_parameters(vocabulary)
-    number = windows.count()
-    if not number:
-        return parameters
-    shards = max(1, number // SHARD_WINDOWS)
-    dealt = windows.withColumn("shard", F.pmod("shard_key", F.lit(shards)))
+    packed = cut_lineage(runs.groupBy("shard").applyInArrow(_packed, "sizes binary, later binary, ids binary"))
 
     for rate in rates:
         held = flatten(parameters)
-        one_pass = _shard_pass(held, vocabulary, rate)
-        moves = dealt.groupBy("shard").applyInPandas(one_pass, "at int, move double")
+        moves = packed.mapInArrow(_round(held, vocabulary, rate), "at int, move double")
         summed = moves.groupBy("at").agg(F.sum("move").alias("move")).toArrow()  # one number per parameter
-        step = np.zeros(len(held))
-        step[summed["at"].to_numpy()] = summed["move"].to_numpy()
-        parameters = unflatten(held + step / number)
+        step = np.zeros(len(held) + 1)
+        step[summed["at"].to_numpy() + 1] = summed["move"].to_numpy()
+        parameters = unflatten(held + step[1:] / max(step[0], 1.0))
     return parameters
 
 
@@ -224,8 +262,10 @@ def score_texts(
     pieces = piece_counts(counts, model_path)
     pieces[ChunkEncoder(model_path, False).processor.eos_id()] = n_texts
     vocabulary = Vocabulary.from_counts(pieces)
-    windows = cut_lineage(training_windows(training, model_path))
-    flat = flatten(learn(windows, vocabulary))
+    shards = max(1, int(pieces.sum()) // (STRIDE * SHARD_WINDOWS))
+    tasks = max(min(shards, FEW_TASKS), -(-shards // TASK_SHARDS))
+    runs = training_runs(training, model_path, shards).repartition(tasks, "shard")
+    flat = flatten(learn(runs, vocabulary))
     frequent = spark.sparkContext.broadcast(_frequent(counts))  # at most FREQUENT_WORDS entries
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

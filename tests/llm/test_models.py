@@ -201,6 +201,27 @@ def test_training_helps_on_held_out_texts(spark, monkeypatch):
     assert trained > 0.9 * held_out_score()  # scores are negative: at least a tenth nearer to 0
 
 
+def test_training_windows_cover_every_id(spark):
+    """All ids of a text, its end included, are targets of its windows, each once."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(sentence(rng, 20) for _ in range(n))) for i, n in enumerate((0, 1, 3, 40, 400))] + [(9, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id AS shard_key", "coalesce(text, '') AS text")
+    encoder = pieces.ChunkEncoder(MODEL, end=True)
+    start = encoder.processor.bos_id()
+    shared = attention.WINDOW - attention.STRIDE
+    found = scoring.training_runs(frame, MODEL, 3).collect()
+    lists = [np.frombuffer(r.ids, scoring.id_type(32000)) for r in found]
+    windows, scored = scoring.run_windows(np.concatenate(lists), np.array([len(x) for x in lists]), np.array([r.later for r in found]))
+    want, got = Counter(), Counter()
+    for _, t in rows:
+        seq = [start, *encoder.encode([" ".join((t or "").lower().split())])[0].tolist()]
+        want.update(tuple(seq[max(0, at - shared) : at + 1]) for at in range(1, len(seq)))
+    for ids, targets in zip(windows.tolist(), scored):
+        got.update(tuple(ids[max(0, at + 1 - shared) : at + 2]) for at in np.nonzero(targets)[0].tolist())
+    assert got == want
+    assert {r.shard for r in found} == {0, 1, 2}
+
+
 def test_scores_without_rows_or_training(spark, none):
     assert scoring.score_texts(none, MODEL).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
