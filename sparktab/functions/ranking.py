@@ -38,7 +38,7 @@ def order_keys(columns: Sequence[str], seed: int, portable: bool = False) -> tup
 
 
 def rank_cuts(
-    df: DataFrame, group: str, first_key: str, second_key: str, quotas: Mapping[Any, Sequence[int]]
+    df: DataFrame, group: str, first_key: str, second_key: str, quotas: Mapping[Any, Sequence[int]], shared: bool = False
 ) -> dict[Any, list[tuple[int, int] | None]]:
     """Per group, the (first_key, second_key) of the q-th smallest row for each quota q.
 
@@ -48,7 +48,8 @@ def rank_cuts(
 
     Where more rows than that share the first key, the second is searched in the same way.
     Each cut pair must belong to one row, else no comparison could take exactly q rows: a
-    row that shares both keys with the next one after the cut is an error.
+    row that shares both keys with the next one after the cut is an error. With ``shared`` its
+    pair is the cut all the same, so that rows up to the cut are more than q.
     """
     bits = 12
     while bits > 4 and (1 << bits) * max(len(quotas), 1) > DRIVER_CELLS:
@@ -100,7 +101,7 @@ def rank_cuts(
                             small.setdefault((g, p), []).append((i, rank))
                         elif next_shift == 0:
                             same = df.where(g_col.eqNullSafe(F.lit(g)) & (k1 == p))
-                            result[g][i] = _second_cut(same, group, first_key, second_key, g, p, rank)
+                            result[g][i] = _second_cut(same, group, first_key, second_key, g, p, rank, shared)
                         else:
                             following.setdefault(g, {})[i] = (p, rank)
                         break
@@ -123,20 +124,22 @@ def rank_cuts(
                 ordered_rows = sorted(members[g, p])
                 for i, rank in wanted:
                     result[g][i] = ordered_rows[rank - 1]
-                    if ordered_rows[rank - 1 : rank] == ordered_rows[rank : rank + 1]:
+                    if not shared and ordered_rows[rank - 1 : rank] == ordered_rows[rank : rank + 1]:
                         raise SharedKeysError(SHARED_KEYS)
         pending, shift = following, next_shift
     return result
 
 
 def _second_cut(
-    rows: DataFrame, group: str, first_key: str, second_key: str, g: Any, first: int, rank: int
+    rows: DataFrame, group: str, first_key: str, second_key: str, g: Any, first: int, rank: int, shared: bool
 ) -> tuple[int, int]:
     """The cut among rows of one first key, searched by the second."""
     spread = rows.agg(F.min(quoted(second_key)).alias("a"), F.max(quoted(second_key)).alias("b")).first()
     if spread.a == spread.b:
-        raise SharedKeysError(SHARED_KEYS)
-    return first, rank_cuts(rows, group, second_key, first_key, {g: [rank]})[g][0][0]
+        if not shared:
+            raise SharedKeysError(SHARED_KEYS)
+        return first, spread.a
+    return first, rank_cuts(rows, group, second_key, first_key, {g: [rank]}, shared)[g][0][0]
 
 
 def running_totals(

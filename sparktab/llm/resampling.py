@@ -183,7 +183,7 @@ def resample(
     kept = F.lit(True)
     if level is not None:
         k = slim.where(F.col("weight") >= level).count()
-        cut = rank_cuts(slim, "group", "first", "second", {0: [k]})[0][0]
+        cut = rank_cuts(slim, "group", "first", "second", {0: [k]}, shared=True)[0][0]
         first, second = F.col("first"), F.col("second")
         kept = (first < cut[0]) | ((first == cut[0]) & (second <= cut[1])) if cut else F.lit(False)
     return keyed.select(

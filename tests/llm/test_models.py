@@ -287,6 +287,29 @@ def test_quality_weights_by_brute_force(spark):
     assert all(r.kept == (r.sample_key >= keys[k - 1] - 1e-6) for r in got.values())
 
 
+@pytest.mark.parametrize("copies", [3, 40])
+def test_quality_keeps_or_drops_repeated_rows_together(spark, copies, monkeypatch):
+    """Every row is repeated, so that the cut lies within a group of rows that share both keys."""
+    monkeypatch.setattr("sparktab.functions.ranking.GATHER_LIMIT", 20)
+    rows, labels = labelled(n=60)
+    rows = [(None if i == 1 else i, t) for i, t in rows] * copies
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    real = resampling.rank_cuts
+    asked = []
+
+    def within(df, group, first, second, quotas, **options):
+        asked.append(quotas[0][0] // copies * copies - 1)  # one row short of a whole group
+        return real(df, group, first, second, {0: asked}, **options)
+
+    monkeypatch.setattr(resampling, "rank_cuts", within)
+    found = resampling.resample(spark.createDataFrame(rows, "doc_id bigint, text string"), marks).collect()
+    sides = defaultdict(list)
+    for r in found:
+        sides[r.row.c0, r.row.c1].append(r.kept)
+    assert len(found) == len(rows) and all(len(s) == copies and len(set(s)) == 1 for s in sides.values())
+    assert sum(r.kept for r in found) == asked[0] + 1
+
+
 def test_quality_without_labels_or_documents(spark, none, docs):
     marks = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert resampling.keep_good(docs, marks, "doc_id", "text").count() == docs.count()
