@@ -1,7 +1,9 @@
 """Substring deduplication by hashing units of lines.
 
 A line is cut at sentence ends into units of at least ``least`` words, so that a passage is
-found although the lines around it differ. A unit is normalised to its lower-cased words; its
+found although the lines around it differ. Neighbouring lines without a unit of their own (verse,
+lists, code) are joined into units up to the end of the paragraph, the last of them with what is
+left over. In scripts without spaces two characters count as a word. A unit is normalised to its lower-cased words; its
 digest (128 bits) is grouped over the whole table, the occurrence that ranks first stays, and
 all others are removed from their texts. Units of fewer words are never removed. Spans are
 offsets into the original text, in code points, end exclusive.
@@ -27,7 +29,19 @@ from .common import PLAIN_WORDS, text_of
 
 #: Words a unit must have; shorter sentences are joined with the next of their line.
 LEAST_WORDS = 8
-SENTENCE_END = re.compile(r"[.!?]+(?=\s)")
+SENTENCE_END = re.compile(r"[.!?؟।॥]+(?=\s)|[。！？｡]+")
+#: Characters of scripts that put no spaces between words: Thai to Burmese, Khmer, kana, Han.
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿𠀀-𿿿]")
+
+
+def _words(text: str) -> tuple[list[bytes], int]:
+    """The normalised words, and how many they count as."""
+    words = text.encode().translate(PLAIN_WORDS).split()
+    return words, len(words) if text.isascii() else max(len(words), len(UNSPACED.findall(text)) // 2)
+
+
+def _lead(text: str) -> int:
+    return len(text) - len(text.lstrip())
 
 
 def line_units(line: str, least: int) -> Iterator[tuple[int, int, bytes]]:
@@ -35,19 +49,42 @@ def line_units(line: str, least: int) -> Iterator[tuple[int, int, bytes]]:
     begin = 0
     ends = [match.end() for match in SENTENCE_END.finditer(line)]
     for end in [*ends, len(line)]:
-        words = line[begin:end].encode().translate(PLAIN_WORDS).split()
-        if len(words) >= least:
-            lead = len(line[begin:end]) - len(line[begin:end].lstrip())
-            yield begin + lead, end, b" ".join(words)
+        words, size = _words(line[begin:end])
+        if size >= least:
+            yield begin + _lead(line[begin:end]), end, b" ".join(words)
             begin = end
 
 
+def joined_units(lines: list[tuple[int, str]], least: int) -> Iterator[tuple[int, int, bytes]]:
+    """Units of neighbouring lines that have none of their own; what is left over goes to the last one."""
+    ready, begin, held, size, end = None, None, [], 0, 0
+    for at, line in lines:
+        words, more = _words(line)
+        if not words:
+            continue
+        begin = at + _lead(line) if begin is None else begin
+        held, size, end = held + words, size + more, at + len(line)
+        if size >= least:
+            if ready:
+                yield ready[0], ready[1], b" ".join(ready[2])
+            ready, begin, held, size = (begin, end, held), None, [], 0
+    if ready:
+        yield ready[0], end, b" ".join(ready[2] + held)
+
+
 def text_units(text: str, least: int) -> Iterator[tuple[int, int, bytes]]:
-    at = 0
+    at, short = 0, []
     for line in text.split("\n"):
-        for begin, end, words in line_units(line, least):
-            yield at + begin, at + end, words
+        found = list(line_units(line, least))
+        if found or not line.strip():
+            yield from joined_units(short, least)
+            short = []
+            for begin, end, words in found:
+                yield at + begin, at + end, words
+        else:
+            short.append((at, line))
         at += len(line) + 1
+    yield from joined_units(short, least)
 
 
 def unit_rows(texts: DataFrame, least: int) -> DataFrame:

@@ -153,6 +153,17 @@ def test_units_find_a_passage_inside_lines():
     assert [(b, e) for b, e, _ in units.text_units(text, 8)] == [(2, 47)]
 
 
+def test_units_of_short_lines_and_unspaced_scripts():
+    verse = "The river runs\nunder the bridge\nand the cold moon\nlooks down on it\nall night"
+    text = f"A heading\n\n{verse}\n\nThis line after the verse has words enough to be one unit"
+    found = [text[b:e] for b, e, _ in units.text_units(text, 8)]
+    assert "\n".join(found[:-1]) == verse and found[-1].startswith("This line")
+    other = f"Here is a quite different opening with more than eight words in it\n{verse}"
+    assert {w for _, _, w in units.text_units(text, 8)} & {w for _, _, w in units.text_units(other, 8)}
+    first, second = "古い橋は冬の間ずっと閉ざされていた。", "誰もそのことを前もって知らされなかった。"
+    assert [(first + second)[b:e] for b, e, _ in units.text_units(first + second, 8)] == [first, second]
+
+
 def test_empty_tables(none):
     assert exact.decide_copies(none, "doc_id", "text").count() == 0
     assert exact.drop_copies(none, "doc_id", "text").count() == 0
