@@ -94,6 +94,20 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.table_profile(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+@query(
+    "whole_table_profile",
+    """
+    SELECT CAST(count(*) AS BIGINT) AS total_rows,
+           CAST((SELECT count(*) FROM information_schema.columns WHERE table_name = 'documents') AS BIGINT) AS total_columns,
+           CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT doc_id, text, lang, source, n_chars FROM documents)) AS BIGINT)
+             AS duplicate_rows
+    FROM documents
+    """,
+)
+def whole_table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.table_profile(table(spark, sf_dir, "documents"))
+
+
 def _numeric_profile_sql(name: str, expr: str, source: str, dtype: str) -> str:
     return f"""
     SELECT '{name}' AS "column", '{dtype}' AS dtype, count({expr}) AS non_null_count,

@@ -448,6 +448,20 @@ def split_after_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_summary(splitting.split_table(docs, stratified=False, val_size=0.1)).select("split", "n")
 
 
+@query(
+    "whole_split_after_dedup",
+    """
+    WITH d AS (SELECT DISTINCT doc_id, text, lang, source, n_chars FROM documents),
+    z AS (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS t FROM d),
+    v AS (SELECT n, t, CAST(ceil((n - t) * (0.1 / (1 - 0.2))) AS BIGINT) AS v FROM z)
+    SELECT 'test' AS split, t AS n FROM v UNION ALL SELECT 'val', v FROM v UNION ALL SELECT 'train', n - t - v FROM v
+    """,
+)
+def whole_split_after_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return splitting.split_summary(splitting.split_table(docs, stratified=False, val_size=0.1)).select("split", "n")
+
+
 @query(
     "repaired_split",
     """

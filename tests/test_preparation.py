@@ -260,3 +260,16 @@ def test_dedup_needs_an_order(repeats):
 def test_duplicate_report(repeats):
     assert tuple(duplicates.duplicate_report(repeats, ["t"]).first()) == (6, 3, 3, 0.5)
     assert duplicates.duplicate_report(repeats, ["t"], False).first().rows_after == 1
+
+
+def test_whole_documents_are_profiled_and_split(spark, tmp_path):
+    """Rows that differ only in columns beside text and language are no duplicates."""
+    from sparktab.catalog import QUERIES
+
+    rows = [(i, "same", "en", f"s{i}", 4) for i in range(10)] + [(0, "same", "en", "s0", 4)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["whole_table_profile"](spark, str(tmp_path)).first()
+    assert (found.total_rows, found.total_columns, found.duplicate_rows) == (11, 5, 1)
+    parts = {r.split: r.n for r in QUERIES["whole_split_after_dedup"](spark, str(tmp_path)).collect()}
+    assert parts == {"test": 2, "val": 1, "train": 7}
