@@ -11,7 +11,7 @@ from ..operators.scoring import Scorer
 from ..plans.runner import from_flat, run_config
 from ..session import local_table
 from ..sources import readers
-from .learning import COUNTS, LINE_COLUMNS, LINE_KEY, _gaussian_sql, letter_rows
+from .learning import COUNTS, LINE_COLUMNS, LINE_KEY, VECTOR_COLUMNS, _gaussian_sql, letter_rows, wide_vectors
 from .registry import query, rounded, scratch, table
 
 #: Type names of the SQL engine and Spark's for the same columns.
@@ -327,7 +327,7 @@ def configured_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def configured_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clustering configuration: number of clusters that hold rows, and all rows."""
-    vectors = table(spark, sf_dir, "embeddings").select(*[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(8)])
+    vectors = wide_vectors(spark, sf_dir).select(*VECTOR_COLUMNS)
     config = {"IRIS_FEATURE_COLS": vectors.columns, "FINAL_K": 5, "INIT": "k-means++", "N_INIT": 10, "RANDOM_STATE": 42}
     sizes = run_config(spark, from_flat(config), vectors).summary
     return sizes.agg(F.count(F.lit(1)).cast("int").alias("clusters"), F.sum("n").alias("rows"))

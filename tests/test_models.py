@@ -461,3 +461,13 @@ def test_neighbours_take_no_weights(parts):
 def test_many_payloads_are_summed(spark):
     rows = spark.range(5000, numPartitions=700).selectExpr("spark_partition_id() AS part", "array(1.0D, double(id)) AS payload")
     assert list(network._summed(rows)) == [5000.0, 5000 * 4999 / 2]
+
+
+def test_configured_clustering_takes_every_dimension(spark, tmp_path):
+    """Five groups that differ in the last dimension alone come out with their own sizes."""
+    from sparktab.catalog import checks
+
+    rows = [(i, [0.0] * 63 + [100.0 * (i % 5)], 0) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = checks.configured_clustering(spark, str(tmp_path)).first()
+    assert (found.clusters, found.rows) == (5, 40)
