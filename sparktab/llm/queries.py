@@ -15,6 +15,7 @@ from .resampling import resample
 from .scoring import score_texts
 from .secret_spans import find_secrets
 from .simhash import near_duplicates
+from .spelling import count_words, spelling_variants
 from .units import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,3 +207,9 @@ def unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "main_blocks", "all_blocks")
+
+
+@query("op11_spelling_variants")
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = count_words(table(spark, sf_dir, "documents"), "doc_id", "text", least_chars=5, least_count=3, slip_every=97)
+    return spelling_variants(words, ratio=2).select("word", "form", "root", "n", "n_near", "form_n")
