@@ -19,6 +19,8 @@ BLOCK_BYTES = 2_000_000
 SLICE_ROWS = 1_000
 #: Rows up to which a measured side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Share of the rows above which a key is joined apart from the others.
+HOT_SHARE = 0.001
 
 
 def _fold(keep: set[int]) -> bytes:
@@ -55,6 +57,21 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(written) if written.count() <= limit else written
 
 
+def joined_by_share(rows: DataFrame, totals: DataFrame, keys: list[str], support: float = HOT_SHARE) -> DataFrame:
+    """Every row with the other columns of its one partner in ``totals``; null keys meet null keys.
+
+    ``totals`` tells in ``n`` how many rows a key has. The few keys (at most 1 / support) that
+    hold more than ``support`` of all rows are broadcast, so no task gets all rows of a hot
+    key; the others meet in one shuffle. Rows are read twice: write them first.
+    """
+    partners = cut_lineage(totals.withColumnsRenamed({k: f"__{k}" for k in keys}))
+    least = (partners.agg(F.sum("n")).first()[0] or 0) * support
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    hot = F.broadcast(partners.where(F.col("n") > least))
+    rest = rows.join(hot, same, "left_anti").join(partners.where(F.col("n") <= least), same)
+    return rows.join(hot, same).unionByName(rest).drop("n", *[f"__{k}" for k in keys])
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of bounded total length, at least one text each."""
     begin, size = 0, 0
