@@ -240,10 +240,14 @@ class MarginModel(TabularModel):
 
     kind = "margins"
 
-    def __init__(self, spec: ModelSpec, lift: LandmarkMap | None, weights: np.ndarray) -> None:
+    def __init__(
+        self, spec: ModelSpec, lift: LandmarkMap | None, weights: np.ndarray, sigmoids: list[tuple[float, float]] | None = None
+    ) -> None:
         super().__init__(spec)
         self.lift = lift
         self.weights = weights
+        #: Slope and offset per machine, where class probabilities were asked for.
+        self.sigmoids = sigmoids
 
     def _margins(self, df: DataFrame) -> Column:
         inputs = [quoted(c).cast("double") for c in self.spec.features]
@@ -265,7 +269,8 @@ class MarginModel(TabularModel):
 
     def transform(self, df: DataFrame) -> DataFrame:
         require_columns(df, self.spec.features)
-        kept = [quoted(c) for c in df.columns if c != "prediction"]
+        out = ["prediction"] if self.sigmoids is None else ["prediction", "probability"]
+        kept = [quoted(c) for c in df.columns if c not in out]
         scored = df.select(*kept, self._margins(df).alias("__m"))
         first = F.get("__m", 0)
         if self.spec.problem_type == "regression":
@@ -275,14 +280,26 @@ class MarginModel(TabularModel):
         else:
             made = (F.array_position("__m", F.array_max("__m")) - 1).cast("double")
         missing = any_null([quoted(c).cast("double") for c in self.spec.features])
-        return scored.select(*kept, F.when(~missing, made).alias("prediction"))
+        columns = [F.when(~missing, made).alias("prediction")]
+        if self.sigmoids is not None:
+            columns.append(F.when(~missing, self._probability()).alias("probability"))
+        return scored.select(*kept, *columns)
+
+    def _probability(self) -> Column:
+        odds = [1 / (1 + F.exp(F.get("__m", i) * a + b)) for i, (a, b) in enumerate(self.sigmoids)]
+        if len(odds) == 1:
+            return F.array(1 - odds[0], odds[0])
+        total = sum(odds[1:], odds[0])
+        even = F.lit(1.0 / len(odds))
+        return F.array(*[F.when(total > 0, o / total).otherwise(even) for o in odds])
 
     def _state(self, spark, path) -> Any:
-        return [self.lift.state() if self.lift else None, self.weights.tolist()]
+        return [self.lift.state() if self.lift else None, self.weights.tolist(), self.sigmoids]
 
     @classmethod
     def _restore(cls, spark, path, spec, state):
-        return cls(spec, LandmarkMap.restore(state[0]) if state[0] else None, np.asarray(state[1]))
+        lift = LandmarkMap.restore(state[0]) if state[0] else None
+        return cls(spec, lift, np.asarray(state[1]), *state[2:])
 
 
 def train_svm(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> MarginModel:
@@ -297,7 +314,7 @@ def train_svm(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> Marg
     if kernel not in KERNELS:
         raise ValueError(f"unknown kernel {kernel!r}; choose one of {KERNELS}")
     if spec.params.get("probability"):
-        raise ValueError("class probabilities are not available for this model")
+        raise ValueError("class probabilities are fitted by calibration.train_svm_with_probability")
     require_columns(df, [*spec.features, spec.label])
     refuse_nulls(df.where(quoted(spec.label).isNotNull()), spec.features, spec.model_type)
     lift = None if kernel == "linear" else fit_landmarks(df, spec)

@@ -1,20 +1,22 @@
-"""Exact k nearest neighbours by blocks."""
+"""Exact k nearest neighbours: broadcast points, or cells pruned by the triangle inequality."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import blocks
+from ..functions.blocks import BLOCK_BYTES, BLOCK_ROWS, BROADCAST_BYTES, against_all
 from ..functions.columns import quoted, require_columns
+from ..functions.pivots import Found, matrix, merged, nearest_by_pivots
 from ..session import cut_lineage
 from .base import ModelSpec, TabularModel, refuse_nulls, reject_unknown
 
 CELLS = 1_000_000
-MERGED_SHARES = 64
 NEIGHBORS = "array<struct<distance:double,id:bigint,label:double>>"
 
 
@@ -58,49 +60,89 @@ def nearest_neighbors(
     features: list[str],
     k: int,
     p: float = 2.0,
-    **limits: int,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Per query key the sorted array of its k nearest points.
+    """Per query key the sorted array of its k nearest points."""
+    return neighbor_search(queries, points, features, k, p, broadcast_bytes, block_rows).lists
+
+
+def neighbor_search(
+    queries: DataFrame,
+    points: DataFrame,
+    features: list[str],
+    k: int,
+    p: float = 2.0,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    block_rows: int = BLOCK_ROWS,
+) -> Found:
+    """The k nearest points per query key, and how many pairs were compared.
 
     ``queries`` has ``__q`` (unique bigint), ``points`` has ``__id`` (unique bigint) and
-    ``__label``. Only k rows per query and block are shuffled, never the pairs.
+    ``__label``. Points measured to be few are broadcast and searched where the queries lie;
+    more are searched cell by cell (see ``functions.pivots``). Only k rows per query and block
+    are shuffled, never the pairs. Queries with nulls find nothing.
     """
-    left = queries.select("__q", *[quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)])
-    right = points.select(
-        "__id", "__label", *[quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
+    width = len(features)
+
+    def vectors(df: DataFrame, *names: str) -> DataFrame:
+        return df.select(*names, F.array(*[quoted(c).cast("double") for c in features]).alias("x"))
+
+    left, right = vectors(queries, "__q"), vectors(points, "__id", "__label")
+    size = right.count()
+    lacking = F.exists("x", lambda v: v.isNull() | F.isnan(v))
+    if size * (width + 2) * 8 > broadcast_bytes and p >= 1:
+        whole = left.where(~lacking)
+        found = nearest_by_pivots(whole, right, width, k, p, nearest_in_block, NEIGHBORS, block_rows)
+        none = left.where(lacking).select("__q", F.array().cast(NEIGHBORS).alias("neighbors"))
+        return Found(found.lists.unionByName(none), found.compared, found.pairs)
+    if size * (width + 2) * 8 > broadcast_bytes:
+        return _all_blocks(left, right, width, k, p, block_rows)
+    table = right.toArrow()
+    shared = left.sparkSession.sparkContext.broadcast(
+        (matrix(table.column("x").combine_chunks(), width), table.column("__id").to_numpy(), table.column("__label").to_numpy())
     )
-    names = [f"f{i}" for i in range(len(features))]
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, ids, labels = shared.value
+        for batch in batches:
+            x = np.array(batch.column("x").flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, width)
+            good = np.flatnonzero(~np.isnan(x).any(axis=1))
+            if len(good) and len(ids):
+                rows, cols, dist = nearest_in_block(x[good], near, ids, k, p)
+            else:
+                rows, cols, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+            counts = np.zeros(len(x), np.int64)
+            counts[good] = np.bincount(rows, minlength=len(good))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            items = pa.StructArray.from_arrays([pa.array(dist), pa.array(ids[cols]), pa.array(labels[cols])], names=["distance", "id", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("__q"), pa.ListArray.from_arrays(offsets, items)], names=["__q", "neighbors"])
+
+    lists = left.mapInArrow(stream, f"__q bigint, neighbors {NEIGHBORS}")
+    return Found(lists, -1, -1)
+
+
+def _all_blocks(left: DataFrame, right: DataFrame, width: int, k: int, p: float, block_rows: int) -> Found:
+    """Every block of queries against every block of points, for distances that are no metric."""
 
     def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        # Rows with nulls find nothing. (A filter on all columns would have the optimizer
-        # derive constraints for every renamed column.)
-        lacking = np.isnan(a[names].to_numpy(dtype=float)).any(axis=1)
-        none = pd.DataFrame({"__q": a["__q"][lacking].to_numpy(), "neighbors": [[] for _ in range(int(lacking.sum()))]})
-        a = a[~lacking]
-        if not len(a):
+        x = np.stack(a["x"]).astype(float)
+        good = ~np.isnan(x).any(axis=1)
+        none = pd.DataFrame({"__q": a["__q"][~good].to_numpy(), "neighbors": [[] for _ in range(int((~good).sum()))]})
+        if not good.any():
             return none
-        ids = b["__id"].to_numpy()
-        rows, cols, dist = nearest_in_block(
-            a[names].to_numpy(dtype=float), b[names].to_numpy(dtype=float), ids, k, p
-        )
-        labels = b["__label"].to_numpy(dtype=float)
+        ids, labels = b["__id"].to_numpy(), b["__label"].to_numpy(dtype=float)
+        rows, cols, dist = nearest_in_block(x[good], np.stack(b["x"]), ids, k, p)
         cuts = np.flatnonzero(np.diff(rows)) + 1
         lists = [
             [{"distance": d, "id": i, "label": y} for d, i, y in zip(ds, js, ys)]
             for ds, js, ys in zip(np.split(dist, cuts), np.split(ids[cols], cuts), np.split(labels[cols], cuts))
         ]
-        done = pd.DataFrame({"__q": a["__q"].to_numpy(), "neighbors": lists})
-        return pd.concat([done, none]) if len(none) else done
+        return pd.concat([pd.DataFrame({"__q": a["__q"][good].to_numpy(), "neighbors": lists}), none])
 
-    found, several = blocks.against_all(
-        left, right, "__q", "__id", kernel, f"__q bigint, neighbors {NEIGHBORS}", **limits
-    )
-    if not several:
-        return found
-    # In two steps, so that no row gathers the lists of all blocks of a large table.
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("neighbors"))), 1, k).alias("neighbors")
-    share = F.pmod(F.xxhash64("neighbors"), F.lit(MERGED_SHARES)).alias("__share")
-    return found.groupBy("__q", share).agg(merged).groupBy("__q").agg(merged)
+    rows = max(1, min(block_rows, BLOCK_BYTES // (8 * (width + 2))))
+    found, _ = against_all(left, right, "__q", "__id", kernel, f"__q bigint, neighbors {NEIGHBORS}", broadcast_bytes=0, block_rows=rows)
+    return Found(merged(found, k), -1, -1)
 
 
 def _weights(neighbors: Column, weighting: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.metrics import metric_bundle
 from ..session import local_table
-from . import bayes, boosting, kernel, linear, neighbors, network, trees
+from . import bayes, boosting, calibration, linear, neighbors, network, trees
 from .base import ModelSpec, TabularModel
 
 Trainer = Callable[..., TabularModel]
@@ -29,7 +29,7 @@ CLASSIFICATION: dict[str, Trainer] = {
     "logistic_regression": linear.train_logistic_regression,
     "mlp": network.train_network,
     "random_forest": trees.train_random_forest,
-    "svm": kernel.train_svm,
+    "svm": calibration.train_svm_with_probability,
     "xgboost": trees.train_xgboost_style,
 }
 
@@ -43,7 +43,7 @@ REGRESSION: dict[str, Trainer] = {
     "lightgbm": trees.train_lightgbm_style,
     "mlp": network.train_network,
     "random_forest": trees.train_random_forest,
-    "svm": kernel.train_svm,
+    "svm": calibration.train_svm_with_probability,
     "xgboost": trees.train_xgboost_style,
 }
 

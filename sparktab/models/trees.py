@@ -1,8 +1,7 @@
-"""Decision trees, forests and gradient boosting on ``pyspark.ml``."""
+"""Decision trees, forests and first-order boosting on ``pyspark.ml``; second-order boosting by name."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 from typing import Any
 
@@ -16,6 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import DataFrame
 
 from .base import VECTOR, ModelSpec, SparkModel, assembled, class_count, reject_unknown
+from .boosted import BoostedTrees, Growth, train_boosted_trees
 
 DEEPEST = 30  # the deepest tree Spark grows; stands for "no limit"
 BINS = 128
@@ -148,29 +148,43 @@ def train_gradient_boosting(df: DataFrame, spec: ModelSpec, weight: str | None =
     return _train_boosted(df, spec, weight, _depth(spec.params.get("max_depth", 3)), BINS)
 
 
-def train_xgboost_style(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> SparkModel:
-    """Boosted trees with the rounds, rate, depth and sampling asked for.
-
-    Leaf penalties have no counterpart: anything but their defaults is refused.
-    """
+def train_xgboost_style(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> BoostedTrees:
+    """Second-order boosted trees grown level by level, with leaf and split penalties."""
     known = [
-        "n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "gamma",
+        "n_estimators", "learning_rate", "max_depth", "subsample", "colsample_bytree", "gamma", "min_child_weight",
         "reg_alpha", "reg_lambda", "random_state", "max_bins", *ENGINE_PARAMETERS,
     ]
     reject_unknown(spec.params, known, spec.model_type)
-    for name, default in (("gamma", 0), ("reg_alpha", 0), ("reg_lambda", 1)):
-        if spec.params.get(name, default) != default:
-            raise ValueError(f"{name} other than {default} is not supported")
-    return _train_boosted(df, spec, weight, _depth(spec.params.get("max_depth", 6)), BINS)
-
-
-def train_lightgbm_style(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> SparkModel:
-    """Boosted histogram trees, the leaf count turned into a depth (31 leaves: depth 5)."""
+    given = spec.params.get
+    growth = Growth(
+        rounds=int(given("n_estimators", 100)), rate=float(given("learning_rate", 0.1)),
+        depth=_limit(given("max_depth", 6)), l1=float(given("reg_alpha", 0)), l2=float(given("reg_lambda", 1)),
+        penalty=float(given("gamma", 0)), least_hessian=float(given("min_child_weight", 1)),
+        row_share=float(given("subsample", 1.0)), feature_share=float(given("colsample_bytree", 1.0)),
+        bins=int(given("max_bins", 256)), seed=int(given("random_state", 42)),
+    )
+    return train_boosted_trees(df, spec, growth, weight)
+
+
+def train_lightgbm_style(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> BoostedTrees:
+    """Second-order boosted trees grown best-first to a number of leaves."""
     known = [
-        "n_estimators", "learning_rate", "max_depth", "num_leaves", "subsample", "colsample_bytree",
-        "random_state", "max_bins", *ENGINE_PARAMETERS,
+        "n_estimators", "learning_rate", "max_depth", "num_leaves", "subsample", "colsample_bytree", "min_child_samples",
+        "min_child_weight", "min_split_gain", "reg_alpha", "reg_lambda", "random_state", "max_bins", *ENGINE_PARAMETERS,
     ]
     reject_unknown(spec.params, known, spec.model_type)
-    by_leaves = max(1, math.ceil(math.log2(int(spec.params.get("num_leaves", 31)))))
-    depth = min(by_leaves, _depth(spec.params.get("max_depth", -1)))
-    return _train_boosted(df, spec, weight, depth, 255)
+    given = spec.params.get
+    growth = Growth(
+        rounds=int(given("n_estimators", 100)), rate=float(given("learning_rate", 0.1)),
+        depth=_limit(given("max_depth", -1)), leaves=int(given("num_leaves", 31)), l1=float(given("reg_alpha", 0)),
+        l2=float(given("reg_lambda", 0)), penalty=float(given("min_split_gain", 0)),
+        least_hessian=float(given("min_child_weight", 1e-3)), least_rows=int(given("min_child_samples", 20)),
+        row_share=float(given("subsample", 1.0)), feature_share=float(given("colsample_bytree", 1.0)),
+        bins=int(given("max_bins", 255)), seed=int(given("random_state", 42)), softmax_factor=None,
+    )
+    return train_boosted_trees(df, spec, growth, weight)
+
+
+def _limit(depth: Any) -> int | None:
+    """A depth, or None where there is no limit."""
+    return None if depth is None or depth <= 0 else int(depth)

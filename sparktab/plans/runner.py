@@ -101,7 +101,8 @@ def from_flat(config: Mapping[str, Any], model_type: str | None = None) -> dict[
 
     ``model_type`` names the model where the configuration does not. A naive Bayes
     configuration lists the parameters of all its variants; those of the variant it names
-    are kept. Without a label and with a number of clusters it is a clustering.
+    are kept. Without a label and with a number of clusters it is a clustering. A value that
+    only repeats the setting's name (``MAX_ITER: max_iter``) stands for the default.
     """
     nested: dict[str, Any] = {}
     unknown = [key for key in config if key.upper() not in FLAT_KEYS]
@@ -113,7 +114,8 @@ def from_flat(config: Mapping[str, Any], model_type: str | None = None) -> dict[
         spot = nested
         for folder in folders:
             spot = spot.setdefault(folder, {})
-        spot[name] = None if value == "None" else value
+        if value != name:
+            spot[name] = None if value == "None" else value
     if isinstance(nested.get("features"), str):
         nested["features"] = [nested["features"]]
     model = nested.get("model", {})

@@ -47,3 +47,9 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
         for i in range(len(names))
     ]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow_schema), schema=struct)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library has written, on whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -261,7 +261,7 @@ def test_importance_table(spark, curve):
 
 
 @pytest.mark.parametrize("problem,name,params", [
-    ("regression", "nope", {}), ("ranking", "LR", {}), ("regression", "xgboost", {"reg_alpha": 1}),
+    ("regression", "nope", {}), ("ranking", "LR", {}), ("regression", "xgboost", {"leaf_penalty": 1}),
     ("regression", "decision_tree", {"min_samples_split": 5}), ("regression", "LR", {"alpha": 1}),
     ("regression", "svm", {"kernel": "odd"}), ("regression", "mlp", {"solver": "sgd"}), ("regression", "knn", {"weights": "odd"}),
 ])
