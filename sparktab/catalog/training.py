@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..models import registry, search
+from ..models import clustering, registry, search
 from ..models.neighbors import neighbor_search
 from ..session import local_table
-from .learning import LINE_COLUMNS, SHARES, letter_rows, letter_splits
+from .learning import LINE_COLUMNS, SHARES, VECTOR_COLUMNS, letter_rows, letter_splits, wide_vectors
 from .registry import query, rounded, table
 
 # The settings that a search over support vector machines goes through.
@@ -174,3 +174,20 @@ def knn_pairs_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neighbor_search(queries, points, SHARES, 5, broadcast_bytes=0)
     lists = found.lists.agg(F.count(F.lit(1)).alias("queries"), F.sum(F.size("neighbors")).alias("neighbors"))
     return lists.withColumns({"pairs": F.lit(found.pairs), "compared": F.lit(found.compared)})
+
+
+# ---------------------------------------------------------------- clusters
+
+
+@query(
+    "elbow_one_cluster",
+    """
+    WITH v AS (SELECT unnest(range(1, 65)) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    d AS (SELECT i, var_pop(e[i]) * count(*) AS squares FROM v GROUP BY i)
+    SELECT 1 AS k, round(sum(squares), 6) AS inertia FROM d
+    """,
+)
+def elbow_one_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elbow's first point, before and after which nothing can move: squares around the mean."""
+    table_of_k = clustering.elbow_table(wide_vectors(spark, sf_dir), VECTOR_COLUMNS, largest=1, starts=2, standardise=False)
+    return table_of_k.select("k", F.round("inertia", 6).alias("inertia"))

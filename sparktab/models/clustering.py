@@ -17,6 +17,7 @@ from ..functions.columns import quoted, require_columns
 from ..operators.encoding import FeatureTransformer
 from ..session import local_table
 from .base import VECTOR, ModelSpec, TabularModel, with_vector
+from .lloyd import run_all
 
 CELLS = 4_000_000
 
@@ -96,24 +97,19 @@ def fit_kmeans(
 
 
 def elbow_table(
-    df: DataFrame, features: Sequence[str], largest: int = 19, starts: int = 1, seed: int = 42,
-    standardise: bool = True,
+    df: DataFrame, features: Sequence[str], largest: int = 19, starts: int = 10, seed: int = 42,
+    standardise: bool = True, max_iter: int = 300,
 ) -> DataFrame:
-    """``(k, inertia, bend)``; the bend is the second difference of the inertia."""
+    """``(k, inertia, bend)``; the bend is the second difference of the inertia.
+
+    The best of ``starts`` runs counts for each k. All runs go through the table together.
+    """
     features = list(features)
     scaler = FeatureTransformer.fit(df, features, standardise=True) if standardise else None
     names = scaler.output_columns if scaler else features
-    data = (scaler.transform(df.select(*[quoted(c) for c in features])) if scaler else df).persist()
-    try:
-        # One cluster needs no fit: its inertia is the sum of squares around the mean.
-        one = data.agg(
-            F.count(F.lit(1)).alias("n"), *[F.var_pop(quoted(c)).alias(f"v{i}") for i, c in enumerate(names)]
-        ).first()
-        rows = [(1, float(one.n * sum(one[f"v{i}"] for i in range(len(names)))))]
-        for k in range(2, largest + 1):
-            rows.append((k, fit_kmeans(data, names, k, starts, seed, standardise=False).cost))
-    finally:
-        data.unpersist()
+    data = scaler.transform(df.select(*[quoted(c) for c in features])) if scaler else df
+    runs, _ = run_all(data, names, range(1, largest + 1), starts, seed, max_iter)
+    rows = [(k, min(r.cost for r in runs if r.k == k)) for k in range(1, largest + 1)]
     table = local_table(df.sparkSession, rows, "k int, inertia double")
     order = Window.orderBy("k")  # at most a few dozen rows
     bend = F.lead("inertia").over(order) - 2 * F.col("inertia") + F.lag("inertia").over(order)
