@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..models import clustering, registry, search
+from ..models import clustering, registry, search, weights
 from ..models.neighbors import neighbor_search
+from ..operators import splitting
+from ..operators.strata import folds_in_classes
 from ..session import local_table
 from .learning import LINE_COLUMNS, SHARES, VECTOR_COLUMNS, letter_rows, letter_splits, wide_vectors
 from .registry import query, rounded, table
@@ -191,3 +193,66 @@ def elbow_one_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The elbow's first point, before and after which nothing can move: squares around the mean."""
     table_of_k = clustering.elbow_table(wide_vectors(spark, sf_dir), VECTOR_COLUMNS, largest=1, starts=2, standardise=False)
     return table_of_k.select("k", F.round("inertia", 6).alias("inertia"))
+
+
+# ---------------------------------------------------------------- very many classes
+
+
+def _shared_sql(size: str, total: str, out: str, source: str) -> str:
+    """One sharing by largest remainder, as SQL."""
+    return f"""
+    SELECT *, floored + CASE WHEN nth <= {total} - sum(floored) OVER () THEN 1 ELSE 0 END AS {out}
+    FROM (SELECT *, row_number() OVER (ORDER BY rest DESC, label) AS nth FROM (
+      SELECT * EXCLUDE (floored, rest, nth), {size} * {total} // sum({size}) OVER () AS floored, {size} * {total} % sum({size}) OVER () AS rest
+      FROM {source}))"""
+
+
+@query(
+    "many_class_split",
+    f"""
+    WITH c AS (SELECT l_orderkey AS label, count(*) AS n, 0 AS floored, 0 AS rest, 0 AS nth FROM lineitem GROUP BY 1),
+    t AS (SELECT sum(n) AS whole, CAST(ceil(0.2 * sum(n)) AS BIGINT) AS test FROM c),
+    v AS (SELECT *, CAST(ceil((whole - test) * (0.1 / (1 - 0.2))) AS BIGINT) AS val FROM t),
+    k AS ({_shared_sql("n", "(SELECT whole - test FROM v)", "kept", "c")}),
+    r AS ({_shared_sql("kept", "(SELECT whole - test - val FROM v)", "train", "k")})
+    SELECT label AS l_orderkey, CAST(n - kept AS BIGINT) AS test, CAST(kept - train AS BIGINT) AS val, CAST(train AS BIGINT) AS train FROM r
+    """,
+)
+def many_class_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per part of every order, stratified by order: over 10,000 classes from a scale of 0.01 on."""
+    parts = splitting.split_table(
+        table(spark, sf_dir, "lineitem"), "l_orderkey", 0.2, 0.1, key=["l_orderkey", "l_linenumber"], dedup=False, min_class_rows=1
+    )
+    counted = [F.count(F.when(F.col("split") == p, 1)).alias(p) for p in ("test", "val", "train")]
+    return parts.groupBy("l_orderkey").agg(*counted)
+
+
+@query(
+    "many_class_fold_sizes",
+    """
+    WITH c AS (SELECT l_orderkey, count(*) AS n, row_number() OVER (ORDER BY l_orderkey) - 1 AS code FROM lineitem GROUP BY 1),
+    f AS (SELECT *, unnest(range(5)) AS fold FROM c)
+    SELECT * FROM (SELECT l_orderkey, CAST(fold AS INTEGER) AS fold, CAST(n // 5 + CASE WHEN (fold - code % 5 + 5) % 5 < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM f)
+    WHERE n > 0
+    """,
+)
+def many_class_fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per order and fold, each order spread evenly."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    ordered = rows.withColumns({"__k1": F.col("l_linenumber").cast("bigint"), "__k2": F.lit(0).cast("bigint")})
+    folds = folds_in_classes(ordered, "l_orderkey", 5, "__k1", "__k2", "fold")
+    return folds.groupBy("l_orderkey", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "many_class_weights",
+    """
+    WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 6) AS weight FROM lineitem JOIN c USING (l_orderkey)
+    """,
+)
+def many_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A balanced weight for every line, each order being a class."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return rounded(weights.add_class_weights(rows, "l_orderkey"), 6)

@@ -8,8 +8,9 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import data_type, quoted
+from ..functions.joins import joined_by_share
 from ..operators.splitting import MAX_STRATA, class_counts
-from ..session import local_table
+from ..session import cut_lineage, local_table
 
 
 def class_weight_table(df: DataFrame, label: str) -> DataFrame:
@@ -30,9 +31,11 @@ def add_class_weights(
     if class_weight is None or class_weight == "none":
         return df.withColumn(out, F.lit(1.0))
     if class_weight == "balanced":
-        rows = [(r.label, r.weight) for r in class_weight_table(df, label).limit(MAX_STRATA + 1).collect()]
-        if len(rows) > MAX_STRATA:
-            raise ValueError(f"label {label} has more than {MAX_STRATA} classes")
+        weights = cut_lineage(class_weight_table(df, label))
+        found = weights.limit(MAX_STRATA + 1).collect()
+        if len(found) > MAX_STRATA:
+            return _weights_of_many(df, label, weights, out)
+        rows = [(r.label, r.weight) for r in found]
     elif isinstance(class_weight, Mapping):
         rows = list(class_weight.items())
     else:
@@ -41,3 +44,11 @@ def add_class_weights(
     table = local_table(df.sparkSession, [(k, float(w)) for k, w in rows], f"__l {kind}, __w double")
     joined = df.join(F.broadcast(table), quoted(label) == F.col("__l"), "left")
     return joined.withColumn(out, F.coalesce("__w", F.lit(1.0))).drop("__l", "__w")
+
+
+def _weights_of_many(df: DataFrame, label: str, weights: DataFrame, out: str) -> DataFrame:
+    """Weights by a join in which frequent classes are spread; rows without a label weigh 1."""
+    pairs = weights.select(F.col("label").alias(label), F.col("n").alias("__n"), F.col("weight").alias("__w"))
+    joined = joined_by_share(df.where(quoted(label).isNotNull()), pairs, [label], "__n")
+    known = joined.withColumn(out, F.col("__w")).select(*[quoted(c) for c in df.columns if c != out], out)
+    return known.unionByName(df.where(quoted(label).isNull()).withColumn(out, F.lit(1.0)).select(*known.columns))

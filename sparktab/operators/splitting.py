@@ -12,6 +12,7 @@ from ..functions.columns import quoted, require_columns
 from ..functions.ranking import SharedKeysError, order_keys, rank_cuts
 from ..session import cut_lineage, local_table
 from .labels import split_label_kind
+from .strata import split_in_classes
 
 # Accepted ratio ranges (test, validation) per caller.
 RATIO_LIMITS = {
@@ -22,6 +23,7 @@ RATIO_LIMITS = {
 MAX_TOGETHER = 0.9
 MIN_CLASS_ROWS = 5
 MIN_TABLE_ROWS = 10
+#: Classes whose quotas the driver works out; more of them are shared out on Spark.
 MAX_STRATA = 10_000
 
 
@@ -180,13 +182,14 @@ def split_table(
     portable_keys: bool = False,
     limits: str = "table",
     out: str = "split",
+    min_class_rows: int = MIN_CLASS_ROWS,
 ) -> DataFrame:
     """Add a ``split`` column with exact sizes: train, val, test.
 
     The test part has ``ceil(n * test_size)`` rows; the validation share is taken from
     the rest, rescaled by ``1 / (1 - test_size)``. A stratified split shares both sizes
     over the classes by largest remainder and falls back to a random one if a class has
-    under five rows. Rows are ordered by a seeded hash of ``key`` (by default the whole
+    under ``min_class_rows`` rows. Rows are ordered by a seeded hash of ``key`` (by default the whole
     row); rows that share it by a hash of the whole row, so sizes are exact for any key as
     long as rows differ. Equal rows are removed first, or refused where a cut meets them.
     """
@@ -209,11 +212,15 @@ def split_table(
         keyed = df.dropDuplicates().withColumns({"__k1": k1, "__k2": k2})
     counts: dict[Any, int] = {}
     if strata is not None:
-        rows = class_counts(narrow, strata).limit(MAX_STRATA + 1).collect()
+        sizes = cut_lineage(class_counts(narrow, strata))
+        rows = sizes.limit(MAX_STRATA + 1).collect()
         if len(rows) > MAX_STRATA:
-            raise ValueError(f"label {label} has more than {MAX_STRATA} classes to stratify by")
+            facts = sizes.agg(F.sum("n").alias("n"), F.min(F.when(F.col("label").isNotNull(), F.col("n"))).alias("least")).first()
+            if facts.least >= min_class_rows:
+                return _split_many(keyed, strata, facts.n, test_size, val_size, seed, key, out)
+            strata, rows = None, []
         counts = {r.label: r.n for r in rows}
-        if min((n for c, n in counts.items() if c is not None), default=0) < MIN_CLASS_ROWS:
+        if min((n for c, n in counts.items() if c is not None), default=0) < min_class_rows:
             strata = None
     n = sum(counts.values()) if counts else narrow.count()
     if n == 0:
@@ -228,6 +235,22 @@ def split_table(
     return done
 
 
+def _split_many(
+    keyed: DataFrame, label: str, n: int, test_size: float, val_size: float, seed: int, key: Sequence[str] | None, out: str
+) -> DataFrame:
+    """The split by a label of very many classes; rows that share a key are told apart by all their columns."""
+    test, val = _sizes(n, test_size, val_size)
+    if n - test - val <= 0:
+        raise ValueError("the train part would be empty")
+    own = [c for c in keyed.columns if c not in ("__k1", "__k2")]
+    if key is not None:
+        keyed = keyed.withColumn("__k3", order_keys(own, seed)[1]).withColumn("__k2", F.struct("__k2", "__k3")).drop("__k3")
+    done = split_in_classes(keyed, label, test, val, "__k1", "__k2", out).select(*[quoted(c) for c in own], out)
+    if val == 0 and n - test > 5:
+        return repair_splits(done, label, seed, key, out)
+    return done
+
+
 def repair_splits(
     df: DataFrame, label: str | None = None, seed: int = 42, key: Sequence[str] | None = None,
     out: str = "split",
@@ -253,7 +276,12 @@ def _carve(df, pool, parts, label, seed, key, out):
     """Re-assign the rows of ``pool``: each part takes its share of what is left."""
     inside = quoted(out).isin(pool)
     pooled = df.where(inside).drop(out)
-    counts = {r.label: r.n for r in class_counts(pooled, label).collect()} if label else {0: pooled.count()}
+    k1, k2 = order_keys(list(key or pooled.columns), seed)
+    if label:
+        rows = class_counts(pooled, label).limit(MAX_STRATA + 1).collect()
+        if len(rows) > MAX_STRATA:
+            return _carve_many(pooled.withColumns({"__k1": k1, "__k2": k2}), parts, label, out).unionByName(df.where(~inside))
+    counts = {r.label: r.n for r in rows} if label else {0: pooled.count()}
     taken, left = [], dict(counts)
     for _, share in parts:
         total = sum(left.values())
@@ -261,7 +289,6 @@ def _carve(df, pool, parts, label, seed, key, out):
         taken.append({c: left[c] - kept[c] for c in left})
         left = kept
     quotas = {c: [t[c] for t in taken] for c in counts}
-    k1, k2 = order_keys(list(key or pooled.columns), seed)
     keyed = pooled.withColumns({"__k1": k1, "__k2": k2})
     strata = label if label and len(counts) > 1 and sum(counts.values()) > 10 else None
     if strata is None:
@@ -270,6 +297,16 @@ def _carve(df, pool, parts, label, seed, key, out):
     return again.unionByName(df.where(~inside))
 
 
+def _carve_many(keyed: DataFrame, parts: Sequence[tuple[str, float]], label: str, out: str) -> DataFrame:
+    """The same for a label of very many classes: test and validation rows, or validation rows alone."""
+    n = keyed.count()
+    sizes = {}
+    for name, share in parts:
+        sizes[name] = math.ceil((n - sum(sizes.values())) * share)
+    done = split_in_classes(keyed, label, sizes.get("test", 0), sizes["val"], "__k1", "__k2", out)
+    return done.drop("__k1", "__k2")
+
+
 def split_summary(df: DataFrame, label: str | None = None, split: str = "split") -> DataFrame:
     """Per split (and class): rows and share of all rows."""
     groups = [quoted(split).alias("split")] + ([quoted(label).alias("label")] if label else [])
