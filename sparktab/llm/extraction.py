@@ -6,8 +6,8 @@ share of links, punctuation, place on the page). A bidirectional LSTM reads the
 that each block is labelled in the light of the whole page. The blocks labelled main, joined
 by line ends, are the text.
 
-The labeller is trained from a bounded sample of pages. Their blocks are labelled by where
-they stand: inside an article or main element, but not in what an article carries along
+The labeller is trained from a bounded sample of pages, drawn by hash from those of up to
+SAMPLE_BLOCKS blocks and used whole. Their blocks are labelled by where they stand: inside an article or main element, but not in what an article carries along
 (menus, forms, comments and so on). Each sample page is used as it is and twice with its
 paragraphs and boilerplate put into containers that the sample may lack. Pages without such
 elements are read but do not train. A few pages of fixed sentences in all known containers
@@ -31,8 +31,8 @@ from . import lstm
 from .common import blocks, text_of
 from .tags import Block, leaf_blocks
 
-#: Pages of the training sample, and blocks of each that are used for training.
-SAMPLE_PAGES, SAMPLE_BLOCKS = 500, 60
+#: Pages of the training sample, and most blocks of a page that may be drawn; chosen pages are used whole.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 500, 400
 #: Hash buckets of path parts and of words; numbers beside them.
 PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 256, 32, 6
 INPUTS = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
@@ -74,15 +74,18 @@ def bucket(part: str, buckets: int) -> int:
     return xxhash.xxh64_intdigest(part.encode()) % buckets
 
 
-def rule_labels(page: list[Block]) -> np.ndarray | None:
+Path = tuple[str, ...]
+
+
+def rule_labels(paths: list[Path]) -> np.ndarray | None:
     """1 main, 0 other, by the elements above each block; None for a page without a main element."""
-    labels = np.zeros(len(page), np.int8)
+    labels = np.zeros(len(paths), np.int8)
     seen = False
-    for i, block in enumerate(page):
-        spots = [k for k, part in enumerate(block.path) if part in MAIN_PARTS]
+    for i, path in enumerate(paths):
+        spots = [k for k, part in enumerate(path) if part in MAIN_PARTS]
         if spots:
             seen = True
-            inner = block.path[spots[0] + 1 :]
+            inner = path[spots[0] + 1 :]
             labels[i] = not any(
                 part in OTHER_ELEMENTS or part[0] == "." and part[1:] in OTHER_NAMES for part in inner
             )
@@ -109,12 +112,22 @@ class Vectors:
         return self.paths[path]
 
     def page(self, page: list[Block]) -> np.ndarray:
-        rows = np.zeros((len(page), INPUTS), np.float32)
+        return self.joined([block.path for block in page], self.content(page))
+
+    def joined(self, paths: list[Path], content: np.ndarray) -> np.ndarray:
+        rows = np.zeros((len(paths), INPUTS), np.float32)
+        for i, path in enumerate(paths):
+            rows[i, :PATH_BUCKETS] = self.path(path)
+        rows[:, PATH_BUCKETS:] = content
+        return rows
+
+    def content(self, page: list[Block]) -> np.ndarray:
+        """What of the vectors depends on text and place."""
+        rows = np.zeros((len(page), WORD_BUCKETS + NUMBERS), np.float32)
         known = self.words
         if len(known) > 500_000:
             known.clear()
         for i, block in enumerate(page):
-            rows[i, :PATH_BUCKETS] = self.path(block.path)
             words = block.text.lower().split()
             codes = []
             for word in words:
@@ -123,9 +136,9 @@ class Vectors:
                     code = known[word] = bucket(word, WORD_BUCKETS)
                 codes.append(code)
             counts = np.bincount(codes, minlength=WORD_BUCKETS)
-            rows[i, PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = counts / len(words)
+            rows[i, :WORD_BUCKETS] = counts / len(words)
             size = len(block.text)
-            rows[i, PATH_BUCKETS + WORD_BUCKETS :] = (
+            rows[i, WORD_BUCKETS:] = (
                 np.log1p(size) / 5,
                 np.log1p(len(words)) / 4,
                 block.link_chars / size,
@@ -146,19 +159,19 @@ def _other_path(rng: np.random.Generator, main: tuple[str, ...]) -> tuple[str, .
     return (*inside, *_some(rng, OTHER_PATHS), *(_some(rng, LEAVES) if rng.random() < 0.6 else ()))
 
 
-def varied(page: list[Block], labels: np.ndarray, seed: int) -> list[Block]:
-    """The page with its main blocks in one main container and every run of others in some other one."""
+def varied(labels: np.ndarray, seed: int) -> list[Path]:
+    """Paths for a page with its main blocks in one main container and every run of others in some other one."""
     rng = np.random.default_rng(seed)
     main = _some(rng, MAIN_PATHS)
     out, other = [], _other_path(rng, main)
-    for block, wanted in zip(page, labels):
+    for wanted in labels:
         if wanted:
             path = (*main, *_some(rng, LEAVES))
         elif rng.random() < 0.5:
             path = other = _other_path(rng, main)
         else:
             path = other
-        out.append(block._replace(path=("html", "body", *path)))
+        out.append(("html", "body", *path))
     return out
 
 
@@ -173,51 +186,61 @@ def fixed_pages(number: int) -> Iterator[tuple[list[Block], np.ndarray]]:
         labels = np.array(kinds, np.int8)
         texts = [_some(rng, FIXED_SENTENCES)[: rng.integers(10, 90)] for _ in kinds]
         page = [Block((), text, len(text) if not kind and rng.random() < 0.4 else 0) for text, kind in zip(texts, kinds)]
-        yield varied(page, labels, seed), labels
+        yield [block._replace(path=path) for block, path in zip(page, varied(labels, seed))], labels
 
 
-def train_labeller(samples: list[list[Block]]) -> lstm.Parameters:
-    """The labeller for sampled pages (lists of blocks)."""
+def train_labeller(samples: list[tuple[list[Path], np.ndarray]]) -> lstm.Parameters:
+    """The labeller for sampled pages (paths and content of their blocks)."""
     vectors, sequences, targets = Vectors(), [], []
 
-    def add(page: list[Block], labels: np.ndarray) -> None:
-        sequences.append(vectors.page(page))
+    def add(paths: list[Path], content: np.ndarray, labels: np.ndarray) -> None:
+        sequences.append(vectors.joined(paths, content))
         targets.append(labels)
 
     for page, labels in fixed_pages(FIXED_PAGES):
-        add(page, labels)
-    for n, page in enumerate(samples):
-        labels = rule_labels(page)
+        add([block.path for block in page], vectors.content(page), labels)
+    for n, (paths, content) in enumerate(samples):
+        labels = rule_labels(paths)
         if labels is not None:
-            add(page, labels)
-            add(varied(page, labels, 2 * n), labels)
-            add(varied(page, labels, 2 * n + 1), labels)
+            add(paths, content, labels)
+            add(varied(labels, 2 * n), content, labels)
+            add(varied(labels, 2 * n + 1), content, labels)
     return lstm.train(lstm.first_parameters(INPUTS), sequences, targets, EPOCHS, RATE)
 
 
-def sample_pages(pages: DataFrame, size: int) -> list[list[Block]]:
-    """Blocks of the ``size`` pages whose hashes are smallest, SAMPLE_BLOCKS of each at most."""
-    keys = pages.select(F.xxhash64("html").alias("key")).distinct().orderBy("key").limit(size)
+def sample_pages(pages: DataFrame, size: int) -> list[tuple[list[Path], np.ndarray]]:
+    """Paths and content vectors of the ``size`` pages of 1 to SAMPLE_BLOCKS blocks whose hashes are smallest.
+
+    Pages are parsed where they lie; what comes back is bounded by pages and blocks.
+    """
+
+    def sizes(htmls: pa.Array) -> pa.Array:
+        return pa.array([len(leaf_blocks(html)) for html in htmls.to_pylist()], pa.int64())
+
+    # Twice the pages are looked at by hash, so that few large or empty ones among them leave enough.
+    keyed = pages.withColumn("key", F.xxhash64("html"))
+    keys = keyed.select("key").distinct().orderBy("key").limit(2 * size)
     last = keys.agg(F.max("key")).first()[0]
     if last is None:
         return []
+    chosen = keyed.where(F.col("key") <= last).dropDuplicates(["key"]).withColumn("blocks", F.arrow_udf(sizes, "bigint")("html"))
+    chosen = chosen.where(F.col("blocks").between(1, SAMPLE_BLOCKS)).orderBy("key").limit(size)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = Vectors()
         for batch in batches:
-            rows = [
-                [{"path": list(b.path), "text": b.text[:1000], "link_chars": b.link_chars} for b in leaf_blocks(html)[:SAMPLE_BLOCKS]]
-                for html in batch.column("html").to_pylist()
-            ]
-            kind = pa.struct([("path", pa.list_(pa.string())), ("text", pa.string()), ("link_chars", pa.int64())])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(rows, pa.list_(kind))], names=["key", "blocks"]
-            )
-
-    chosen = pages.withColumn("key", F.xxhash64("html")).where(F.col("key") <= last)
-    schema = "key bigint, blocks array<struct<path:array<string>,text:string,link_chars:bigint>>"
-    found = chosen.dropDuplicates(["key"]).select("key", "html").mapInArrow(cut, schema).toArrow()
-    rows = sorted(zip(found["key"].to_pylist(), found["blocks"].to_pylist()), key=lambda row: row[0])
-    return [[Block(tuple(b["path"]), b["text"], b["link_chars"]) for b in page] for _, page in rows]
+            for n in range(batch.num_rows):
+                page = leaf_blocks(batch.column("html")[n].as_py())
+                content = vectors.content(page)
+                paths = pa.array([[list(block.path) for block in page]], pa.list_(pa.list_(pa.string())))
+                packed = pa.array([content.tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(n, 1), paths, packed], names=["key", "paths", "content"])
+
+    found = chosen.select("key", "html").mapInArrow(vectors_of, "key bigint, paths array<array<string>>, content binary").toArrow()
+    rows = sorted(zip(*(found[c].to_pylist() for c in ("key", "paths", "content"))), key=lambda row: row[0])
+    return [
+        ([tuple(path) for path in paths], np.frombuffer(content, np.float32).reshape(len(paths), -1)) for _, paths, content in rows
+    ]
 
 
 def extract_text(

@@ -9,14 +9,20 @@ from typing import NamedTuple
 #: Elements that stand within a line of text and do not end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var".split()
+    "small span strike strong sub sup time tt u var "
+    "math annotation maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace "
+    "msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: Elements without content; a line break is white space, others end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 VOID_INLINE = frozenset("img wbr input".split())
-#: Elements whose content is no text of the page.
-SILENT = frozenset(
-    "script style noscript template iframe object svg math canvas audio video textarea select title".split()
+#: Elements whose content is no text of the page, and those of them that hold raw text and no elements.
+SILENT = frozenset("script style noscript template iframe object svg canvas audio video textarea select title".split())
+RAW = frozenset("script style iframe textarea title".split())
+#: Start tags that end a drawing left open.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 #: Elements whose end tag may be left out, and the start tags that end them.
 _SECTIONS = frozenset(
@@ -35,7 +41,7 @@ ENDED_BY = {
 }
 #: A comment, a tag (slash, name, attributes), or a declaration. Possessive: no place is tried twice.
 MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)[^>]*+>|<[!?/][^>]*+>""",
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)[^>]*+>|<[!?/][^>]*+>""",
     re.DOTALL,
 )
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -110,6 +116,32 @@ class _Page:
             self.link_chars += len(text)
 
 
+def _past(html: str, at: int, tag: str) -> int:
+    """The place behind the end tag of a silent element; those of its kind within it have ends of their own."""
+    if tag in RAW:
+        end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(html, at)
+        return end.end() if end else len(html)
+    depth, embedded = 1, 0
+    while match := MARKUP.search(html, at):
+        at = match.end()
+        name = (match[2] or match[5] or "").lower()
+        closing = bool(match[1] or match[4])
+        if name == tag:
+            depth += -1 if closing else 0 if self_closed(tag, match[3]) else 1
+            if not depth:
+                return at
+        elif tag == "svg" and name == "foreignobject":
+            embedded += -1 if closing else 0 if self_closed("svg", match[3]) else 1
+        elif tag == "svg" and embedded <= 0 and not closing and name in BREAKOUT:
+            return match.start()
+    return len(html)
+
+
+def self_closed(tag: str, attributes: str | None) -> bool:
+    """Whether a start tag ends itself; only drawings and formulas can."""
+    return tag in ("svg", "math") and (attributes or "").rstrip().endswith("/")
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The page's text blocks in order; comments, scripts, styles and other silent parts are left out."""
     page, at = _Page(), 0
@@ -121,18 +153,19 @@ def leaf_blocks(html: str) -> list[Block]:
         tag = (match[2] or match[5] or "").lower()
         if not tag:
             continue
-        if match[1] or match[4]:
+        if tag == "br":  # its end tag is a line break too
+            page.add(" ")
+        elif match[1] or match[4]:
             if tag not in VOID:
                 page.close(tag)
-        elif tag == "br":
-            page.add(" ")
         elif tag in VOID:
             if tag not in VOID_INLINE:
                 page.flush()
+        elif self_closed(tag, match[3]):
+            page.add(" ")
         elif tag in SILENT:
             page.flush()
-            end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
+            at = _past(html, at, tag)
         else:
             page.open(tag, match[3] or "")
     if at < len(html):

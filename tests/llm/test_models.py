@@ -42,6 +42,35 @@ def test_leaf_blocks():
     assert tags.leaf_blocks("<p " + "a='" * 20000) is not None  # no quadratic scanning
 
 
+def words(html):
+    return [b.text for b in tags.leaf_blocks(html)]
+
+
+def test_no_text_is_lost_around_odd_markup():
+    assert words('<article><p>a</p><svg width="1"/><p>b</p><math/><p>c</p>') == ["a", "b", "c"]
+    assert words("<p>a<!-->b</p><p>c<!--->d</p><!-- x --><p>e<!-- y --!>f</p><!-- z") == ["ab", "cd", "ef"]
+    assert words("<p>one</br>two<br/>three</p>") == ["one two three"]
+    assert words("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    assert words("<p>a</p><svg><g><svg><text>in</text></svg><text>out</text></g></svg><p>b</p>") == ["a", "b"]
+    assert words("<svg><circle/><p>kept</p><p>too</p>") == ["kept", "too"]
+    assert words("<svg><foreignObject><p>in</p></foreignObject><text>x</text></svg>after") == ["after"]
+    assert words("<object><object>in</object>still in</object>after") == ["after"]
+    assert words("<script>if (a < b) { '<script>' }</script>after<style>p > a {}</style>end") == ["after", "end"]
+    assert words("<script/>gone</script>after") == ["after"]
+
+
+def test_sampled_pages_are_whole(spark):
+    """Places and link shares of a sampled page are those that scoring sees."""
+    html = "<main>" + "".join(f"<p>{'long ' * 400}{i} <a>link</a></p>" for i in range(130)) + "</main>"
+    huge = "<main>" + "<p>x</p>" * (extraction.SAMPLE_BLOCKS + 1) + "</main>"
+    frame = spark.createDataFrame([(html,), (html,), (huge,), ("",)], "html string")
+    ((paths, content),) = extraction.sample_pages(frame, 5)
+    page = tags.leaf_blocks(html)
+    assert paths == [b.path for b in page]
+    vectors = extraction.Vectors()
+    assert (vectors.joined(paths, content) == vectors.page(page)).all()
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in lstm.first_parameters(5).items()}
@@ -70,6 +99,9 @@ def test_extraction_of_held_out_pages(spark):
     made = [page(rng, n) for n in range(160)]
     rows = [(n, f"u{n}", html) for n, (html, _) in enumerate(made)] + [(900, "u", None), (901, None, ""), (0, "u0", made[0][0])]
     rows += [(902, "long", made[1][0].replace("<h1>", "<p>more text of the article</p>" * 3000 + "<h1>"))]
+    # Several hundred comments of readers behind the article change nothing.
+    tail = "".join(f"<div class='comment'><p>{sentence(rng, 9)}</p></div>" for _ in range(500))
+    rows += [(903, "tail", made[2][0].replace("</body>", f"<section class='comments'>{tail}</section></body>"))]
     frame = table(spark, rows, "page_id bigint, url string, html_text string")
     found = extraction.extract_text(frame, ["page_id", "url"], "html_text", sample=40).collect()
     assert len(found) == len(rows)
@@ -77,6 +109,7 @@ def test_extraction_of_held_out_pages(spark):
     assert right >= 158
     by_id = {r.page_id: r for r in found}
     assert by_id[900].text == by_id[901].text == "" and by_id[902].main_blocks > 2900
+    assert by_id[903].text == made[2][1]
 
 
 def test_extraction_without_pages(spark):
