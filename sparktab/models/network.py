@@ -1,8 +1,10 @@
-"""Feed-forward networks trained data-parallel, one Spark job per epoch.
+"""Feed-forward networks trained by synchronous minibatches, one Spark job each.
 
-Every partition streams its rows once, takes Adam minibatch steps from the shared state and
-returns its state; the states are averaged by row count (parallel SGD with averaging:
-Zinkevich et al., 2010). The state is a few thousand numbers, whatever the data size.
+An epoch deals the rows to its minibatches by a hash of row and epoch. Partitions add up the
+gradients of their part of a minibatch, the sums meet in a tree, and the driver, which holds the
+one Adam state, takes the step. So the weights do not depend on how the table is partitioned.
+A minibatch has at least ``batch_size`` rows, and an epoch at most ``epoch_steps`` minibatches,
+however large the table. Dropout draws by row hash too.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .base import ModelSpec, TabularModel, any_null, class_count, refuse_nulls,
 # Adam's usual decay rates and guard.
 BETA1, BETA2, GUARD = 0.9, 0.999, 1e-8
 FAN_IN = 16
+#: Rows whose gradient is taken at a time, and most minibatches of an epoch unless told otherwise.
+BLOCK, EPOCH_STEPS = 4_096, 4
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,11 @@ class Shape:
             at += a * b + b
         return out
 
+    def penalised(self, flat: np.ndarray) -> np.ndarray:
+        """The weights with biases set to 0."""
+        parts = [part for w, b in self.layers(flat) for part in (w.ravel(), np.zeros_like(b))]
+        return np.concatenate(parts)
+
     def start(self, seed: int) -> np.ndarray:
         """Uniform start within the usual fan-in/fan-out limit."""
         rng = np.random.default_rng(seed)
@@ -162,42 +171,61 @@ def _summed(parts: DataFrame) -> np.ndarray:
     return found.flatten().to_numpy().reshape(len(found), -1).sum(axis=0)
 
 
+class RowRandom:
+    """Uniform numbers per row and column that depend on the row's hash and on a salt only."""
+
+    def __init__(self, hashes: np.ndarray, salt: int) -> None:
+        self.hashes = hashes.astype(np.int64).view(np.uint64)
+        self.salt, self.calls = salt, 0
+
+    def random(self, shape: tuple[int, int]) -> np.ndarray:
+        self.calls += 1
+        column = np.arange(shape[1], dtype=np.uint64) + np.uint64((self.salt * 1009 + self.calls) << 20)
+        x = self.hashes[:, None] ^ (column * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
+
+
 def run_epoch(
-    data: DataFrame, shape: Shape, state: AdamState, rate: float, alpha: float, batch: int,
+    data: DataFrame, shape: Shape, state: AdamState, rate: float, alpha: float, steps: int,
     dropout: float, seed: int,
 ) -> tuple[AdamState, float, float, float]:
-    """One pass; returns the new state, rows, summed loss and hits."""
-    shared = data.sparkSession.sparkContext.broadcast((state.weights, state.first, state.second, state.steps))
-    width = shape.sizes[0]
+    """One pass in ``steps`` minibatches; returns the new state, rows, summed loss and hits.
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, part])
-        own = AdamState(*shared.value)
-        rows = loss = hits = 0.0
-        for pdf in batches:
-            values = pdf.to_numpy(dtype=float)
-            values = values[rng.permutation(len(values))]
-            for at in range(0, len(values), batch):
-                x, y = values[at : at + batch, :width], values[at : at + batch, width]
-                grad, part_loss, part_hits = gradient(shape, own.weights, x, y, alpha, dropout, rng)
-                own.step(grad, rate)
-                rows, loss, hits = rows + len(y), loss + part_loss, hits + part_hits
-        if rows:
-            payload = np.concatenate(
-                [[rows, loss, hits, rows * own.steps], rows * own.weights, rows * own.first, rows * own.second]
-            )
-            yield pd.DataFrame({"part": [part], "payload": [payload]})
-
-    total = _summed(data.mapInPandas(work, "part int, payload array<double>"))
-    shared.unpersist()
-    rows, loss, hits, steps = total[:4]
-    flat = total[4:] / rows
-    n = shape.length
-    state = AdamState(flat[:n], flat[n : 2 * n], flat[2 * n :], int(round(steps / rows)))
-    return state, rows, loss, hits
+    ``data`` holds the features, ``y`` and the hash ``row``.
+    """
+    width = shape.sizes[0]
+    seen = np.zeros(3)
+    for step in range(steps):
+        weights = state.weights
+        mine = data.where(F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(steps)) == step) if steps > 1 else data
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from pyspark import TaskContext
+
+            total = np.zeros(3 + shape.length)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                rows = pdf["row"].to_numpy()
+                values = pdf.drop(columns="row").to_numpy(dtype=float)
+                for at in range(0, len(values), BLOCK):
+                    part = values[at : at + BLOCK]
+                    grad, loss, hits = gradient(
+                        shape, weights, part[:, :width], part[:, width], 0.0, dropout, RowRandom(rows[at : at + BLOCK], seed)
+                    )
+                    total[:3] += [len(part), loss, hits]
+                    total[3:] += grad * len(part)
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "payload": [total]})
+
+        total = _summed(mine.mapInPandas(work, "part int, payload array<double>"))
+        seen += total[:3]
+        if total[0]:
+            state.step((total[3:] + alpha * shape.penalised(weights)) / total[0], rate)
+    if not seen[0]:
+        raise ValueError("no rows to train on")
+    return state, *seen
 
 
 def evaluate(data: DataFrame, shape: Shape, weights: np.ndarray) -> tuple[float, float, float]:
@@ -207,7 +235,7 @@ def evaluate(data: DataFrame, shape: Shape, weights: np.ndarray) -> tuple[float,
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(3)
         for pdf in batches:
-            values = pdf.to_numpy(dtype=float)
+            values = pdf.drop(columns="row").to_numpy(dtype=float)
             if len(values):
                 y = values[:, width]
                 total += [len(y), *loss_and_hits(shape, forward(shape, weights, values[:, :width]), y)]
@@ -268,7 +296,7 @@ class NetworkModel(TabularModel):
 PARAMETERS = [
     "hidden_layer_sizes", "activation", "solver", "alpha", "learning_rate", "learning_rate_init",
     "max_iter", "early_stopping", "validation_fraction", "n_iter_no_change", "tol", "batch_size",
-    "dropout", "decay_every", "decay_factor", "random_state",
+    "dropout", "decay_every", "decay_factor", "random_state", "epoch_steps",
 ]
 
 
@@ -280,8 +308,8 @@ def train_network(
     With a validation table (or ``early_stopping``, which sets a share of the rows aside
     by row hash) the state of the best epoch is kept: best accuracy, or lowest loss for a
     number. Training stops when the watched loss has not improved by ``tol`` for
-    ``n_iter_no_change`` epochs. ``decay_every`` and ``decay_factor`` lower the learning
-    rate in steps.
+    ``n_iter_no_change`` epochs; None for it never stops before ``max_iter``. ``decay_every``
+    and ``decay_factor`` lower the learning rate in steps.
     """
     params = spec.params
     reject_unknown(params, PARAMETERS, spec.model_type)
@@ -296,13 +324,17 @@ def train_network(
     columns = [*[quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(spec.features)],
                quoted(spec.label).cast("double").alias("y")]
     refuse_nulls(df.where(quoted(spec.label).isNotNull()), spec.features, spec.model_type)
-    data = df.where(quoted(spec.label).isNotNull()).select(*columns)
     seed = int(params.get("random_state", 42))
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.select(*columns).withColumn("row", F.xxhash64(F.lit(seed), "y", *[f"f{i}" for i in range(len(spec.features))]))
+
+    data = hashed(df.where(quoted(spec.label).isNotNull()))
     stopping = bool(params.get("early_stopping", False))
-    held = None if validation is None else validation.select(*columns)
+    held = None if validation is None else hashed(validation)
     if held is None and stopping:
         share = float(params.get("validation_fraction", 0.1))
-        spot = F.pmod(F.xxhash64(F.lit(seed), *data.columns), F.lit(10_000))
+        spot = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(10_000))
         data, held = data.where(spot >= share * 10_000), data.where(spot < share * 10_000)
     data = data.persist()
     held = held.persist() if held is not None else None
@@ -324,15 +356,15 @@ def _train(spec, data, held, activation, seed, stopping) -> NetworkModel:
     state = AdamState(start, np.zeros_like(start), np.zeros_like(start), 0)
     rate = float(params.get("learning_rate_init", 1e-3))
     every, factor = params.get("decay_every"), float(params.get("decay_factor", 0.9))
-    tol, patience = float(params.get("tol", 1e-4)), int(params.get("n_iter_no_change", 10))
+    tol, patience = float(params.get("tol", 1e-4)), params.get("n_iter_no_change", 10)
+    steps = max(1, min(int(params.get("epoch_steps", EPOCH_STEPS)), data.count() // int(params.get("batch_size", 200))))
     history: list[tuple] = []
     best_score, best_weights, best_epoch = -np.inf, None, -1
     watched_best, stale = np.inf, 0
     for epoch in range(int(params.get("max_iter", 200))):
         now = rate * factor ** (epoch // int(every)) if every else rate
         state, rows, loss, hits = run_epoch(
-            data, shape, state, now, float(params.get("alpha", 1e-4)), int(params.get("batch_size", 200)),
-            float(params.get("dropout", 0.0)), seed + epoch,
+            data, shape, state, now, float(params.get("alpha", 1e-4)), steps, float(params.get("dropout", 0.0)), seed + epoch,
         )
         if not np.isfinite(state.weights).all():
             raise ValueError("training diverged; lower the learning rate or scale the features")
@@ -350,7 +382,7 @@ def _train(spec, data, held, activation, seed, stopping) -> NetworkModel:
         watched = val_loss if stopping and val_loss is not None else loss / rows
         stale = stale + 1 if watched > watched_best - tol else 0
         watched_best = min(watched_best, watched)
-        if stale >= patience:
+        if patience is not None and stale >= int(patience):
             break
     if best_weights is None:
         best_weights, best_epoch = state.weights, len(history) - 1

@@ -236,12 +236,37 @@ def test_network_history_keeps_the_best_epoch(spark, parts):
     assert rows[-1].train_loss < rows[0].train_loss
 
 
-def test_network_sums_many_partitions(spark, curve):
-    spread = curve.repartition(70, "id").select("a", "b", F.col("y"))
+def test_network_does_not_depend_on_partitions(spark, curve):
+    """The same weights, with dropout, stopping and minibatches, for 1, 4 and 32 partitions."""
+    params = {"hidden_layer_sizes": (6, 4), "max_iter": 5, "batch_size": 40, "dropout": 0.2, "early_stopping": True, "learning_rate_init": 0.01}
+    found = []
+    for parts in (1, 4, 32):
+        spec = ModelSpec("regression", "mlp", ["a", "b"], "y", dict(params))
+        found.append(network.train_network(curve.repartition(parts, "id"), spec))
+    for other in found[1:]:
+        assert np.allclose(found[0].weights, other.weights, rtol=0, atol=1e-9)
+        assert np.allclose([h[2] for h in found[0].history], [h[2] for h in other.history])
+
+
+def test_network_step_is_the_gradient_of_all_rows(spark, curve):
     shape = network.Shape((2, 3, 1), None)
     start = shape.start(0)
-    state, rows, *_ = network.run_epoch(spread, shape, network.AdamState(start, start * 0, start * 0, 0), 0.001, 0.0, 50, 0.0, 1)
-    assert rows == 240 and np.isfinite(state.weights).all()
+    rows = curve.select("a", "b", "y").withColumn("row", F.xxhash64("a", "b"))
+    state = network.AdamState(start, start * 0, start * 0, 0)
+    state, seen, loss, _ = network.run_epoch(rows.repartition(70), shape, state, 0.001, 0.5, 1, 0.0, 1)
+    pdf = curve.toPandas()
+    grad, total, _ = network.gradient(shape, start, pdf[["a", "b"]].to_numpy(), pdf["y"].to_numpy(), 0.5, 0.0, None)
+    assert seen == 240 and loss == pytest.approx(total) and np.allclose(state.first, 0.1 * grad)
+    # Every row is in exactly one of the minibatches.
+    _, seen, _, _ = network.run_epoch(rows, shape, state, 0.001, 0.0, 3, 0.0, 2)
+    assert seen == 240
+
+
+def test_network_runs_all_epochs_if_told_so(curve):
+    params = {"hidden_layer_sizes": (2,), "max_iter": 14, "learning_rate_init": 1e-9, "tol": 1.0}
+    for patience, epochs in ((2, 3), (None, 14)):
+        spec = ModelSpec("regression", "mlp", ["a", "b"], "y", {**params, "n_iter_no_change": patience})
+        assert len(network.train_network(curve, spec).history) == epochs
 
 
 def test_boosting_is_better_than_one_tree(curve):
