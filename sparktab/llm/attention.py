@@ -15,8 +15,8 @@ import numpy as np
 WIDTH, WINDOW, CLASSES, EMBEDDED = 16, 32, 64, 2048
 #: Inputs by which one window follows another; the rest of a window is context.
 STRIDE = 28
-#: Windows computed at a time.
-BATCH = 256
+#: Windows computed at a time, in scoring and in training.
+BATCH, TRAIN_BATCH = 256, 128
 
 SHAPES = {
     "embed": (EMBEDDED, WIDTH),
@@ -118,18 +118,21 @@ def gradient(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.nda
     q, k, v = _project(p, x)
     hidden, weights, mass, seen = _hidden(x, q, k, v, p["out"])
     weights /= mass
-    flat = hidden.reshape(-1, WIDTH)
-    logits = flat @ p["top"] + p["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    chance = np.exp(logits)
-    chance /= chance.sum(axis=1, keepdims=True)
-    at, live = np.arange(len(flat)), scored.ravel().astype(np.float32)
-    total = max(float(live.sum()), 1.0)
-    loss = float(-(np.log(chance[at, wanted.ravel()] + 1e-12) * live).sum() / total)
-    chance[at, wanted.ravel()] -= 1
-    chance *= (live / total)[:, None]
+    live = np.flatnonzero(scored)
+    flat = hidden.reshape(-1, WIDTH)[live]
+    chance = flat @ p["top"]
+    chance += p["bias"]
+    if chance.size and max(chance.max(), -chance.min()) > TOP_LOGIT:
+        chance -= chance.max(axis=1, keepdims=True)
+    np.exp(chance, out=chance)
+    at, goal, total = np.arange(len(flat)), wanted.ravel()[live], max(len(live), 1)
+    sums = chance.sum(axis=1)
+    loss = float(-np.log(chance[at, goal] / sums + 1e-12).sum() / total)
+    chance *= (1 / (sums * total))[:, None]
+    chance[at, goal] -= chance.dtype.type(1 / total)
     grads = {"top": flat.T @ chance, "bias": chance.sum(axis=0)}
-    d_hidden = chance @ p["top"].T
+    d_hidden = np.zeros((hidden.size // WIDTH, WIDTH), chance.dtype)
+    d_hidden[live] = chance @ p["top"].T
     grads["out"] = seen.reshape(-1, WIDTH).T @ d_hidden
     d_seen = (d_hidden @ p["out"].T).reshape(n, WINDOW, WIDTH)
     d_weights = np.matmul(d_seen, v.transpose(0, 2, 1))
@@ -142,14 +145,12 @@ def gradient(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.nda
     grads["mix"] = x.reshape(-1, WIDTH).T @ d_mixed
     d_x = d_hidden + d_mixed @ p["mix"].T
     grads["place"] = d_x.reshape(n, WINDOW, WIDTH).sum(axis=0)
-    order = np.argsort(rows.ravel(), kind="stable")
-    used, begins = np.unique(rows.ravel()[order], return_index=True)
-    grads["embed"] = np.zeros_like(p["embed"])
-    grads["embed"][used] = np.add.reduceat(d_x[order], begins, axis=0)
+    cells = (rows.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    grads["embed"] = np.bincount(cells, d_x.ravel(), p["embed"].size).reshape(p["embed"].shape).astype(d_x.dtype)
     return loss, grads
 
 
-def train(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.ndarray, rate: float, batch: int = 32) -> Parameters:
+def train(p: Parameters, rows: np.ndarray, wanted: np.ndarray, scored: np.ndarray, rate: float, batch: int = TRAIN_BATCH) -> Parameters:
     """One pass of Adam over the windows in their order."""
     p = {name: value.copy() for name, value in p.items()}
     first = {name: np.zeros_like(value) for name, value in p.items()}

@@ -7,9 +7,10 @@ Learning, from the training documents only:
    give the model's vocabulary, output classes and P(id | class).
 3. Every training document is cut into the windows of subword ids that scoring cuts it into, so
    that each of its ids and its end id is predicted once. Runs of windows are grouped by hash
-   into shards of bounded size, which are written once. In each round of training each shard runs one pass of Adam from
-   the current parameters, and the shards' results are averaged. Shards do not depend on
-   partitions, and their number grows with the documents.
+   into shards of bounded size, which are written once; their number grows with the documents.
+   Training is one pass over all shards in several rounds: each round takes its share of the
+   shards, each of these runs Adam from the parameters of the round before, and their results
+   are averaged. Shards and rounds do not depend on partitions.
 
 Scoring reads every text once: causal attention over overlapping windows scores each id once.
 The same pass looks words up in a table of the most frequent ones, which is bounded; the
@@ -49,13 +50,16 @@ from .pieces import MARKER, ChunkEncoder
 FOLDS, HELD_OUT = 7, 2
 #: Words in the table that goes along with the scoring tasks.
 FREQUENT_WORDS = 300_000
-#: Windows of a training shard, rounds of training and their step sizes.
+#: Most windows of a training shard.
 SHARD_WINDOWS = 8192
 #: Windows of a text that go to a shard together.
 RUN_WINDOWS = 64
 #: Tasks that shards are dealt to while they are few, and shards of a task when they are many.
 FEW_TASKS, TASK_SHARDS = 200, 16
-RATES = (0.03, 0.015, 0.005)
+#: Step size of each round; a shard takes part in one of them.
+RATES = (0.03, 0.03, 0.02, 0.015, 0.01, 0.005)
+#: Partial sums that meet in one group, and ranges of counts per doubling in the search for frequent words.
+FAN_IN, COUNT_STEPS = 32, 8
 
 
 def is_held_out(id_column: Column) -> Column:
@@ -167,7 +171,8 @@ def training_runs(texts: DataFrame, model_path: str, shards: int) -> DataFrame:
     return texts.select("shard_key", "text").mapInArrow(cut, "shard int, shard_key bigint, later boolean, ids binary")
 
 
-PACKED = pa.schema([("sizes", pa.binary()), ("later", pa.binary()), ("ids", pa.binary())])
+PACKED = pa.schema([("shard", pa.int32()), ("sizes", pa.binary()), ("later", pa.binary()), ("ids", pa.binary())])
+MOVES = "part int, payload binary"
 
 
 def _packed(shard: pa.Table) -> pa.Table:
@@ -176,57 +181,80 @@ def _packed(shard: pa.Table) -> pa.Table:
     rows = shard.column("ids").to_pylist()
     sizes = np.fromiter(map(len, rows), np.int32, len(rows))
     later = shard.column("later").to_numpy().astype(np.uint8)
-    return pa.table(dict(zip(PACKED.names, [[sizes.tobytes()], [later.tobytes()], [b"".join(rows)]])), PACKED)
+    packed = [[shard.column("shard")[0].as_py()], [sizes.tobytes()], [later.tobytes()], [b"".join(rows)]]
+    return pa.table(dict(zip(PACKED.names, packed)), PACKED)
 
 
 def _round(held: np.ndarray, vocabulary: Vocabulary, rate: float):
-    """Arrow function: packed shards to (at, move), their summed weighted changes; at -1 is their number of windows."""
+    """Arrow function: packed shards to one payload, their number of windows and their summed weighted changes."""
     kind = id_type(len(vocabulary.row))
 
     def one_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        move, number = np.zeros(len(held)), 0
+        from pyspark import TaskContext
+
+        total = np.zeros(len(held) + 1)
         for batch in batches:
             for row in range(len(batch)):
-                sizes, later, flat = (batch.column(name)[row].as_py() for name in PACKED.names)
+                sizes, later, flat = (batch.column(name)[row].as_py() for name in PACKED.names[1:])
                 sizes = np.frombuffer(sizes, np.int32).astype(np.int64) // np.dtype(kind).itemsize
                 ids, scored = run_windows(np.frombuffer(flat, kind), sizes, np.frombuffer(later, np.uint8) > 0)
                 order = np.random.default_rng(len(ids)).permutation(len(ids))  # neighbours of a text apart
                 ids, scored = ids[order], scored[order]
                 found = train(unflatten(held), vocabulary.row[ids[:, :-1]], vocabulary.group[ids[:, 1:]], scored, rate)
-                move += (flatten(found) - held).astype(np.float64) * len(ids)
-                number += len(ids)
-        at = np.arange(-1, len(move), dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([[number], move]))], names=["at", "move"])
+                total[0] += len(ids)
+                total[1:] += (flatten(found) - held).astype(np.float64) * len(ids)
+        if total[0]:
+            yield _payload(TaskContext.get().partitionId(), total)
 
     return one_round
 
 
+def _payload(part: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "payload"])
+
+
+def _added(parts: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(p.as_py(), np.float64) for p in parts.column("payload"))
+    return pa.Table.from_batches([_payload(parts.column("part")[0].as_py(), total)])
+
+
+def tree_sum(parts: DataFrame) -> np.ndarray | None:
+    """The sum of all payloads, at most one per partition, FAN_IN of them meeting at a time; None without any."""
+    left = parts.rdd.getNumPartitions()
+    while left > FAN_IN:
+        dealt = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        parts, left = dealt.groupBy("part").applyInArrow(_added, MOVES), -(-left // FAN_IN)
+    found = [np.frombuffer(p.as_py(), np.float64) for p in parts.orderBy("part").toArrow().column("payload")]
+    return sum(found) if found else None
+
+
 def learn(runs: DataFrame, vocabulary: Vocabulary, rates: tuple[float, ...] = RATES) -> Parameters:
-    """Rounds of local passes over shards of the windows, averaged after each round."""
+    """One pass over all shards in as many rounds as there are rates, averaged after each round."""
     parameters = first_parameters(vocabulary)
-    packed = cut_lineage(runs.groupBy("shard").applyInArrow(_packed, "sizes binary, later binary, ids binary"))
-
-    for rate in rates:
+    if not rates:
+        return parameters
+    packed = cut_lineage(runs.groupBy("shard").applyInArrow(_packed, "shard int, sizes binary, later binary, ids binary"))
+    for nth, rate in enumerate(rates):
         held = flatten(parameters)
-        moves = packed.mapInArrow(_round(held, vocabulary, rate), "at int, move double")
-        summed = moves.groupBy("at").agg(F.sum("move").alias("move")).toArrow()  # one number per parameter
-        step = np.zeros(len(held) + 1)
-        step[summed["at"].to_numpy() + 1] = summed["move"].to_numpy()
-        parameters = unflatten(held + step[1:] / max(step[0], 1.0))
+        own = packed.where(F.col("shard") % len(rates) == nth)
+        total = tree_sum(own.mapInArrow(_round(held, vocabulary, rate), MOVES))
+        if total is not None:
+            parameters = unflatten(held + total[1:] / total[0])
     return parameters
 
 
 def _frequent(counts: DataFrame) -> dict[bytes, int]:
-    """The FREQUENT_WORDS most frequent words and their counts, found by a count threshold."""
-    sizes = sorted(counts.where("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)
+    """At most FREQUENT_WORDS of the most frequent words and their counts, found by ranges of counts."""
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    sizes = counts.where("n > 1").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()
     total, least = 0, None
-    for n, words in sizes:
+    for nth, words in sorted(((r.step, r.words) for r in sizes), reverse=True):
         if total + words > FREQUENT_WORDS:
             break
-        total, least = total + words, n
+        total, least = total + words, nth
     if least is None:
         return {}
-    rows = counts.where(F.col("n") >= least).toArrow()
+    rows = counts.where(step >= least).toArrow()
     return dict(zip(rows["word"].cast(pa.binary()).to_pylist(), rows["n"].to_pylist()))
 
 
@@ -262,7 +290,7 @@ def score_texts(
     pieces = piece_counts(counts, model_path)
     pieces[ChunkEncoder(model_path, False).processor.eos_id()] = n_texts
     vocabulary = Vocabulary.from_counts(pieces)
-    shards = max(1, int(pieces.sum()) // (STRIDE * SHARD_WINDOWS))
+    shards = max(len(RATES), -(-int(pieces.sum()) // (STRIDE * SHARD_WINDOWS)))
     tasks = max(min(shards, FEW_TASKS), -(-shards // TASK_SHARDS))
     runs = training_runs(training, model_path, shards).repartition(tasks, "shard")
     flat = flatten(learn(runs, vocabulary))
