@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..models import clustering, registry, search, weights
 from ..models.neighbors import neighbor_search
 from ..operators import splitting
+from ..operators.sparse_encoding import SparseOneHot
 from ..operators.strata import folds_in_classes
 from ..session import local_table
 from .learning import LINE_COLUMNS, SHARES, VECTOR_COLUMNS, letter_rows, letter_splits, wide_vectors
@@ -256,3 +257,24 @@ def many_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A balanced weight for every line, each order being a class."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     return rounded(weights.add_class_weights(rows, "l_orderkey"), 6)
+
+
+@query(
+    "onehot_positions",
+    """
+    WITH o AS (SELECT l_orderkey, dense_rank() OVER (ORDER BY l_orderkey) - 1 AS a, l_linenumber, l_partkey, l_suppkey,
+                      dense_rank() OVER (ORDER BY l_returnflag) - 1 AS b, dense_rank() OVER (ORDER BY l_partkey) - 1 AS c FROM lineitem),
+    s AS (SELECT count(DISTINCT l_orderkey) - 1 AS a, count(DISTINCT l_returnflag) - 1 AS b FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+           array_to_string([x FOR x IN [CASE WHEN o.a >= 1 THEN o.a - 1 END, CASE WHEN o.b >= 1 THEN s.a + o.b - 1 END,
+                                        CASE WHEN o.c >= 1 THEN s.a + s.b + o.c - 1 END] IF x IS NOT NULL], ',') AS positions
+    FROM o, s
+    """,
+)
+def onehot_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-zero positions of three columns, one of them with over 10,000 categories from a scale of 0.01 on."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    encoder = SparseOneHot.fit(rows, ["l_orderkey", "l_returnflag", "l_partkey"])
+    found = encoder.positions(rows)
+    text = F.array_join(F.col("positions").cast("array<string>"), ",")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("positions"))

@@ -8,11 +8,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import is_numeric, require_columns
+from ..functions.columns import is_numeric, quoted, require_columns
+from ..session import cut_lineage
 from .nulls import NullAction, apply_null_actions, fit_null_actions
 from .outliers import Bounds, fit_bounds, treat_outliers
 
 
+#: Columns after which a sequential run writes the numbers of the rows that are left.
+COLUMNS_PER_CUT = 4
 KEEP_NULLS = "keep"  # a null style for columns whose nulls are left alone
 
 
@@ -131,7 +134,12 @@ def clean_uniform(
     outlier_fill: float | None = 3,
     sequential: bool = True,
 ) -> CleanResult:
-    """One setting for many columns: all nulls first, then outliers column by column."""
+    """One setting for many columns: all nulls first, then outliers column by column.
+
+    Bounds are fitted on the numeric columns alone, which are written once, and again every few
+    columns with the rows that are left; the whole table only gets the filters that come out.
+    So the work is linear in the columns, whatever they drop.
+    """
     columns = list(dict.fromkeys(c.strip() for c in columns))
     require_columns(df, columns)
     actions = fit_null_actions(df, columns, null_style, null_fill)
@@ -141,8 +149,13 @@ def clean_uniform(
         return result
     left = [c for c in columns if c in result.data.columns and is_numeric(result.data, c)]
     rounds = [[c] for c in left] if treatment == "del_outlier" and sequential else [left]
-    for group in rounds:
-        fitted = fit_bounds(result.data, group, outlier_method, outlier_threshold)
+    slim = cut_lineage(result.data.select(*[quoted(c) for c in left])) if len(rounds) > 1 else result.data
+    for n, group in enumerate(rounds):
+        if n and n % COLUMNS_PER_CUT == 0:
+            slim = cut_lineage(slim)
+        fitted = fit_bounds(slim, group, outlier_method, outlier_threshold)
+        if len(rounds) > 1:
+            slim = treat_outliers(slim, fitted, treatment, outlier_fill)
         result.data = treat_outliers(result.data, fitted, treatment, outlier_fill)
         result.bounds |= fitted
     return result

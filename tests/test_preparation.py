@@ -273,3 +273,23 @@ def test_whole_documents_are_profiled_and_split(spark, tmp_path):
     assert (found.total_rows, found.total_columns, found.duplicate_rows) == (11, 5, 1)
     parts = {r.split: r.n for r in QUERIES["whole_split_after_dedup"](spark, str(tmp_path)).collect()}
     assert parts == {"test": 2, "val": 1, "train": 7}
+
+
+def test_sequential_deletion_over_many_columns(spark):
+    """Each column's bounds come from the rows that the columns before have left."""
+    import numpy as np
+
+    from sparktab.operators.cleaning import clean_uniform
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (400, 9)) ** 3
+    names = [f"c.{i}" for i in range(9)]
+    df = spark.createDataFrame([(*map(float, r), "t") for r in x], ", ".join(f"`{n}` double" for n in names) + ", other string")
+    found = clean_uniform(df, names, treatment="del_outlier")
+    left = x
+    for i in range(9):
+        q1, q3 = np.quantile(left[:, i], [0.25, 0.75])
+        low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        left = left[(left[:, i] >= low) & (left[:, i] <= high)]
+    got = sorted(tuple(r)[:-1] for r in found.data.collect())
+    assert found.data.columns == df.columns and got == sorted(map(tuple, left))
