@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.dictionary import fit_dictionaries
@@ -141,14 +144,27 @@ def ratio_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "read_json_array",
-    "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey < 3",
+    "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice FROM orders",
 )
 def read_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").where("n_regionkey < 3")
-    path = f"{scratch(spark)}/nation.json"
-    whole = rows.select(F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey")).alias("row"))
-    whole.agg(F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("row")), F.lit("]"))).coalesce(1).write.text(path)
-    return readers.read_json(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+    """A folder of JSON arrays, one written by each task, read back."""
+    rows = table(spark, sf_dir, "orders").select(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("value"))
+    path = f"{scratch(spark)}/orders.json"
+    rows.mapInArrow(_array_lines, "value string").write.text(path)
+    return rounded(readers.read_json(spark, path).select("o_orderkey", "o_orderstatus", "o_totalprice"))
+
+
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one JSON array; a task without rows writes none."""
+    opened = False
+    for batch in batches:
+        rows = batch.column(0).to_pylist()
+        if rows:
+            first = ("," if opened else "[") + rows[0]
+            yield pa.RecordBatch.from_arrays([pa.array([first, *("," + row for row in rows[1:])])], names=["value"])
+            opened = True
+    if opened:
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
 
 
 # ---------------------------------------------------------------- splits and dictionaries
@@ -254,18 +270,17 @@ def stump_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- scoring and configured runs
 
 
-@query(
-    "score_given_rows",
-    _gaussian_sql() + " AND l_orderkey <= 8",
-)
+@query("score_given_rows", _gaussian_sql())
 def score_given_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first orders' rows handed over as dictionaries, as a caller of a service would."""
+    """All lines handed over as JSON requests, one per order, as the callers of a service would."""
     lines = table(spark, sf_dir, "lineitem")
     coded = labels.encode_label(lines, "l_returnflag", labels.fit_label_codes(lines, "l_returnflag"))
     model = registry.train(coded, "classification", "Ga_naive_bayes", LINE_COLUMNS, "l_returnflag")
-    few = lines.where("l_orderkey <= 8").select(*LINE_KEY, "l_suppkey", *LINE_COLUMNS)
-    rows = [r.asDict() for r in few.collect()]  # the rows of eight orders
-    done = Scorer(model).score_rows(spark, rows, few.schema)
+    given = lines.select(*LINE_KEY, "l_suppkey", *LINE_COLUMNS)
+    requests = given.groupBy(F.col("l_orderkey").alias("request")).agg(
+        F.to_json(F.collect_list(F.struct(*given.columns))).alias("body")
+    )
+    done = Scorer(model).score_requests(requests, "body", given.schema, keep=["request"])
     return done.select(*LINE_KEY, "l_suppkey", F.col("predict_result").alias("prediction"))
 
 

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..models import clustering, registry, search, weights
+from ..models.base import load_model
 from ..models.neighbors import neighbor_search
-from ..operators import splitting
+from ..operators import encoding, splitting
+from ..operators.scoring import Scorer
 from ..operators.sparse_encoding import SparseOneHot
 from ..operators.strata import folds_in_classes
+from ..plans.runner import from_flat, run_config
 from ..session import local_table
-from .learning import LINE_COLUMNS, SHARES, VECTOR_COLUMNS, letter_rows, letter_splits, wide_vectors
-from .registry import query, rounded, table
+from ..sources.workspace import Workspace
+from .learning import (
+    LINE_COLUMNS,
+    LINE_KEY,
+    SHARES,
+    VECTOR_COLUMNS,
+    _gaussian_sql,
+    letter_rows,
+    letter_splits,
+    line_rows,
+    wide_vectors,
+)
+from .registry import query, rounded, scratch, table
 
 # The settings that a search over support vector machines goes through.
 SVM_GRID = {
@@ -278,3 +293,73 @@ def onehot_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encoder.positions(rows)
     text = F.array_join(F.col("positions").cast("array<string>"), ",")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("positions"))
+
+
+# ---------------------------------------------------------------- results that SQL can repeat
+
+
+@query("bayes_predictions_written", _gaussian_sql())
+def bayes_predictions_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions written as CSV by the workspace and read again."""
+    rows = line_rows(spark, sf_dir)
+    model = registry.train(rows, "classification", "Ga_naive_bayes", LINE_COLUMNS, "flag")
+    key = [*LINE_KEY, "l_suppkey"]
+    space = Workspace(spark, scratch(spark))
+    done = Scorer(load_model(spark, model.save(spark, f"{space.root}/model"))).score(rows.select(*key, *LINE_COLUMNS))
+    path = space.write_predictions(done.select(*key, "predict_result"), "lines")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in key)
+    return spark.read.csv(path, header=True, schema=f"{kinds}, predict_result double").withColumnRenamed("predict_result", "prediction")
+
+
+@query(
+    "principal_component_variance",
+    """
+    WITH v AS (SELECT unnest(range(1, 65)) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    SELECT 64 AS components, round(sum(s), 6) AS total_variance FROM (SELECT var_pop(e[i]) AS s FROM v GROUP BY i)
+    """,
+)
+def principal_component_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All components together hold the whole variance."""
+    fitted = encoding.fit_pca(wide_vectors(spark, sf_dir), VECTOR_COLUMNS, 64)
+    parts = fitted.transform(wide_vectors(spark, sf_dir)).select(F.posexplode(vector_to_array("pca")).alias("i", "x"))
+    spread = parts.groupBy("i").agg(F.var_pop("x").alias("s"))
+    return spread.agg(F.count(F.lit(1)).cast("int").alias("components"), F.round(F.sum("s"), 6).alias("total_variance"))
+
+
+@query(
+    "configured_one_cluster",
+    """
+    WITH v AS (SELECT unnest(range(1, 65)) AS i, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    SELECT CAST(i - 1 AS INTEGER) AS dimension, round(avg(e[i]), 6) AS centre, count(*) AS rows FROM v GROUP BY i
+    """,
+)
+def configured_one_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clustering configuration with one cluster: its centre is the mean, on the original scale."""
+    vectors = wide_vectors(spark, sf_dir).select(*VECTOR_COLUMNS)
+    config = {"IRIS_FEATURE_COLS": vectors.columns, "FINAL_K": 1, "INIT": "k-means++", "N_INIT": 2, "RANDOM_STATE": 42}
+    result = run_config(spark, from_flat(config), vectors)
+    centre = result.clusters.centers(spark).select(F.posexplode(F.array(*VECTOR_COLUMNS)).alias("dimension", "centre"))
+    sizes = result.summary.agg(F.sum("n").alias("rows"))
+    return centre.select("dimension", F.round("centre", 6).alias("centre")).crossJoin(F.broadcast(sizes))
+
+
+def _adaboost_sql() -> str:
+    """One weighted round: the stump's error is the weight of the vote."""
+    return """
+    WITH r AS (SELECT l_quantity, l_discount, l_tax, CASE WHEN l_quantity * l_extendedprice > 1000000 THEN 1 ELSE 0 END AS y FROM lineitem),
+    v AS (SELECT l_quantity AS x, sum(y) AS s, count(*) AS n FROM r GROUP BY 1),
+    c AS (SELECT x, lead(x) OVER w AS following, sum(s) OVER w AS sl, sum(n) OVER w AS nl, sum(s) OVER () AS sa, sum(n) OVER () AS na
+          FROM v WINDOW w AS (ORDER BY x)),
+    g AS (SELECT *, 2.0 * sl * (nl - sl) / nl + 2.0 * (sa - sl) * (na - nl - sa + sl) / (na - nl) AS impurity FROM c WHERE following IS NOT NULL),
+    b AS (SELECT least(sl, nl - sl) + least(sa - sl, na - nl - sa + sl) AS missed, na FROM g ORDER BY impurity LIMIT 1)
+    SELECT round(ln((na - missed) / missed), 6) AS vote, CAST(missed AS BIGINT) AS missed FROM b
+    """
+
+
+@query("adaboost_first_round", _adaboost_sql())
+def adaboost_first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of AdaBoost on two classes: log of the odds of its stump, and rows it gets wrong."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("dear", F.expr("CAST(l_quantity * l_extendedprice > 1000000 AS INT)"))
+    model = registry.train(lines, "classification", "adaboost", ["l_quantity"], "dear", {"n_estimators": 1})
+    missed = model.transform(lines).where(F.col("prediction") != F.col("dear")).agg(F.count(F.lit(1)).alias("missed"))
+    return missed.select(F.round(F.lit(float(model.says[0])), 6).alias("vote"), "missed")

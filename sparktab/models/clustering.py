@@ -7,30 +7,29 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import blocks
 from ..functions.columns import quoted, require_columns
 from ..operators.encoding import FeatureTransformer
 from ..session import local_table
-from .base import VECTOR, ModelSpec, TabularModel, with_vector
-from .lloyd import run_all
+from .base import VECTOR, ModelSpec, TabularModel, any_null, refuse_nulls, with_vector
+from .lloyd import run_all, squares_to
 
 CELLS = 4_000_000
 
 
 class ClusterModel(TabularModel):
-    """Standardised k-means; ``transform`` adds ``cluster``."""
+    """Standardised k-means; ``transform`` adds ``cluster``, null for a row with a null feature."""
 
     kind = "kmeans"
 
-    def __init__(self, spec: ModelSpec, scaler: FeatureTransformer | None, stage, cost: float) -> None:
+    def __init__(self, spec: ModelSpec, scaler: FeatureTransformer | None, centres: np.ndarray, cost: float) -> None:
         super().__init__(spec)
         self.scaler = scaler
-        self.stage = stage
+        self.centres = centres
         self.cost = cost
 
     @property
@@ -42,13 +41,21 @@ class ClusterModel(TabularModel):
         return self.scaler.transform(df, keep_raw=True) if self.scaler else df
 
     def transform(self, df: DataFrame) -> DataFrame:
-        found = self.stage.transform(with_vector(self.scaled(df), self._inputs))
-        return found.select(*[quoted(c) for c in df.columns if c != "cluster"], F.col("__cluster").alias("cluster"))
+        centres = self.centres
+
+        @pandas_udf("int")
+        def nearest(*columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            return pd.Series(squares_to(x, centres).argmin(axis=1))
+
+        inputs = [quoted(c).cast("double") for c in self._inputs]
+        found = F.when(~any_null(inputs), nearest(*inputs)).alias("cluster")
+        return self.scaled(df).select(*[quoted(c) for c in df.columns if c != "cluster"], found)
 
     def centers(self, spark) -> DataFrame:
         """One row per cluster on the original scale."""
         rows = []
-        for i, center in enumerate(self.stage.clusterCenters()):
+        for i, center in enumerate(self.centres):
             values = [float(v) for v in center]
             if self.scaler:
                 values = [
@@ -60,40 +67,30 @@ class ClusterModel(TabularModel):
         return local_table(spark, rows, ddl)
 
     def _state(self, spark, path) -> Any:
-        PipelineModel([self.stage]).write().overwrite().save(f"{path}/stage")
         if self.scaler:
             self.scaler.save(spark, f"{path}/scaler")
-        return [self.scaler is not None, self.cost]
+        return [self.scaler is not None, self.centres.tolist(), self.cost]
 
     @classmethod
     def _restore(cls, spark, path, spec, state):
         scaler = FeatureTransformer.load(spark, f"{path}/scaler") if state[0] else None
-        return cls(spec, scaler, PipelineModel.load(f"{path}/stage").stages[0], state[1])
+        return cls(spec, scaler, np.asarray(state[1]), state[2])
 
 
 def fit_kmeans(
     df: DataFrame, features: Sequence[str], k: int, starts: int = 10, seed: int = 42,
     standardise: bool = True, max_iter: int = 300,
 ) -> ClusterModel:
-    """Best of several parallel k-means++ starts by within-cluster squares."""
+    """Best of several k-means++ starts by within-cluster squares, all in shared passes."""
     features = list(features)
     require_columns(df, features)
+    refuse_nulls(df, features, "kmeans")
     scaler = FeatureTransformer.fit(df, features, standardise=True) if standardise else None
     scaled = scaler.transform(df.select(*[quoted(c) for c in features])) if scaler else df
-    data = with_vector(scaled, scaler.output_columns if scaler else features).select(VECTOR).persist()
-    try:
-        best = None
-        for i in range(starts):
-            fitted = KMeans(
-                k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol=VECTOR, predictionCol="__cluster"
-            ).fit(data)
-            cost = fitted.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, fitted)
-    finally:
-        data.unpersist()
+    runs, _ = run_all(scaled, scaler.output_columns if scaler else features, [k], starts, seed, max_iter)
+    best = min(runs, key=lambda run: run.cost)
     spec = ModelSpec("clustering", "kmeans", features, "", {"k": k, "starts": starts, "random_state": seed})
-    return ClusterModel(spec, scaler, best[1], float(best[0]))
+    return ClusterModel(spec, scaler, np.array(best.centres), best.cost)
 
 
 def elbow_table(

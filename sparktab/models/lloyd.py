@@ -50,7 +50,8 @@ def uniforms(hashes: np.ndarray, salt: int) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
-def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def squares_to(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres."""
     return np.maximum((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2.0 * x @ centres.T, 0.0)
 
 
@@ -75,7 +76,7 @@ def draw_next(rows: DataFrame, runs: Sequence[Run], seed: int, step: int) -> Non
         found = np.zeros((len(runs), width))
         for pdf in batches:
             for x, hashes in _pieces(pdf, max(1, len(known))):
-                away = _squares(x, known) if len(known) else None
+                away = squares_to(x, known) if len(known) else None
                 for i, salt in enumerate(salts):
                     own = np.ones(len(x)) if away is None else away[:, starts[i] : starts[i + 1]].min(axis=1)
                     with np.errstate(divide="ignore"):
@@ -109,7 +110,7 @@ def move_all(rows: DataFrame, runs: Sequence[Run], limit: float, max_iter: int)
         for pdf in batches:
             for x, _ in _pieces(pdf, len(centres)):
                 seen = True
-                away = _squares(x, centres)
+                away = squares_to(x, centres)
                 counted = np.column_stack([x, np.ones(len(x))])
                 for i, k in enumerate(sizes):
                     own = away[:, starts[i] : starts[i + 1]]

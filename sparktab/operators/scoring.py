@@ -52,6 +52,25 @@ class Scorer:
         tuples = [tuple(row.get(name) for name in struct.fieldNames()) for row in rows]
         return self.score(spark.createDataFrame(tuples, struct))
 
+    def score_requests(
+        self, requests: DataFrame, body: str, schema: T.StructType | str, keep: Sequence[str] = ()
+    ) -> DataFrame:
+        """Score a table of requests, each a JSON array of row objects in the column ``body``.
+
+        One result row per given row, with the request's ``keep`` columns and the row's place
+        in its request (``request_row``, from 0). A missing key is a null; a body that is no
+        array of objects gives one row without values or prediction, its place null.
+        """
+        struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        parsed = F.from_json(quoted(body), T.ArrayType(struct), {"mode": "PERMISSIVE"})
+        rows = requests.select(*[quoted(c) for c in keep], F.posexplode_outer(parsed).alias("request_row", "__given"))
+        flat = rows.select(
+            *[quoted(c) for c in keep],
+            F.when(F.col("__given").isNotNull(), F.col("request_row")).alias("request_row"),
+            *[F.col("__given")[name].alias(name) for name in struct.fieldNames()],
+        )
+        return self.score(flat)
+
     def save(self, spark: SparkSession, path: str) -> str:
         self.model.save(spark, f"{path}/model")
         if self.encoder:
