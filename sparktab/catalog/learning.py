@@ -219,7 +219,7 @@ def adaboost_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = registry.train(
-        letter_rows(spark, sf_dir), "regression", "decision_tree", COUNTS, "n_chars", {"max_depth": 5}
+        letter_rows(spark, sf_dir), "regression", "decision_tree", COUNTS, "n_chars"
     )
     return registry.importance_table(spark, model)
 

@@ -363,3 +363,18 @@ def adaboost_first_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = registry.train(lines, "classification", "adaboost", ["l_quantity"], "dear", {"n_estimators": 1})
     missed = model.transform(lines).where(F.col("prediction") != F.col("dear")).agg(F.count(F.lit(1)).alias("missed"))
     return missed.select(F.round(F.lit(float(model.says[0])), 6).alias("vote"), "missed")
+
+
+@query("svm_landmark_error")
+def svm_landmark_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What more landmarks buy: the share of the kernel that they miss, and the error of the regression."""
+    rows = letter_rows(spark, sf_dir)
+    others = [c for c in SHARES if c != "share_1"]
+    encoder = encoding.FeatureTransformer.fit(rows, others, standardise=True)
+    data = encoder.transform(rows, keep_raw=True)
+    found = []
+    for landmarks in (10, 40, 160):
+        model = registry.train(data, "regression", "svm", encoder.output_columns, "share_1", {"landmarks": landmarks})
+        error = model.transform(data).agg(F.avg(F.abs(F.col("prediction") - F.col("share_1")))).first()[0]
+        found.append((landmarks, round(model.landmark_error, 4), round(error, 4)))
+    return local_table(spark, found, "landmarks int, landmark_error double, mean_absolute_error double")

@@ -66,6 +66,35 @@ class LandmarkMap:
         return cls(*state[:4], np.asarray(state[4]))
 
 
+def diagonal(x: np.ndarray, lift: LandmarkMap) -> np.ndarray:
+    """Kernel values of rows with themselves."""
+    inner = (x**2).sum(axis=1)
+    if lift.kind == "rbf":
+        return np.ones(len(x))
+    if lift.kind == "poly":
+        return (lift.gamma * inner + lift.coef0) ** lift.degree
+    return inner if lift.kind == "linear" else np.tanh(lift.gamma * inner + lift.coef0)
+
+
+def landmark_error(rows: DataFrame, lift: LandmarkMap) -> float:
+    """Share of the kernel's diagonal that the landmark features miss, over rows of features, y and w.
+
+    0 with all rows as landmarks (of a kernel that is one); near 1 where landmarks say little.
+    """
+
+    def miss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = missed = 0.0
+        for pdf in batches:
+            x = pdf.iloc[:, :-2].to_numpy(dtype=float)
+            own = diagonal(x, lift)
+            whole += float(np.abs(own).sum())
+            missed += float(np.abs(own - (lift(x) ** 2).sum(axis=1)).sum()) if len(x) else 0.0
+        yield pd.DataFrame({"whole": [whole], "missed": [missed]})
+
+    row = rows.mapInPandas(miss, "whole double, missed double").agg(F.sum("whole").alias("w"), F.sum("missed").alias("m")).first()
+    return (row.m or 0.0) / row.w if row.w else 0.0
+
+
 def scale_gamma(df: DataFrame, features: list[str]) -> float:
     """``1 / (features * variance of all feature values)``."""
     x = [quoted(c).cast("double") for c in features]
@@ -248,6 +277,8 @@ class MarginModel(TabularModel):
         self.weights = weights
         #: Slope and offset per machine, where class probabilities were asked for.
         self.sigmoids = sigmoids
+        #: Share of the kernel that the landmarks miss on the training rows; None without landmarks.
+        self.landmark_error: float | None = None
 
     def _margins(self, df: DataFrame) -> Column:
         inputs = [quoted(c).cast("double") for c in self.spec.features]
@@ -294,12 +325,14 @@ class MarginModel(TabularModel):
         return F.array(*[F.when(total > 0, o / total).otherwise(even) for o in odds])
 
     def _state(self, spark, path) -> Any:
-        return [self.lift.state() if self.lift else None, self.weights.tolist(), self.sigmoids]
+        return [self.lift.state() if self.lift else None, self.weights.tolist(), self.sigmoids, self.landmark_error]
 
     @classmethod
     def _restore(cls, spark, path, spec, state):
         lift = LandmarkMap.restore(state[0]) if state[0] else None
-        return cls(spec, lift, np.asarray(state[1]), *state[2:])
+        model = cls(spec, lift, np.asarray(state[1]), *state[2:3])
+        model.landmark_error = state[3] if len(state) > 3 else None
+        return model
 
 
 def train_svm(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> MarginModel:
@@ -331,12 +364,16 @@ def train_svm(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> Marg
             # Two classes need one machine, for class 1; system numbers are class codes.
             starts = [np.zeros(size) for _ in range(classes)]
             fitted = fit_machines(data, lift or _identity, size, "hinge", starts, spec, 1.0)
-            return MarginModel(spec, lift, np.array(fitted if classes > 2 else fitted[1:]))
+            return _model(spec, lift, fitted if classes > 2 else fitted[1:], data)
         middle = data.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
         start = np.zeros(size)
         start[-1] = middle.m
-        return MarginModel(
-            spec, lift, np.array(fit_machines(data, lift or _identity, size, "tube", [start], spec, middle.s or 1.0))
-        )
+        return _model(spec, lift, fit_machines(data, lift or _identity, size, "tube", [start], spec, middle.s or 1.0), data)
     finally:
         data.unpersist()
+
+
+def _model(spec: ModelSpec, lift: LandmarkMap | None, weights: list[np.ndarray], data: DataFrame) -> MarginModel:
+    model = MarginModel(spec, lift, np.array(weights))
+    model.landmark_error = None if lift is None else landmark_error(data, lift)
+    return model

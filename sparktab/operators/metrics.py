@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import quoted
 from ..functions.ranking import running_totals
+from ..session import cut_lineage
+
+#: Classes up to which a confusion matrix lists the pairs that do not occur.
+GRID_CLASSES = 1_000
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -27,8 +31,14 @@ def _pair_counts(df: DataFrame, label: str, prediction: str, by: str | None) ->
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """``(label, prediction, n)`` for every pair of classes seen in either column."""
-    counts = _pair_counts(df, label, prediction, None).drop("part")
+    """``(label, prediction, n)`` for every pair of classes seen in either column.
+
+    Beyond GRID_CLASSES classes only the pairs that occur are given.
+    """
+    counts = cut_lineage(_pair_counts(df, label, prediction, None).drop("part"))
+    seen = counts.select("label").union(counts.select("prediction")).distinct()
+    if seen.limit(GRID_CLASSES + 1).count() > GRID_CLASSES:
+        return counts
     classes = counts.agg(F.array_union(F.collect_set("label"), F.collect_set("prediction")).alias("c"))
     grid = classes.select(F.explode("c").alias("label"), "c").select(
         "label", F.explode("c").alias("prediction")

@@ -321,3 +321,13 @@ def test_equal_rows_at_a_cut_are_refused(spark):
     rows = spark.range(100).selectExpr("1 AS key", "2 AS value")
     with pytest.raises(ValueError, match="agree in every column"):
         splitting.split_table(rows, None, 0.2, 0.2, key=["key"], dedup=False)
+
+
+def test_confusion_of_very_many_classes_lists_only_pairs_that_occur(spark, monkeypatch):
+    from sparktab.operators import metrics
+
+    df = spark.createDataFrame([(i, i // 2) for i in range(20)], "y int, p int")
+    assert metrics.confusion_matrix(df, "y", "p").count() == 400
+    monkeypatch.setattr(metrics, "GRID_CLASSES", 19)
+    rows = metrics.confusion_matrix(df, "y", "p").collect()
+    assert sorted((r.label, r.prediction, r.n) for r in rows) == [(i, i // 2, 1) for i in range(20)]

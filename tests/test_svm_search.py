@@ -81,3 +81,13 @@ def test_packing_is_bounded(monkeypatch):
     assert sorted(seen) == [(0, i) for i in range(13)] + [(1, 0), (1, 1)]
     for job in jobs:
         assert sum(len(w) * groups[g].width for g, w in job) <= 100 or (len(job) == 1 and len(job[0][1]) == 1)
+
+
+def test_landmark_error(coded):
+    errors = []
+    for kind, landmarks in (("rbf", 3), ("rbf", 12), ("rbf", 200), ("poly", 200)):
+        params = {"landmarks": landmarks, "kernel": kind, "max_iter": 3}
+        with pytest.warns(RuntimeWarning):
+            model = kernel.train_svm(coded, ModelSpec("regression", "svm", FLOWER_FEATURES, "petal_width", params))
+        errors.append(model.landmark_error)
+    assert errors[0] > errors[1] > errors[2] and errors[0] <= 1 and errors[2] < 1e-6 and errors[3] < 1e-6
