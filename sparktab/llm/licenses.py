@@ -3,9 +3,10 @@
 Templates are short phrases and notices. All rolling k-gram hashes of all texts are joined
 with the positions where they stand in the templates (k is 2 for phrases, 5 for notices);
 text position minus template position is the diagonal of a vote. Votes are counted per
-text, template and diagonal, diagonals a few words apart are merged into one span, and the
-words of the span are compared with the template: a phrase must stand there word for word,
-of a notice at least half of the words must be found in order.
+text, template and diagonal, and decide: a phrase needs the votes of all its grams on one
+diagonal; of a notice, diagonals a few words apart are merged into one span, which needs a least
+share of the notice's grams. What the votes leave is verified word by word: a phrase must stand
+there, of a notice at least half of the words must be found in order.
 
 Words are lower-cased runs of letters, digits and non-ASCII characters. A null text has no
 words, no places and score 0. Texts that are equal are settled once; all rows are returned.
@@ -13,6 +14,7 @@ words, no places and score 0. Texts that are equal are settled once; all rows ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage, local_table
-from .common import keyed_texts, marked_texts, shingle_rows, shingles
+from .common import keyed_texts, marked_texts, shingle_rows, shingles, small_side
 
 #: Phrases that must stand word for word, and their labels.
 PHRASES = {
@@ -49,8 +51,8 @@ NOTICES = {
 PHRASE_GRAM, NOTICE_GRAM = 2, 5
 #: Diagonals at most this far apart belong to one span.
 DIAGONAL_GAP = 3
-#: Share of a notice's words that must be found in order.
-LEAST_SHARE = 0.5
+#: Share of a notice's grams that must vote for a span, and of its words that must be found in order.
+LEAST_VOTES, LEAST_SHARE = 0.25, 0.5
 
 
 def template_table(phrases: dict[str, str], notices: dict[str, str]) -> list[tuple[str, str, int]]:
@@ -70,6 +72,15 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str, int]]) -
     return local_table(spark, rows, "hash bigint, template int, at int")
 
 
+def votes_needed(templates: list[tuple[str, str, int]], least: float = LEAST_VOTES) -> list[int]:
+    """Per template the votes that a diagonal of a phrase, or a merged span of a notice, must have."""
+    needed = []
+    for text, _, width in templates:
+        grams = max(1, len(text.split()) - width + 1)
+        needed.append(grams if width == PHRASE_GRAM else max(1, math.ceil(least * grams)))
+    return needed
+
+
 def _verifier(templates: list[tuple[str, str, int]]):
     """Compare the spans of a text with their templates."""
     split = [(text.split(), label, width == PHRASE_GRAM) for text, label, width in templates]
@@ -130,12 +141,16 @@ def find_licenses(
     votes = shingle_rows(texts, widths).join(F.broadcast(grams), "hash")
     votes = votes.select("k1", "k2", "template", "pos", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
     counted = votes.groupBy("k1", "k2", "template", "diagonal").agg(F.count(F.lit(1)).alias("votes"))
+    exact = F.array(*[F.lit(width == PHRASE_GRAM) for _, _, width in templates])[F.col("template")]
+    needed = F.array(*[F.lit(n) for n in votes_needed(templates)])[F.col("template")]
+    counted = counted.where(~exact | (F.col("votes") >= needed))
     along = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     step = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along), F.lit(0))
     merged = counted.withColumn("group", F.sum((step > DIAGONAL_GAP).cast("int")).over(along)).groupBy(
         "k1", "k2", "template", "group"
     )
     spans = merged.agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"))
+    spans = spans.where(F.col("votes") >= needed)
     by_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans"))
 
     marked = cut_lineage(marked_texts(texts, grams.select("hash").distinct(), widths))
@@ -146,7 +161,11 @@ def find_licenses(
         F.sort_array(by_begin),
         lambda p: F.struct(p["label"].alias("label"), p["begin"].alias("begin"), p["end"].alias("end"), p["share"].alias("share"), p["phrase"].alias("phrase")),
     )
-    result = marked.drop("words").join(verified, ["k1", "k2"], "left")
+    # Rows without a gram of any template, equal ones by the thousand among them, meet nothing.
+    places = small_side(verified.select("k1", "k2", ordered.alias("places")))
+    met = marked.where("words IS NOT NULL").drop("words").join(places, ["k1", "k2"], "left")
+    rest = marked.where("words IS NULL").drop("words").withColumn("places", F.lit(None).cast(PLACES))
+    result = met.unionByName(rest)
     return result.select(
-        F.col("id").alias(id_column), "n_words", F.coalesce(ordered, F.array().cast(PLACES)).alias("places")
+        F.col("id").alias(id_column), "n_words", F.coalesce("places", F.array().cast(PLACES)).alias("places")
     )

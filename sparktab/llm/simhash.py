@@ -11,7 +11,8 @@ segment and one codeword index for each of the six ordered pairs of segments. Wo
 apart share a codeword if one side offers the codeword it decodes to and the other all
 codewords within 4 bits (see ``golay``), so each fingerprint gives about 11 keys on one side
 and 60 on the other, whatever the table holds, and no linked pair is missed. Sides are
-joined on the key, and a pair that is 3 bits apart or fewer is a link. Links are turned into
+joined on the key, and a pair that is 3 bits apart or fewer is a link. A fingerprint that holds
+more than a thousandth of the rows gets its component by broadcast. Links are turned into
 components by alternating star contraction on Spark, written to the checkpoint folder after
 each round.
 
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import quoted
 from ..session import cut_lineage
-from .common import SPACED_WORDS, text_of, word_blocks
+from .common import SPACED_WORDS, joined_by_share, text_of, word_blocks
 from .golay import NONE, Golay
 
 SEED = 42
@@ -175,13 +176,13 @@ def near_duplicates(
 
 def _with_components(marked: DataFrame, distance: int) -> DataFrame:
     """Add the smallest id reachable over links of fingerprints to the (id, fp) rows."""
-    least = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    least = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = cut_lineage(components(fingerprint_links(least.select("fp"), distance)))
     linked = roots.join(least, roots["node"] == least["fp"]).select("node", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
     named = linked.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
-    by_mark = least.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return marked.join(by_mark, "fp")
+    by_mark = least.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"), "n")
+    return joined_by_share(marked, by_mark, ["fp"])
 
 
 def keep_one_each(docs: DataFrame, id_column: str, text_column: str, width: int = 3, distance: int = MOST_BITS) -> DataFrame:

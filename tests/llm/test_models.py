@@ -406,5 +406,5 @@ def test_registered_queries():
     numbers = defaultdict(list)
     for name in QUERIES:
         numbers[int(name[2:].split("_")[0])].append(name)
-    assert sorted(numbers) == list(range(1, 11)) and all(len(names) == 1 for names in numbers.values())
+    assert sorted(numbers) == list(range(1, 14)) and all(len(names) == 1 for names in numbers.values())
     assert set(ORACLES) <= set(QUERIES)

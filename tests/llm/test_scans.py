@@ -142,3 +142,21 @@ def test_empty_tables(spark, none, docs):
     assert contamination.find_benchmark(none, items).count() == 0
     found = contamination.find_benchmark(docs, items.where("false"))
     assert found.count() == docs.count() and found.where("n_hit > 0").count() == 0
+
+
+def test_votes_decide(spark):
+    """A phrase needs all its grams on one diagonal, a notice a least share of them; words alone do not do."""
+    templates = licenses.template_table(licenses.PHRASES, licenses.NOTICES)
+    needed = dict(zip([t[0] for t in templates], licenses.votes_needed(templates)))
+    assert needed["gnu general public license"] == 3 and needed["cc by"] == 1
+    notice = next(iter(licenses.NOTICES))
+    size = len(notice.split())
+    assert needed[notice] == -(-(size - 4) // 4)
+    words = notice.split()
+    scattered = " x ".join(words)
+    cut = " ".join(words[: 4 + needed[notice] - 1]) + " x " + " x ".join(words[4 + needed[notice] - 1 :])
+    enough = " ".join(words[: 4 + needed[notice]]) + " x " + " x ".join(words[4 + needed[notice] :])
+    rows = [(1, scattered), (2, cut), (3, enough), (4, "gnu general public x license gnu general"), (5, None)]
+    found = {r.doc_id: r.places for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1] == found[2] == found[4] == found[5] == []
+    assert [p.label for p in found[3]] == [licenses.NOTICES[notice]]
