@@ -87,6 +87,23 @@ def _start(df: DataFrame, spec: ModelSpec, weight: str | None) -> DataFrame:
     return data if weight is not None else data.withColumn("__weight", F.lit(1.0))
 
 
+class WeightedRows:
+    """Vectors and labels, written once, and beside them slim weights that are written anew.
+
+    Both are dealt by the same key, so meeting again takes no shuffle.
+    """
+
+    def __init__(self, start: DataFrame) -> None:
+        parts = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        keyed = start.withColumn("__key", F.monotonically_increasing_id())
+        self.data = cut_lineage(keyed.repartition(parts, "__key"))
+        self.fixed = self.data.drop("__weight")
+
+    def with_weights(self, data: DataFrame) -> DataFrame:
+        """The rows with the weights of ``data``, which has the same keys."""
+        return self.fixed.join(cut_lineage(data.select("__key", "__weight")), "__key")
+
+
 def _tree_options(spec: ModelSpec, depth: int, round_no: int) -> dict[str, Any]:
     return {
         "featuresCol": VECTOR, "labelCol": "__label", "predictionCol": "__h", "weightCol": "__weight",
@@ -98,17 +115,18 @@ def _tree_options(spec: ModelSpec, depth: int, round_no: int) -> dict[str, Any]:
 def train_adaboost(df: DataFrame, spec: ModelSpec, weight: str | None = None) -> BoostedModel:
     """One tree per round on re-weighted rows.
 
-    Weights are rescaled to mean 1 in every round and the working table is written to the
-    checkpoint folder every few rounds, so that neither numbers nor lineage run away.
+    Weights are rescaled to mean 1 in every round, and every few rounds a key and a weight per
+    row are written to the checkpoint folder, so that neither numbers nor lineage run away.
     """
     reject_unknown(spec.params, PARAMETERS, spec.model_type)
-    data = cut_lineage(_start(df, spec, weight))
+    rows = WeightedRows(_start(df, spec, weight))
     if spec.problem_type == "classification":
-        return _samme(data, spec)
-    return _r2(data, spec)
+        return _samme(rows, spec)
+    return _r2(rows, spec)
 
 
-def _samme(data: DataFrame, spec: ModelSpec) -> BoostedModel:
+def _samme(rows: WeightedRows, spec: ModelSpec) -> BoostedModel:
+    data = rows.data
     classes = class_count(data, "__label")
     rate = float(spec.params.get("learning_rate", 1.0))
     stages, says = [], []
@@ -135,11 +153,12 @@ def _samme(data: DataFrame, spec: ModelSpec) -> BoostedModel:
         says.append(say)
         data = judged.withColumn("__weight", F.col("__weight") / row["mean"] * F.exp(say * missed)).drop("__h")
         if (i + 1) % ROUNDS_PER_CUT == 0:
-            data = cut_lineage(data)
+            data = rows.with_weights(data)
     return BoostedModel(spec, stages, says, classes)
 
 
-def _r2(data: DataFrame, spec: ModelSpec) -> BoostedModel:
+def _r2(rows: WeightedRows, spec: ModelSpec) -> BoostedModel:
+    data = rows.data
     rate = float(spec.params.get("learning_rate", 1.0))
     loss = spec.params.get("loss", "linear")
     if loss not in ("linear", "square", "exponential"):
@@ -177,5 +196,5 @@ def _r2(data: DataFrame, spec: ModelSpec) -> BoostedModel:
         factor = F.pow(F.lit(beta), (1 - share) * rate)
         data = judged.withColumn("__weight", F.col("__weight") / row["mean"] * factor).drop("__h", "__off")
         if (i + 1) % ROUNDS_PER_CUT == 0:
-            data = cut_lineage(data)
+            data = rows.with_weights(data)
     return BoostedModel(spec, stages, says, None)

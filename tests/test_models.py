@@ -496,3 +496,16 @@ def test_configured_clustering_takes_every_dimension(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = checks.configured_clustering(spark, str(tmp_path)).first()
     assert (found.clusters, found.rows) == (5, 40)
+
+
+def test_boosting_writes_weights_only(spark, curve):
+    """The rows meet their weights again without a shuffle, and only keys and weights are written."""
+    from pyspark.ml.functions import vector_to_array
+
+    start = boosting.assembled(curve, ["a", "b"], "y").withColumn("__weight", F.lit(1.0))
+    rows = boosting.WeightedRows(start)
+    again = rows.with_weights(rows.data.withColumn("__weight", F.col("__label") * 2))
+    assert again.count() == 240 and again.where("__weight != __label * 2").count() == 0
+    assert again.select(vector_to_array("__features").alias("x")).where("size(x) = 2").count() == 240
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
