@@ -26,7 +26,7 @@ from .base import ModelSpec, TabularModel, any_null, class_count, refuse_nulls,
 BETA1, BETA2, GUARD = 0.9, 0.999, 1e-8
 FAN_IN = 16
 #: Rows whose gradient is taken at a time, and most minibatches of an epoch unless told otherwise.
-BLOCK, EPOCH_STEPS = 4_096, 4
+BLOCK, EPOCH_STEPS = 4_096, 2
 
 
 @dataclass(frozen=True)

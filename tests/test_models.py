@@ -32,7 +32,7 @@ def curve(spark):
 
 CLASS_PARAMS = {
     "adaboost": {"n_estimators": 8}, "gboost": {"n_estimators": 5}, "xgboost": {"n_estimators": 5, "max_depth": 3},
-    "lightgbm": {"n_estimators": 5}, "mlp": {"max_iter": 60, "batch_size": 8, "learning_rate_init": 0.005},
+    "lightgbm": {"n_estimators": 5}, "mlp": {"max_iter": 60, "batch_size": 8, "learning_rate_init": 0.005, "epoch_steps": 4},
     "random_forest": {"n_estimators": 20}, "svm": {"landmarks": 60}, "logistic_regression": {"max_iter": 60},
 }
 WITHOUT_PROBABILITY = {"svm"}
@@ -58,7 +58,7 @@ def test_classifiers_learn_save_and_reload(spark, parts, tmp_path, name):
 REGRESSION_PARAMS = {
     "adaboost": {"n_estimators": 8}, "decision_tree": {"max_depth": 6}, "gboost": {"n_estimators": 30},
     "xgboost": {"n_estimators": 30}, "lightgbm": {"n_estimators": 20}, "random_forest": {"n_estimators": 10, "max_depth": 8},
-    "mlp": {"max_iter": 80, "batch_size": 16, "learning_rate_init": 0.01}, "lasso": {"alpha": 0.01}, "svm": {"landmarks": 60},
+    "mlp": {"max_iter": 80, "batch_size": 16, "learning_rate_init": 0.01, "epoch_steps": 4}, "lasso": {"alpha": 0.01}, "svm": {"landmarks": 60},
 }
 
 
