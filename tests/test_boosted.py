@@ -171,3 +171,24 @@ def test_constant_and_empty_labels(spark):
     assert {r.prediction for r in model.transform(df).collect()} == {7.0}
     with pytest.raises(ValueError, match="only nulls"):
         registry.train(df.withColumn("y", F.lit(None).cast("double")), "classification", "xgboost", names, "y")
+
+
+def test_splits_are_found_on_spark(spark, monkeypatch):
+    """The driver gets one row per node, not the sums of its bins."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(a > b)) for a, b in rng.normal(size=(400, 2))]
+    data = spark.createDataFrame(rows, "a double, b double, y double").repartition(3).cache()
+    taken, plain = [], Classic.toArrow
+
+    def watched(self):
+        table = plain(self)
+        taken.append((table.num_rows, self.columns))
+        return table
+
+    monkeypatch.setattr(Classic, "toArrow", watched)
+    model = registry.train(data, "classification", "xgboost", ["a", "b"], "y", {"n_estimators": 3, "max_depth": 3, "max_bins": 64})
+    sent = [n for n, columns in taken if "slot" in columns or "cell" in columns]
+    assert sent and max(sent) <= 4
+    assert sum(f >= 0 for trees in model.rounds for t in trees for f in t.feature) > 3
