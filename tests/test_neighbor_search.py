@@ -79,3 +79,24 @@ def test_pivots_do_not_change_the_result(spark):
         queries = vectors(points.withColumnRenamed("__id", "__q"), "__q")
         found = pivots.nearest_by_pivots(queries, vectors(points, "__id", "__label"), 3, 3, 2.0, nearest_in_block, NEIGHBORS, pivots=count)
         assert lists(found) == want and (found.compared == found.pairs) == (count == 1)
+
+
+def test_pairs_of_queries_and_cells_leave_in_bounded_batches(spark, monkeypatch):
+    """A batch of queries that want every cell is not multiplied by all cells at once."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([[float(i), 1.0] for i in range(50)])], names=["__q", "x"])
+    wanted = np.ones((50, 30), bool)
+    wanted[7] = False
+    parts = list(pivots.pairs_of(batch, wanted, 64))
+    assert max(p.num_rows for p in parts) == 64
+    got = [(q, tuple(x), c) for p in parts for q, x, c in zip(*(p.column(n).to_pylist() for n in ("__q", "x", "cell")))]
+    assert got == [(q, (float(q), 1.0), c) for q in range(50) if q != 7 for c in range(30)]
+    assert not list(pivots.pairs_of(batch, np.zeros((50, 30), bool), 64))
+    monkeypatch.setattr(pivots, "PAIR_NUMBERS", 40)
+    rng = np.random.default_rng(5)
+    x, q = rng.normal(size=(300, 4)), rng.normal(size=(40, 4))
+    points, names = frame(spark, x, "__id")
+    queries, _ = frame(spark, q, "__q")
+    found = neighbor_search(queries, points, names, 3, broadcast_bytes=0, block_rows=100)
+    assert lists(found) == brute(q, x, 3, 2)
