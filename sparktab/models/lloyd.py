@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import quoted
@@ -55,10 +55,25 @@ def squares_to(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2.0 * x @ centres.T, 0.0)
 
 
-def _pieces(pdf: pd.DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Vectors and hashes of a batch, a bounded number of rows at a time."""
-    x = pdf.iloc[:, :-1].to_numpy(dtype=float)
-    hashes = pdf["hash"].to_numpy(dtype=np.int64).view(np.uint64)
+def _packed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The vector of each row as its bytes, and its hash: one column to hand to Python in every pass."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
+            sides = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * len(names)), len(x), [None, pa.py_buffer(x.tobytes())])
+            yield pa.RecordBatch.from_arrays([sides.cast(pa.binary()), batch.column("hash")], names=["x", "hash"])
+
+    return rows.mapInArrow(pack, "x binary, hash bigint")
+
+
+def _pieces(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Vectors and hashes of a batch, packed or in columns, a bounded number of rows at a time."""
+    if "x" in batch.schema.names:
+        x = np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(batch.num_rows, -1)
+    else:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]])
+    hashes = batch.column("hash").to_numpy().view(np.uint64)
     step = max(16, CELLS // max(1, width))
     for at in range(0, len(x), step):
         yield x[at : at + step], hashes[at : at + step]
@@ -69,13 +84,14 @@ def draw_next(rows: DataFrame, runs: Sequence[Run], seed: int, step: int) -> Non
     starts = np.concatenate([[0], np.cumsum([len(r.centres) for r in runs])])
     known = np.array([c for r in runs for c in r.centres])
     salts = [hash((seed, r.k, r.start, step)) & 0xFFFFFFFF for r in runs]
-    width = len(rows.columns) - 1
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.full(len(runs), np.inf)
-        found = np.zeros((len(runs), width))
-        for pdf in batches:
-            for x, hashes in _pieces(pdf, max(1, len(known))):
+        found: list[np.ndarray] = [np.zeros(0)] * len(runs)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for x, hashes in _pieces(batch, max(1, len(known))):
                 away = squares_to(x, known) if len(known) else None
                 for i, salt in enumerate(salts):
                     own = np.ones(len(x)) if away is None else away[:, starts[i] : starts[i + 1]].min(axis=1)
@@ -84,9 +100,12 @@ def draw_next(rows: DataFrame, runs: Sequence[Run], seed: int, step: int) -> Non
                     at = int(key.argmin())
                     if key[at] < best[i]:
                         best[i], found[i] = key[at], x[at]
-        yield pd.DataFrame({"run": range(len(runs)), "key": best, "x": list(found)})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(runs)), pa.int32()), pa.array(best), pa.array([f.tolist() for f in found], pa.list_(pa.float64()))],
+            names=["run", "key", "x"],
+        )
 
-    keyed = rows.mapInPandas(draw, "run int, key double, x array<double>")
+    keyed = rows.mapInArrow(draw, "run int, key double, x array<double>")
     chosen = keyed.groupBy("run").agg(F.min(F.struct("key", "x")).alias("least"))
     for row in chosen.collect():
         run = runs[row.run]
@@ -101,14 +120,16 @@ def move_all(rows: DataFrame, runs: Sequence[Run], limit: float, max_iter: int)
     centres = np.concatenate([np.array(r.centres) for r in runs])
     width = centres.shape[1]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sums = np.zeros((len(centres), width + 1))
         cost = np.zeros(len(sizes))
         seen = False
-        for pdf in batches:
-            for x, _ in _pieces(pdf, len(centres)):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for x, _ in _pieces(batch, len(centres)):
                 seen = True
                 away = squares_to(x, centres)
                 counted = np.column_stack([x, np.ones(len(x))])
@@ -120,9 +141,12 @@ def move_all(rows: DataFrame, runs: Sequence[Run], limit: float, max_iter: int)
                     member[np.arange(len(x)), nearest] = 1.0
                     sums[starts[i] : starts[i + 1]] += member.T @ counted
         if seen:
-            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "payload": [np.concatenate([cost, sums.ravel()])]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate([cost, sums.ravel()])], pa.list_(pa.float64()))],
+                names=["part", "payload"],
+            )
 
-    total = _summed(rows.mapInPandas(work, "part int, payload array<double>"))
+    total = _summed(rows.mapInArrow(work, "part int, payload array<double>"), len(sizes) + len(centres) * (width + 1))
     cost, sums = total[: len(sizes)], total[len(sizes) :].reshape(-1, width + 1)
     for i, run in enumerate(runs):
         own = sums[starts[i] : starts[i + 1]]
@@ -145,11 +169,12 @@ def run_all(
     """All runs, ``starts`` for each number of clusters, and how many passes they took."""
     x = [quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
     names = [f"f{i}" for i in range(len(features))]
-    rows = df.select(*x).withColumn("hash", F.xxhash64(F.lit(seed), *names)).persist()
+    plain = df.select(*x).withColumn("hash", F.xxhash64(F.lit(seed), *names))
+    spread = plain.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(c) for c in names]).first()
+    if not spread.n:
+        raise ValueError("no rows to cluster")
+    rows = _packed(plain, names).persist()
     try:
-        spread = rows.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(c).alias(c) for c in names]).first()
-        if not spread.n:
-            raise ValueError("no rows to cluster")
         variances = [spread[c] for c in names]
         runs = [Run(k, s) for k in sizes for s in range(starts)]
         passes = 0

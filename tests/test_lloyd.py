@@ -56,3 +56,23 @@ def test_fewer_distinct_rows_than_clusters_and_none(spark):
     assert table[1] == pytest.approx(2 / 3) and table[2] == table[3] == table[4] == 0
     with pytest.raises(ValueError, match="no rows"):
         lloyd.run_all(df.where("false"), ["c0"], [1], 1)
+
+
+@pytest.mark.parametrize(("numbers", "most"), [(10, 16), (50_000, 1)])
+def test_long_payloads_are_added_on_spark(spark, monkeypatch, numbers, most):
+    """The driver takes over few payloads, and of long ones only their sum."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from sparktab.models import network
+
+    taken, plain = [], Classic.toArrow
+
+    def watched(self):
+        table = plain(self)
+        taken.append(table.num_rows)
+        return table
+
+    monkeypatch.setattr(Classic, "toArrow", watched)
+    parts = spark.range(0, 9, 1, 9).selectExpr("CAST(id AS INT) AS part", "array(0.1D * id, 1D) AS payload")
+    assert network._summed(parts, numbers) == pytest.approx([3.6, 9.0])
+    assert taken and max(taken) <= most
