@@ -100,3 +100,43 @@ def test_pairs_of_queries_and_cells_leave_in_bounded_batches(spark, monkeypatch)
     queries, _ = frame(spark, q, "__q")
     found = neighbor_search(queries, points, names, 3, broadcast_bytes=0, block_rows=100)
     assert lists(found) == brute(q, x, 3, 2)
+
+
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0])
+def test_bounded_search_finds_what_is_no_farther(p, monkeypatch):
+    """Ties at the bound and copies are kept, queries out of reach find nothing, in few rough distances."""
+    from sparktab.models import neighbors
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rows_of(rng, 2000, 3, 40), np.repeat([[1.0, 2.0, 3.0]], 50, axis=0)])
+    q = np.concatenate([x[::20], [[1.0, 2.0, 3.0], [500.0, 0.0, 0.0]]])
+    ids = rng.permutation(len(x))
+    d = (np.abs(q[:, None, :] - x[None, :, :]) ** p).sum(axis=2) ** (1.0 / p)
+    bound = np.sort(d, axis=1)[:, 4]
+    bound[-2:] = 0.0, 3.0
+    bound[0] = np.inf
+    want = []
+    for i in range(len(q)):
+        order = np.lexsort((ids, d[i]))[:6]
+        want += [(i, int(ids[j])) for j in order if d[i, j] <= bound[i] * (1 + 1e-12)]
+    looked = []
+    close = neighbors._close
+    monkeypatch.setattr(neighbors, "_close", lambda a, own, b, members, *rest: looked.append(len(own) * len(members)) or close(a, own, b, members, *rest))
+    rows, cols, _ = neighbors.nearest_in_block(q, x, ids, 6, p, bound)
+    assert list(zip(rows.tolist(), ids[cols].tolist())) == want
+    assert p != 2 or sum(looked) < 0.2 * d.size
+
+
+def test_cells_return_only_lists_within_the_bound(spark, monkeypatch):
+    """What the second round brings back does not grow with the cells it looks into."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 6))
+    points, names = frame(spark, x, "__id")
+    queries, _ = frame(spark, x[:200], "__q")
+    given = []
+    whole = pivots.merged
+    monkeypatch.setattr(pivots, "merged", lambda lists, k: given.append(lists) or whole(lists, k))
+    found = neighbor_search(queries, points, names, 3, broadcast_bytes=0)
+    assert lists(found) == brute(x[:200], x, 3, 2.0)
+    assert found.compared > 200 * 300  # most cells are asked, few answer
+    assert given[1].count() < 200 * 8
