@@ -3,18 +3,19 @@
 Learning, from the training documents only:
 
 1. All their words are counted (distinct per block of texts, then one grouped sum).
-2. Each distinct word is cut into subword ids once, weighted by its count; the id counts
-   give the model's vocabulary, output classes and P(id | class).
-3. Every training document is cut into the windows of subword ids that scoring cuts it into, so
+2. Every text is cut into subword ids once, which are written packed: training and scoring read
+   these. Their counts give the model's vocabulary, output classes and P(id | class).
+3. The ids of every training document are cut into the windows of subword ids that scoring cuts it into, so
    that each of its ids and its end id is predicted once. Runs of windows are grouped by hash
    into shards of bounded size, which are written once; their number grows with the documents.
    Training is one pass over all shards in several rounds: each round takes its share of the
    shards, each of these runs Adam from the parameters of the round before, and their results
    are averaged. Shards and rounds do not depend on partitions.
 
-Scoring reads every text once: causal attention over overlapping windows scores each id once.
-The same pass looks words up in a table of the most frequent ones, which is bounded; the
-other words of a text (few distinct ones) are joined with the full counts on Spark.
+Scoring reads all written ids once: causal attention over overlapping windows scores each id once.
+Another pass over the texts looks words up in a table of the most frequent ones, which is bounded;
+the other words of a text (few distinct ones) are joined with the full counts on Spark. Both meet
+by two hashes of the text.
 
 Words are runs of anything but white space, A-Z lowered; an end token follows the last word.
 A null text equals an empty one: it has the end token alone. A null id counts as the text ''.
@@ -25,9 +26,11 @@ Repeated rows are all returned; equal texts share their scores.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import quoted
@@ -43,7 +46,7 @@ from .attention import (
     train,
     unflatten,
 )
-from .common import SPACED_WORDS, text_of, text_pair, word_blocks
+from .common import SLICE_ROWS, SPACED_WORDS, blocks, text_of, text_pair, word_blocks
 from .pieces import MARKER, ChunkEncoder
 
 #: Remainder modulo FOLDS of crc32(id as text) that is held out.
@@ -88,31 +91,63 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def piece_counts(counts: DataFrame, model_path: str) -> np.ndarray:
-    """How often each subword id stands in the counted words; ends are not in it."""
+def id_type(pieces: int) -> type:
+    return np.uint16 if pieces <= 1 << 16 else np.int32
+
+
+def encoded_texts(texts: DataFrame, model_path: str) -> DataFrame:
+    """The rows with ``ids``, the packed ids of each text's words and of its end, instead of ``text``."""
+    others = [name for name in texts.columns if name != "text"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder(model_path, end=True)
+        kind = np.dtype(id_type(encoder.processor.get_piece_size()))
+        for batch in batches:
+            done = 0
+            for lengths, words in word_blocks(batch.column("text"), SPACED_WORDS):
+                table = pa.array(words, pa.binary()).dictionary_encode()
+                marked = pc.binary_join_element_wise(MARKER, table.dictionary.cast(pa.string()), "")
+                codes = table.indices.to_numpy().astype(np.int64)
+                ids, sizes = encoder.encode_chunks(marked.to_numpy(zero_copy_only=False).tolist(), codes, lengths)
+                flat, ends = ids.astype(kind).tobytes(), (np.cumsum(sizes) * kind.itemsize).tolist()
+                packed = pa.array([flat[low:high] for low, high in zip([0, *ends], ends)], pa.binary())
+                part = batch.slice(done, len(lengths))
+                done += len(lengths)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), packed], names=[*others, "ids"])
+
+    kinds = [f"{name} {texts.schema[name].dataType.simpleString()}" for name in others]
+    return texts.select(*others, "text").mapInArrow(encode, ", ".join([*kinds, "ids binary"]))
+
+
+def id_blocks(batch: pa.RecordBatch, kind: type) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Blocks of the rows, with all their ids and each row's number of ids."""
+    for at in range(0, len(batch), SLICE_ROWS):
+        part = batch.slice(at, SLICE_ROWS)
+        packed = part.column("ids").to_pylist()
+        for begin, end in blocks(packed):
+            sizes = np.fromiter(map(len, packed[begin:end]), np.int64, end - begin) // np.dtype(kind).itemsize
+            yield part.slice(begin, end - begin), np.frombuffer(b"".join(packed[begin:end]), kind), sizes
+
+
+def id_counts(encoded: DataFrame, pieces: int) -> np.ndarray:
+    """How often each of the model's ids stands in the encoded texts."""
+    kind = id_type(pieces)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(model_path, end=False)
-        totals = np.zeros(encoder.processor.get_piece_size(), np.int64)
+        totals = np.zeros(pieces, np.int64)
         for batch in batches:
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            for at in range(0, len(words), 20_000):
-                ids, sizes = encoder.encode(words[at : at + 20_000])
-                encoder.forget()  # words are distinct, none comes again
-                totals += np.bincount(ids, np.repeat(n[at : at + 20_000], sizes), len(totals)).astype(np.int64)
+            for _, ids, _ in id_blocks(batch, kind):
+                totals += np.bincount(ids, minlength=pieces)
         found = np.nonzero(totals)[0]
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(totals[found])], names=["id", "n"])
 
-    summed = counts.mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    totals = np.zeros(ChunkEncoder(model_path, False).processor.get_piece_size())
+    rows = encoded.select("ids").mapInArrow(count, "id bigint, n bigint")
+    summed = rows.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(pieces)
     totals[summed["id"].to_numpy()] = summed["n"].to_numpy()
     return totals
 
 
-def id_type(pieces: int) -> type:
-    return np.uint16 if pieces <= 1 << 16 else np.int32
-
-
 def window_runs(ids: np.ndarray, sizes: np.ndarray, start: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """(text, nth, ids) of runs of up to RUN_WINDOWS windows: the id before the first target, then the targets.
 
@@ -146,29 +181,32 @@ def run_windows(ids: np.ndarray, sizes: np.ndarray, later: np.ndarray) -> tuple[
 
 def training_runs(texts: DataFrame, model_path: str, shards: int) -> DataFrame:
     """(shard, shard_key, later, ids): all windows of the texts, as runs of packed ids; ``later`` but for a text's first."""
+    processor = ChunkEncoder(model_path, True).processor
+    encoded = encoded_texts(texts.select("shard_key", "text"), model_path)
+    return encoded_runs(encoded, processor.bos_id(), processor.get_piece_size(), shards)
+
+
+def encoded_runs(encoded: DataFrame, start: int, pieces: int, shards: int) -> DataFrame:
+    """As ``training_runs``, of encoded texts."""
+    kind = id_type(pieces)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(model_path, end=True)
-        start, kind = encoder.processor.bos_id(), id_type(encoder.processor.get_piece_size())
         for batch in batches:
-            given, done = batch.column("shard_key").to_pylist(), 0
-            for lengths, words in word_blocks(batch.column("text"), SPACED_WORDS):
-                table = pa.array(words, pa.binary()).dictionary_encode()
-                marked = [MARKER + name.decode() for name in table.dictionary.to_pylist()]
-                ids, sizes = encoder.encode_chunks(marked, table.indices.to_numpy().astype(np.int64), lengths)
+            for part, ids, sizes in id_blocks(batch, kind):
+                given = part.column("shard_key").to_pylist()
                 keys, later, rows = [], [], []
-                for text, nth, part in window_runs(ids, sizes, start):
-                    keys.append((given[done + text] + nth * 0x9E3779B97F4A7C15) % (1 << 63))
+                for text, nth, run in window_runs(ids, sizes, start):
+                    keys.append((given[text] + nth * 0x9E3779B97F4A7C15) % (1 << 63))
                     later.append(nth > 0)
-                    rows.append(part.astype(kind).tobytes())
-                done += len(lengths)
+                    rows.append(run.astype(kind).tobytes())
                 dealt = pa.array([key % shards for key in keys], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [dealt, pa.array(keys, pa.int64()), pa.array(later, pa.bool_()), pa.array(rows, pa.binary())],
                     names=["shard", "shard_key", "later", "ids"],
                 )
 
-    return texts.select("shard_key", "text").mapInArrow(cut, "shard int, shard_key bigint, later boolean, ids binary")
+    found = encoded.select("shard_key", "ids")
+    return found.mapInArrow(cut, "shard int, shard_key bigint, later boolean, ids binary")
 
 
 PACKED = pa.schema([("shard", pa.int32()), ("sizes", pa.binary()), ("later", pa.binary()), ("ids", pa.binary())])
@@ -267,6 +305,24 @@ def _rare_lists(names: pa.Array, owner: np.ndarray, codes: np.ndarray, texts: in
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
 
+def encoded_scores(encoded: DataFrame, flat: np.ndarray, vocabulary: Vocabulary, start: int) -> DataFrame:
+    """(k1, k2, copies, score): each distinct text's number of rows and the log10 probability of its ids."""
+    kind = id_type(len(vocabulary.row))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parameters = unflatten(flat)
+        for batch in batches:
+            for part, ids, sizes in id_blocks(batch, kind):
+                found = log_probabilities(parameters, vocabulary, ids, sizes, start) / np.log(10.0)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("k1"), part.column("k2"), pa.array(found)], names=["k1", "k2", "score"]
+                )
+
+    rows = encoded.select("k1", "k2", "ids").mapInArrow(score, "k1 bigint, k2 bigint, score double")
+    # Copies in other blocks may differ in the last places.
+    return rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.max("score").alias("score"))
+
+
 def score_texts(
     docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -287,49 +343,48 @@ def score_texts(
     size = distinct + (1 if n_texts else 0)
     norm = float(np.log10(total + size + 1))
 
-    pieces = piece_counts(counts, model_path)
-    pieces[ChunkEncoder(model_path, False).processor.eos_id()] = n_texts
+    processor = ChunkEncoder(model_path, True).processor
+    start, number = processor.bos_id(), processor.get_piece_size()
+    encoded = cut_lineage(encoded_texts(rows.select("k1", "k2", "held_out", "shard_key", "text"), model_path))
+    learned = encoded.where(~F.col("held_out"))
+    pieces = id_counts(learned, number)
     vocabulary = Vocabulary.from_counts(pieces)
     shards = max(len(RATES), -(-int(pieces.sum()) // (STRIDE * SHARD_WINDOWS)))
     tasks = max(min(shards, FEW_TASKS), -(-shards // TASK_SHARDS))
-    runs = training_runs(training, model_path, shards).repartition(tasks, "shard")
+    runs = encoded_runs(learned, start, number, shards).repartition(tasks, "shard")
     flat = flatten(learn(runs, vocabulary))
     frequent = spark.sparkContext.broadcast(_frequent(counts))  # at most FREQUENT_WORDS entries
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(model_path, end=True)
-        start, parameters, known = encoder.processor.bos_id(), unflatten(flat), frequent.value
+        known = frequent.value
         for batch in batches:
             done = 0
             for lengths, words in word_blocks(batch.column("text"), SPACED_WORDS):
                 table = pa.array(words, pa.binary()).dictionary_encode()
-                names, codes = table.dictionary.to_pylist(), table.indices.to_numpy().astype(np.int64)
-                n = np.fromiter((known.get(name, 0) for name in names), np.int64, len(names))
+                names, codes = table.dictionary.to_numpy(zero_copy_only=False).tolist(), table.indices.to_numpy().astype(np.int64)
+                n = np.fromiter(map(known.get, names, repeat(0)), np.int64, len(names))
                 owner = np.repeat(np.arange(len(lengths)), lengths)
                 hit = n[codes] > 0
                 base = np.bincount(owner, np.where(hit, (np.log10(n + 1.0) - norm)[codes], 0.0), len(lengths))
                 found = np.bincount(owner, hit, len(lengths)).astype(np.int64)
                 rare = _rare_lists(table.dictionary, owner[~hit], codes[~hit], len(lengths))
-                marked = [MARKER + name.decode() for name in names]
-                ids, sizes = encoder.encode_chunks(marked, codes, lengths)
-                scores = log_probabilities(parameters, vocabulary, ids, sizes, start) / np.log(10.0)
                 part = batch.slice(done, len(lengths))
                 done += len(lengths)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in ("id", "k1", "k2", "held_out")]
-                    + [pa.array(c) for c in (lengths + 1, found, base, scores)]
+                    + [pa.array(c) for c in (lengths + 1, found, base)]
                     + [rare],
-                    names=["id", "k1", "k2", "held_out", "n_tokens", "found", "base", "score", "rare"],
+                    names=["id", "k1", "k2", "held_out", "n_tokens", "found", "base", "rare"],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
     schema = (
         f"id {kind}, k1 bigint, k2 bigint, held_out boolean, n_tokens bigint, found bigint, base double, "
-        "score double, rare array<struct<word:string,n:bigint>>"
+        "rare array<struct<word:string,n:bigint>>"
     )
     scanned = cut_lineage(rows.drop("shard_key").mapInArrow(scan, schema))
     # Equal texts bring equal rare words: their joined sums are divided by the number of copies.
-    copies = scanned.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    scored = encoded_scores(encoded, flat, vocabulary, start)
     rare = scanned.select("k1", "k2", F.explode("rare").alias("rare")).select("k1", "k2", "rare.word", "rare.n")
     met = rare.join(counts.withColumnRenamed("n", "seen"), "word", "left")
     seen = F.coalesce("seen", F.lit(0))
@@ -337,7 +392,7 @@ def score_texts(
         F.sum(F.col("n") * (F.log10(seen + 1) - norm)).alias("rare_base"),
         F.sum(F.when(seen > 0, F.col("n")).otherwise(0)).alias("rare_found"),
     )
-    joined = scanned.drop("rare").join(copies.join(sums, ["k1", "k2"]), ["k1", "k2"], "left")
+    joined = scanned.drop("rare").join(scored.join(sums, ["k1", "k2"], "left"), ["k1", "k2"], "left")
     end_known = 1 if n_texts else 0
     end_score = float(np.log10(n_texts + 1) - norm)
     return joined.select(

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -191,6 +192,64 @@ def test_attention_is_causal_and_a_distribution():
     assert total == pytest.approx(prefix, rel=1e-4)
 
 
+def test_attention_matches_plain_softmax():
+    """Scores of windows, also with logits far apart, equal those of a loop over places."""
+    rng = np.random.default_rng(6)
+    vocabulary = attention.Vocabulary.from_counts(rng.integers(0, 50, 3000).astype(float))
+    sizes = np.array([0, 1, 31, 32, 33, 61, 150, 0])
+    ids = rng.integers(0, 3000, sizes.sum())
+    place, inputs, owner = attention.windows(ids, sizes, 1)
+    for size in (1.0, 60.0):
+        p = attention.first_parameters(vocabulary)
+        p["top"] = p["top"] * np.float32(size)
+        want = np.zeros(len(sizes))
+        for spots, rows, text in zip(place, vocabulary.row[inputs], owner):
+            x = (p["embed"][rows] + p["place"]).astype(float)
+            q, k, v = np.split(x @ p["mix"], 3, axis=1)
+            for i in np.flatnonzero(spots >= 0):
+                weights = np.exp(k[: i + 1] @ q[i] / math.sqrt(attention.WIDTH))
+                logits = (x[i] + weights @ v[: i + 1] / weights.sum() @ p["out"]) @ p["top"] + p["bias"]
+                goal = ids[spots[i]]
+                want[text] += logits[vocabulary.group[goal]] - np.logaddexp.reduce(logits) + vocabulary.within[goal]
+        found = attention.log_probabilities(p, vocabulary, ids, sizes, 1)
+        assert found == pytest.approx(want, rel=1e-4)
+
+
+def test_attention_batches_share_their_arrays():
+    """After the first batch none of its large arrays is allocated again."""
+    rng = np.random.default_rng(7)
+    p = attention.first_parameters(attention.Vocabulary.from_counts(rng.integers(0, 50, 3000).astype(float)))
+    rows = rng.integers(0, attention.EMBEDDED, (128, attention.WINDOW))
+    wanted, scored = rows % attention.CLASSES, np.ones(rows.shape, bool)
+    room = attention.Room()
+    for step in (attention.gradient, attention.class_scores):
+        step(p, rows, wanted, scored, room)
+        tracemalloc.start()
+        step(p, rows, wanted, scored, room)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 700_000  # its logits alone have 1 MB
+
+
+def test_texts_are_encoded_once(spark, texts, monkeypatch):
+    """Training and scoring read the written ids; these and their counts are the library's."""
+    calls, real = [], scoring.encoded_texts
+    monkeypatch.setattr(scoring, "encoded_texts", lambda rows, path: calls.append(rows.columns) or real(rows, path))
+    found = scoring.score_texts(table(spark, texts), MODEL).select("score").collect()
+    assert len(calls) == 1 and len(found) == len(texts)
+    encoder = pieces.ChunkEncoder(MODEL, end=True)
+    rows = spark.createDataFrame(list(enumerate(t or "" for _, t in texts)), "n int, text string")
+    encoded = real(rows, MODEL)
+    kind, want = scoring.id_type(32000), Counter()
+    for r in encoded.collect():
+        words = (texts[r.n][1] or "").encode().translate(LOWER).split()
+        ids = encoder.encode([b" ".join(words).decode()])[0]
+        assert np.frombuffer(r.ids, kind).tolist() == ids.tolist()
+        want.update(ids.tolist())
+    counts = scoring.id_counts(encoded, 32000)
+    assert {i: int(n) for i, n in enumerate(counts) if n} == want
+
+
 def test_scores(spark, texts):
     found = scoring.score_texts(table(spark, texts), MODEL).collect()
     assert len(found) == len(texts)
