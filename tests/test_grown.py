@@ -59,3 +59,12 @@ def test_saved_forest_predicts_the_same(spark, numbers, tmp_path):
 def test_a_null_label_is_refused(numbers):
     with pytest.raises(ValueError, match="label"):
         registry.train(numbers.withColumn("y", F.when(F.col("id") > 5, F.col("y"))), "regression", "random_forest", FEATURES, "y", {"n_estimators": 2})
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 600, 30])
+def test_deep_tree(numbers, monkeypatch, cells):
+    monkeypatch.setattr(grown, "CELLS", cells)
+    model = registry.train(numbers, "regression", "decision_tree", FEATURES, "y")
+    assert isinstance(model, grown.GrownTrees)
+    scored, _ = _expected(numbers, DecisionTreeRegressor(maxDepth=30, maxBins=128, seed=42, **trees.COLUMNS))
+    assert np.allclose(_made(model, numbers), scored, rtol=1e-12)
