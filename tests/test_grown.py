@@ -68,3 +68,14 @@ def test_deep_tree(numbers, monkeypatch, cells):
     assert isinstance(model, grown.GrownTrees)
     scored, _ = _expected(numbers, DecisionTreeRegressor(maxDepth=30, maxBins=128, seed=42, **trees.COLUMNS))
     assert np.allclose(_made(model, numbers), scored, rtol=1e-12)
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 600, 30])
+def test_importances_of_a_deep_tree(spark, numbers, monkeypatch, cells):
+    monkeypatch.setattr(grown, "CELLS", cells)
+    model = registry.train(numbers, "regression", "decision_tree", FEATURES, "y")
+    assert isinstance(model, grown.GrownTrees)
+    _, importance = _expected(numbers, DecisionTreeRegressor(maxDepth=30, maxBins=128, seed=42, **trees.COLUMNS))
+    assert np.allclose(model.importances(), importance, rtol=1e-9)
+    found = {r.feature: r.importance for r in registry.importance_table(spark, model).collect()}
+    assert found == {c: round(float(v), 4) for c, v in zip(FEATURES, importance)}
