@@ -192,3 +192,28 @@ def test_splits_are_found_on_spark(spark, monkeypatch):
     sent = [n for n, columns in taken if "slot" in columns or "cell" in columns]
     assert sent and max(sent) <= 4
     assert sum(f >= 0 for trees in model.rounds for t in trees for f in t.feature) > 3
+
+
+@pytest.mark.parametrize("params", [
+    {"n_estimators": 6, "num_leaves": 6, "subsample": 0.7, "reg_alpha": 0.1, "min_child_samples": 5},
+    {"n_estimators": 4, "num_leaves": 9, "max_depth": 4, "colsample_bytree": 0.7},
+])
+def test_one_task_grows_the_trees_of_a_job_for_each_level(spark, monkeypatch, params):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 3)).round(2)
+    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0.5)
+    rows = [(None if i % 11 == 0 else float(a), float(b), float(c), float(k), float(1 + i % 2)) for i, ((a, b, c), k) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, w double").repartition(3).cache()
+    jobs = []
+    judged = boosted.Booster.judged
+    monkeypatch.setattr(boosted.Booster, "judged", lambda *a: jobs.append(1) or judged(*a))
+    for label, problem in (("y", "classification"), ("c", "regression")):
+        found = []
+        for cells in (1 << 21, 0):
+            monkeypatch.setattr(boosted, "CELLS", cells)
+            jobs.clear()
+            found.append(registry.train(df, problem, "lightgbm", ["a", "b"], label, params, weight="w").split_table())
+            assert bool(jobs) == (cells == 0)
+        assert len(found[0]) == len(found[1])
+        for one, other in zip(*found):
+            assert one[:6] == other[:6] and one[6:] == pytest.approx(other[6:])
