@@ -1,6 +1,7 @@
 """Pruned neighbour search against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparktab.functions import pivots
@@ -140,3 +141,36 @@ def test_cells_return_only_lists_within_the_bound(spark, monkeypatch):
     assert lists(found) == brute(x[:200], x, 3, 2.0)
     assert found.compared > 200 * 300  # most cells are asked, few answer
     assert given[1].count() < 200 * 8
+
+
+def test_cells_share_groups_of_bounded_points():
+    holds = np.array([3, 0, 4, 25, 2, 9, 1])
+    cells, first, number = pivots.grouped(holds, 10)
+    assert [c.tolist() for c in cells] == [[0, 1, 2], [3], [3], [3], [4], [5, 6]]
+    assert first.tolist() == [0, 0, 0, 1, 4, 5, 5] and number.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
+def test_a_query_goes_to_a_group_once():
+    """However many of its cells it wants, in batches of a bounded number of rows."""
+    rng = np.random.default_rng(2)
+    wanted = rng.random((30, 12)) < 0.4
+    wanted[:4] = True
+    cells = [np.arange(0, 10), np.array([10, 11])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64())], names=["__q"])
+    parts = list(pivots.by_group(batch, wanted, cells, 7))
+    assert max(len(p) for p in parts) <= 7
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert len({(r["__q"], r["group"]) for r in rows}) == len(rows) == sum(wanted[:, own].any(axis=1).sum() for own in cells)
+    for r in rows:
+        own = cells[r["group"]]
+        assert (np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(own)).astype(bool) == wanted[r["__q"], own]).all()
+
+
+def test_many_wanted_cells_and_a_hot_one(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(500, 8)), np.full((150, 8), 0.25) + rng.normal(0, 1e-4, (150, 8))])
+    q = rng.normal(size=(40, 8))
+    points, names = frame(spark, x, "__id")
+    queries, _ = frame(spark, q, "__q")
+    found = neighbor_search(queries, points, names, 6, 2.0, broadcast_bytes=0, block_rows=20)
+    assert lists(found) == brute(q, x, 6, 2.0)
